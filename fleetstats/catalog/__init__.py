@@ -1,6 +1,6 @@
 """The registered queries and their oracles."""
 
-from . import reports
+from . import generic, reports
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

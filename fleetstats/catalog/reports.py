@@ -250,12 +250,13 @@ def cache_pollution(spark, sf_dir):
 
 
 @query(f"""
-    , s AS (
-        SELECT q.*, {stmt()} AS statement, c.objtype, c.size_in_bytes
-        FROM query_stats q
+    , q AS MATERIALIZED (
+        SELECT q.*, {stmt()} AS statement FROM query_stats q
         JOIN query_text t ON t.server_id = q.server_id AND t.sql_handle = q.sql_handle
-        JOIN cached_plans c ON c.server_id = q.server_id AND c.plan_handle = q.plan_handle
         WHERE text LIKE '%member%' AND text NOT LIKE '%dm_exec%'),
+    s AS (
+        SELECT q.*, c.objtype, c.size_in_bytes FROM q
+        JOIN cached_plans c ON c.server_id = q.server_id AND c.plan_handle = q.plan_handle),
     g AS (
         SELECT server_id, objtype, query_hash, query_plan_hash,
             sum(size_in_bytes)::BIGINT / 1048576.0 AS total_mb,
@@ -293,12 +294,14 @@ def cached_queries(spark, sf_dir):
 
 
 @query(f"""
+    , q AS MATERIALIZED (
+        SELECT q.*, t.text, t.dbid FROM query_stats q
+        JOIN query_text t ON t.server_id = q.server_id AND t.sql_handle = q.sql_handle)
     SELECT q.server_id, usecounts AS plan_usage, {stmt()} AS individual_query,
         text AS parent_query, d.name AS database_name, cacheobjtype
-    FROM query_stats q
-    JOIN query_text t ON t.server_id = q.server_id AND t.sql_handle = q.sql_handle
+    FROM q
     JOIN cached_plans c ON c.server_id = q.server_id AND c.plan_handle = q.plan_handle
-    LEFT JOIN databases d ON d.server_id = q.server_id AND d.database_id = t.dbid
+    LEFT JOIN databases d ON d.server_id = q.server_id AND d.database_id = q.dbid
     {top(100, 'usecounts, q.sql_handle, q.plan_handle, statement_start_offset', 'q.server_id')}""",
     _CACHE)
 def lowest_plan_reuse(spark, sf_dir):

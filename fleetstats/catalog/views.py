@@ -59,9 +59,11 @@ _EDGE = """
 _LOCKS = """
     SELECT 'srv0' AS server_id, TIMESTAMP '2024-01-01 12:00:00' AS snapshot_ts,
         CAST(l_suppkey AS INT) AS request_session_id,
-        CAST(l_suppkey % 5 AS INT) AS resource_database_id,
-        CASE WHEN l_linenumber IN (4, 5) THEN CAST(0 AS BIGINT)
-             ELSE l_partkey END AS resource_associated_entity_id,
+        CAST(CASE WHEN l_linenumber = 1 THEN l_partkey ELSE l_suppkey END % 5 AS INT)
+            AS resource_database_id,
+        CASE l_linenumber WHEN 1 THEN 2000000 + l_partkey WHEN 2 THEN l_suppkey * 100
+             WHEN 3 THEN l_suppkey * 100 WHEN 6 THEN l_suppkey * 10 + l_partkey % 5
+             WHEN 7 THEN l_partkey ELSE 0 END AS resource_associated_entity_id,
         CASE l_returnflag WHEN 'A' THEN 'S' WHEN 'N' THEN 'X' ELSE 'U' END AS request_mode,
         'LOCK' AS request_type,
         CASE WHEN l_linestatus = 'O' AND l_linenumber = 2 THEN 'WAIT' ELSE 'GRANT' END
@@ -130,8 +132,11 @@ VIEWS = {
             s_suppkey % 25 = 0 AS is_ms_shipped
         FROM {{supplier}}
         UNION ALL
-        SELECT {_PART_SRV}, {_PART_DB}, CAST(2000000 + p_partkey AS INT), p_size % 3, p_name, 'U',
-            FALSE
+        SELECT {_PART_SRV}, {_PART_DB}, CAST(2000000 + p_partkey AS INT), p_size % 3,
+            CASE WHEN p_partkey % 5 <> 2 OR p_size % 3 = 2 THEN p_name
+                 WHEN p_size % 3 = 0 THEN rpad('#t' || CAST(p_size AS STRING), 128, '_')
+                 ELSE '#0A1B2C' || lpad(CAST(p_size AS STRING), 2, '0') END,
+            'U', FALSE
         FROM {{part}}
         UNION ALL
         SELECT DISTINCT {_PART_SRV}, {_PART_DB}, 1000000 + p_size, 0,
@@ -371,6 +376,21 @@ VIEWS = {
         FROM {events}""",
     "edges": f"""
         SELECT 'srv0' AS server_id, c AS waiter, b AS blocker FROM ({_EDGE}) AS e""",
+    # Orders wait for the customer's previous order of the same priority; the first
+    # for the first of another customer, or for nobody.
+    "order_waits": """
+        SELECT 'srv0' AS server_id, CAST(o_custkey AS INT) AS wait_session_id,
+            CAST(o_orderkey AS STRING) AS wait_task,
+            CAST(CASE WHEN prev IS NOT NULL THEN o_custkey ELSE fc END AS INT) AS block_session_id,
+            CAST(CASE WHEN prev IS NOT NULL THEN prev ELSE fk END AS STRING) AS block_task,
+            o_orderpriority AS wait_type, CAST(floor(o_totalprice) AS BIGINT) AS wait_duration_ms
+        FROM (SELECT *, lag(o_orderkey) OVER
+                  (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS prev
+              FROM {orders}) AS o
+        LEFT JOIN (SELECT o_custkey AS fc, o_orderpriority AS fp, min(o_orderkey) AS fk
+                   FROM {orders} GROUP BY o_custkey, o_orderpriority) AS f
+            ON f.fc = CAST(floor(o_custkey / 3.0) AS BIGINT) AND f.fp = o_orderpriority
+                AND prev IS NULL AND o_custkey > 0 AND o_orderstatus = 'F'""",
     "tran_locks": _LOCKS,
     "master_files": f"""
         SELECT {_srv('l_suppkey')} AS server_id, CAST(l_suppkey % 5 AS INT) AS database_id,

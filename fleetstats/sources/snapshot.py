@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from .schemas import KEYS, schema, tables
 
@@ -65,7 +66,7 @@ def append(df: DataFrame, base: str, table: str, mode: str = "append") -> None:
 def read(spark: SparkSession, base: str, table: str, servers: Iterable[str] | None = None,
          since=None, until=None) -> DataFrame:
     """Rows of a table; server and time limits prune directories before any read."""
-    full = schema(table).add(_DATE, "date").add(_BUCKET, "int")
+    full = schema(table).add(_DATE, T.DateType()).add(_BUCKET, T.IntegerType())
     df = spark.read.schema(full).parquet(f"{base}/{table}")
     if servers is not None:
         servers = list(servers)
