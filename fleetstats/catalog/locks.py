@@ -216,7 +216,7 @@ _OBJECT_NAMES = f""", k_catalog AS MATERIALIZED (
             ON a.database_id = i.database_id AND a.allocation_unit_id = i.entity_id
         WHERE idtype = 'AU'),
     k_containers AS (
-        SELECT idtype, database_id, entity_id, session_id, db, entity_id AS hobt, NULL AS type_desc
+        SELECT idtype, database_id, entity_id, session_id, db, entity_id AS hobt, CAST(NULL AS VARCHAR) AS type_desc
         FROM k_ids WHERE idtype = 'HOBT'
         UNION ALL
         SELECT 'HOBT', database_id, entity_id, session_id, db, container_id, type_desc
