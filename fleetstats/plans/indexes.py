@@ -106,7 +106,7 @@ def missing_indexes_with_rows(snap, *, scope=None, database_id=None, min_impact:
     hints = _hints_with_rows(snap, database_id, min_impact, min_rows)
     out = database_name(_named_objects(hints, snap), snap).withColumn(
         "recorded_at", _recorded_at(snap, recorded_at)
-    ).orderBy(*scope, F.desc("total_cost"))
+    ).orderBy(*scope, F.desc("total_cost"), "group_handle", "index_handle")
     return pick(
         out, snap, "database_id", "object_id", "total_cost", "avg_user_impact", "user_seeks",
         "unique_compiles", "row_count", "database_name", "schema_name", "table_name",
@@ -161,7 +161,7 @@ def index_usage(snap, *, scope=None, database_id=None) -> DataFrame:
                 "user_updates": "updates"}
     used = lookup(named, snap["index_usage"], _same(*_INDEX), counters, snap.keys_)
     out = used.orderBy(*scope_of(snap, scope), "database_id", "object_name",
-                       F.asc_nulls_first("_name"))
+                       F.asc_nulls_first("_name"), "object_id", "index_id")
     return out.select(
         *snap.keys_, "database_id", "object_name",
         F.coalesce("_name", F.lit("(heap)")).alias("index_name"), "type",
@@ -204,7 +204,7 @@ def index_used_flag(snap, *, scope=None, database_id=None, recorded_at=None) ->
         .withColumn("index_is_used", usage_flag("user_seeks", "user_scans", "user_lookups"))
         .withColumn("drop_index", F.lit(0))
         .withColumn("recorded_at", _recorded_at(snap, recorded_at))
-        .orderBy(*scope_of(snap, scope), F.desc("user_updates"))
+        .orderBy(*scope_of(snap, scope), F.desc("user_updates"), *_INDEX)
     )
     return pick(
         out, snap, "database_name", "schema_name", "table_name", "index_name", "type_desc",
@@ -337,7 +337,7 @@ def partitioned_tables(snap, *, scope=None, database_id=None) -> DataFrame:
         out = lookup(out, snap[dim] if isinstance(dim, str) else dim, on, take, keys, how)
     out = out.withColumn(
         "type", F.when(F.col("_right"), "Range Right").otherwise("Range Left")
-    ).orderBy(*scope_of(snap, scope), "partition_number")
+    ).orderBy(*scope_of(snap, scope), "partition_number", *_INDEX)
     return pick(
         out, snap, "table_name", "pf_name", "ps_name", "fg_name", "value", "type", "data_type",
         "max_length", "precision", "scale", "is_default", "parameter_id", "partition_count",

@@ -61,7 +61,8 @@ def cache_pollution_details(snap, like: str = "%", not_like: str = "%dm_exec%",
     out = lookup(groups, snap["query_plan"], {"plan_handle": "plan_handle"},
                  {"query_plan": "query_plan"}, snap.keys_, "inner")
     order = F.desc(order_by) if order_by == "total_cost" else F.asc(order_by)
-    return pick(out.orderBy(*scope, order), snap, *groups.columns[len(snap.keys_):], "query_plan")
+    out = out.orderBy(*scope, order, "objtype", "query_hash", "query_plan_hash")
+    return pick(out, snap, *groups.columns[len(snap.keys_):], "query_plan")
 
 
 def one_time_queries(snap, *, scope=None, n: int = 100) -> DataFrame:
@@ -91,7 +92,8 @@ def cached_queries(snap, *, scope=None) -> DataFrame:
     out = lookup(plans, snap["query_text"], on, {"encrypted": "encrypted", "text": "text"},
                  snap.keys_, "inner")
     out = lookup(out, snap["query_plan"], on, {"query_plan": "query_plan"}, snap.keys_, "inner")
-    out = out.orderBy(*scope_of(snap, scope), F.desc("refcounts"), F.desc("size_in_bytes"))
+    out = out.orderBy(*scope_of(snap, scope), F.desc("refcounts"), F.desc("size_in_bytes"),
+                      "plan_handle")
     return pick(out, snap, "refcounts", "size_in_bytes", "cacheobjtype", "encrypted", "text",
                 "query_plan")
 

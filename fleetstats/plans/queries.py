@@ -238,7 +238,7 @@ def procedure_profile(snap, database_id=None, *, scope=None, object_name: str |
         out = out.filter(F.col("object_name") == object_name)
     out = out.withColumn(
         "sql_stmt", statement_text("text", *_OFFSETS, zero_end_is_open=True)
-    ).orderBy(*scope_of(snap, scope), F.desc("avg_elapsed_time"))
+    ).orderBy(*scope_of(snap, scope), F.desc("avg_elapsed_time"), "sql_handle", *_OFFSETS)
     names = [f"{p}_{c}" for c in counters for p in ("min", "max", "avg", "last")]
     return pick(out, snap, "execution_count", "object_name", *names, "sql_stmt")
 
@@ -279,7 +279,7 @@ def missing_index_plans(snap, *, scope=None) -> DataFrame:
         _with_text(hinted, snap)
         .withColumn("statement_text", statement_text("text", *_OFFSETS))
         .withColumn("total_impact", F.col("impact") * F.col("execution_count"))
-        .orderBy(*scope_of(snap, scope), F.desc("total_impact"))
+        .orderBy(*scope_of(snap, scope), F.desc("total_impact"), "sql_handle", "plan_handle", *_OFFSETS)
     )
     return pick(
         out, snap, "query_plan", "avg_cpu", "avg_duration", "avg_reads", "execution_count",
@@ -343,7 +343,7 @@ def running_queries(snap, exclude_session=None, *, scope=None) -> DataFrame:
     out = lookup(out, snap["query_plan"], {"plan_handle": "plan_handle"},
                  {"query_plan": "query_plan"}, snap.keys_, "inner")
     out = database_name(out, snap).orderBy(
-        *scope_of(snap, scope), F.desc("elapsed_time"), F.desc("cpu_time")
+        *scope_of(snap, scope), F.desc("elapsed_time"), F.desc("cpu_time"), "session_id"
     )
     return pick(out, snap, "session_id", "database_name", "host", "user", "command", "status",
                 "deadlock_priority", "cpu_time", "elapsed_time", "sql_text", "query_plan")

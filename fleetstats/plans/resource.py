@@ -50,5 +50,5 @@ def dtu_percent(snap, database: str | None = None, *, scope=None) -> DataFrame:
     out = df.withColumn(
         "avg_dtu_percent",
         row_max("avg_cpu_percent", "avg_data_io_percent", "avg_log_write_percent"),
-    ).orderBy(*scope_of(snap, scope), F.desc("end_time"))
+    ).orderBy(*scope_of(snap, scope), F.desc("end_time"), "start_time", "database_name")
     return pick(out, snap, "start_time", "end_time", "avg_dtu_percent")

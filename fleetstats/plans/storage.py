@@ -28,7 +28,7 @@ def disk_usage_by_table(snap, *, scope=None, database_id=None) -> DataFrame:
         parse_kb("data").alias("data_kb"),
         parse_kb("index_size").alias("index_kb"),
     ).withColumn("total_kb", F.col("data_kb") + F.col("index_kb"))
-    return out.orderBy(*scope_of(snap, scope), F.desc("total_kb"))
+    return out.orderBy(*scope_of(snap, scope), F.desc("total_kb"), "table_name")
 
 
 def index_details(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
@@ -77,4 +77,5 @@ def disk_usage_by_index(snap, *, scope=None, exclude_db=SAMPLE_DATABASES) -> Dat
                 "reserved_mb")
         .distinct()
     )
-    return out.orderBy(*scope_of(snap, scope), F.desc("reserved_mb"))
+    return out.orderBy(*scope_of(snap, scope), F.desc("reserved_mb"), "db_name", "table_name",
+                       "index_name")
