@@ -38,7 +38,7 @@ def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canonical(columns, rows) -> tuple[list[str], list[tuple]]:
-    """Columns by name and rows in a fixed order, numbers to nine digits."""
+    """Columns by name and rows in a fixed order, numbers as exact doubles."""
     names = sorted(columns)
     at = [columns.index(n) for n in names]
 
@@ -48,7 +48,7 @@ def canonical(columns, rows) -> tuple[list[str], list[tuple]]:
         if isinstance(x, bool):
             return str(x)
         if hasattr(x, "as_integer_ratio") or hasattr(x, "as_tuple"):
-            return f"{float(x):.9g}"
+            return repr(float(x))
         return str(x)
 
     return names, sorted(tuple(value(r[i]) for i in at) for r in rows)

@@ -13,7 +13,7 @@ from ..plans import dimensions as dim
 from ..sources import append, read, scratch_dir
 from ..streaming import dtu_stream, resource_fit_stream
 from .registry import query
-from .reports import _FITS, stmt
+from .reports import _FITS, pct, stmt
 from .views import spark_view
 
 
@@ -37,8 +37,8 @@ _REVENUE = """revenue AS (SELECT o_custkey, sum(CAST(floor(o_totalprice) AS BIGI
         SELECT *, sum(revenue) OVER () AS total,
             sum(revenue) OVER (ORDER BY revenue DESC, o_custkey ROWS UNBOUNDED PRECEDING) AS run
         FROM revenue)
-    SELECT o_custkey, revenue, 100.0 * revenue / total AS pct, 100.0 * run / total AS running_pct
-    FROM r WHERE 100.0 * (run - revenue) / total < 80""")
+    SELECT o_custkey, revenue, {pct('revenue', 'total')} AS pct, {pct('run', 'total')} AS running_pct
+    FROM r WHERE {pct('run - revenue', 'total')} < 80""")
 def pareto_customers(spark, sf_dir):
     return pareto(_revenue(spark, sf_dir), "revenue", ["o_custkey"], 80)
 
@@ -47,12 +47,9 @@ def pareto_customers(spark, sf_dir):
     WITH r AS (
         SELECT o_orderpriority, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders)
     SELECT o_orderpriority, o_orderkey, price,
-        row_number() OVER w AS row_number, sum(price) OVER w::BIGINT AS running,
-        sum(price) OVER (PARTITION BY o_orderpriority)::BIGINT AS total
-    FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)
-    """.replace("sum(price) OVER w::BIGINT", "CAST(sum(price) OVER w AS BIGINT)")
-       .replace("sum(price) OVER (PARTITION BY o_orderpriority)::BIGINT",
-                "CAST(sum(price) OVER (PARTITION BY o_orderpriority) AS BIGINT)"))
+        row_number() OVER w AS row_number, CAST(sum(price) OVER w AS BIGINT) AS running,
+        CAST(sum(price) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total
+    FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def running_order_total(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderpriority", "o_orderkey", F.floor("o_totalprice").cast("long").alias("price")
@@ -116,7 +113,7 @@ def first_order_per_customer(spark, sf_dir):
 @query(f"""
     WITH {_REVENUE}
     SELECT c_mktsegment, o_custkey, revenue,
-        100.0 * revenue / sum(revenue) OVER (PARTITION BY c_mktsegment) AS pct
+        {pct('revenue', 'sum(revenue) OVER (PARTITION BY c_mktsegment)')} AS pct
     FROM revenue JOIN customer ON c_custkey = o_custkey""")
 def share_of_segment(spark, sf_dir):
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -196,12 +193,12 @@ def parsed_sizes(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", fn.parse_kb(text).alias("kb"))
 
 
-@query("""
+@query(f"""
     SELECT o_orderpriority, count(*) AS n, sum(p)::BIGINT AS amount,
         sum(o_custkey)::BIGINT // count(*) AS avg_uses,
         sum(CASE WHEN o_orderstatus = 'F' THEN p ELSE 0 END)::BIGINT AS amount_if,
         count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_if,
-        100.0 * sum(CASE WHEN o_orderstatus = 'F' THEN p ELSE 0 END)::BIGINT / sum(p)::BIGINT AS pct_if
+        {pct("sum(CASE WHEN o_orderstatus = 'F' THEN p ELSE 0 END)", 'sum(p)')} AS pct_if
     FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) AS x
     GROUP BY o_orderpriority""")
 def rollup_by_priority(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..plans import locks as lk, lock_steps as ls, queries as qs
 from ..sources import Snapshot, scratch_dir
-from ..streaming import lock_overview_stream
+from ..streaming import lock_overview_stream, restrict
 from .generic import LEVELS
 from .registry import query
 from .reports import stmt
@@ -597,11 +597,11 @@ def supplement_processes(spark, sf_dir):
 
 
 @query(_K_LOCKS + _K_WAITS + """
-    SELECT session_id, session_id IN (SELECT session_id FROM k_locks WHERE req_status = 'WAIT'
-        AND session_id NOT IN (SELECT wait_session_id FROM k_waits)) AS waiter_no_blocker
-    FROM sessions""".replace("SELECT session_id, session_id IN (SELECT",
-                             "SELECT session_id, (session_id IN (SELECT")
-    .replace(") AS waiter_no_blocker", "))::BIGINT AS waiter_no_blocker"),
+    SELECT session_id, CAST(session_id IN (
+        SELECT session_id FROM k_locks WHERE req_status = 'WAIT'
+            AND session_id NOT IN (SELECT wait_session_id FROM k_waits)) AS BIGINT)
+        AS waiter_no_blocker
+    FROM sessions""",
     ["tran_locks", "waiting_tasks", "sessions"])
 def mark_waiter_without_blocker(spark, sf_dir):
     snap = _snap(spark, sf_dir)
@@ -656,13 +656,16 @@ def running_queries(spark, sf_dir):
     return _bare(qs.running_queries(_snap(spark, sf_dir), exclude_session=42))
 
 
-@query(_K_TRANS + _TO_STATEMENTS + _K_KEPT + _K_OBJECTS + _K_MERGED + _K_NUMBERED
-       + _K_SUPPLEMENTED + _K_FLAGGED + _REPORT, _VIEWS)
+_OVERVIEW = (_K_TRANS + _TO_STATEMENTS + _K_KEPT + _K_OBJECTS + _K_MERGED + _K_NUMBERED
+             + _K_SUPPLEMENTED + _K_FLAGGED + _REPORT)
+
+
+@query(_OVERVIEW, _VIEWS)
 def lock_overview(spark, sf_dir):
     return _bare(lk.lock_overview(_snap(spark, sf_dir), own_session=_OWN))
 
 
-@query(name="lock_overview_stream")
+@query(_OVERVIEW, _VIEWS, "lock_overview_stream")
 def _lock_overview_stream(spark, sf_dir):
     """The same report, run for each snapshot that a manifest stream announces."""
     out = scratch_dir(spark, "lock-stream")
@@ -672,15 +675,12 @@ def _lock_overview_stream(spark, sf_dir):
         f"{out}/manifest"
     )
 
-    def arrived(keys):
-        return Snapshot(
-            {t: (lambda t=t: snap[t].join(keys, _KEYS, "left_semi")) for t in snap}, _KEYS
-        )
-
     def write(report, batch_id):
         report.write.mode("overwrite").parquet(f"{out}/report/batch={batch_id}")
 
-    stream = lock_overview_stream(manifest, arrived, write, own_session=_OWN)
+    stream = lock_overview_stream(
+        manifest, lambda keys: restrict(snap, keys), write, own_session=_OWN
+    )
     stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(
     ).awaitTermination()
     return _bare(spark.read.parquet(f"{out}/report")).drop("batch")

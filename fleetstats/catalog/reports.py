@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..plans import (
     backups as bk, indexes as ix, inventory as inv, memory_io as mem, plancache as pc,
@@ -21,6 +20,10 @@ def stmt(text="text", start="statement_start_offset", end="statement_end_offset"
     )
 
 
+def pct(part, whole) -> str:
+    return f"CAST({part} AS DOUBLE) * CAST(100 AS DOUBLE) / CAST({whole} AS DOUBLE)"
+
+
 def top(n: int, order: str, per: str = "server_id") -> str:
     return f"QUALIFY row_number() OVER (PARTITION BY {per} ORDER BY {order}) <= {n}"
 
@@ -31,12 +34,12 @@ def top(n: int, order: str, per: str = "server_id") -> str:
 def _pareto_sql(threshold, extra=""):
     return f"""
     SELECT server_id, wait_type, (wait_time_ms + 5) // 10 / 100.0 AS wait_time_s,
-        round(100.0 * wait_time_ms / total, 2) AS pct, round(100.0 * run / total, 2) AS running_pct
+        round({pct('wait_time_ms', 'total')}, 2) AS pct, round({pct('run', 'total')}, 2) AS running_pct
     FROM (SELECT *, sum(wait_time_ms) OVER (PARTITION BY server_id) AS total,
               sum(wait_time_ms) OVER (PARTITION BY server_id ORDER BY wait_time_ms DESC, wait_type
                   ROWS UNBOUNDED PRECEDING) AS run
           FROM wait_stats {extra}) AS r
-    WHERE 100.0 * (run - wait_time_ms) / total < {threshold}"""
+    WHERE {pct('run - wait_time_ms', 'total')} < {threshold}"""
 
 
 @query(_pareto_sql(99, f"WHERE wait_type NOT IN {_IDLE}"), ["wait_stats"])
@@ -51,7 +54,7 @@ def wait_pareto_short(spark, sf_dir):
 
 @query(f"""
     SELECT server_id, wait_type, wait_time_ms // 1000 AS wait_time_s,
-        round(100.0 * wait_time_ms / sum(wait_time_ms) OVER (PARTITION BY server_id), 2)
+        round({pct('wait_time_ms', 'sum(wait_time_ms) OVER (PARTITION BY server_id)')}, 2)
             AS pct_waiting
     FROM wait_stats WHERE wait_type NOT LIKE '%2%'
     {top(10, 'wait_time_ms DESC, wait_type')}""", ["wait_stats"])
@@ -235,15 +238,15 @@ _CACHE = ["cached_plans AS order_plans", "query_stats AS order_stats", "query_te
           "query_plan AS order_plan_xml", "databases"]
 
 
-@query("""
+@query(f"""
     SELECT server_id, objtype AS cache_type, count(*) AS total_plans,
         sum(size_in_bytes)::BIGINT / 1048576.0 AS total_mbs,
         sum(usecounts)::BIGINT // count(*) AS avg_use_count,
         sum(CASE WHEN usecounts = 1 THEN size_in_bytes ELSE 0 END)::BIGINT / 1048576.0
             AS total_mbs_use_1,
         count(CASE WHEN usecounts = 1 THEN 1 END) AS total_plans_use_1,
-        100.0 * sum(CASE WHEN usecounts = 1 THEN size_in_bytes ELSE 0 END)::BIGINT
-            / sum(size_in_bytes)::BIGINT AS percent_wasted
+        {pct('sum(CASE WHEN usecounts = 1 THEN size_in_bytes ELSE 0 END)', 'sum(size_in_bytes)')}
+            AS percent_wasted
     FROM cached_plans GROUP BY server_id, objtype""", _CACHE[:1])
 def cache_pollution(spark, sf_dir):
     return pc.cache_pollution(plan_cache(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bit_flags, bits_clear, idiv, parse_kb
 from ..operators import lookup
-from .common import only_database, pick, scope_of
+from .common import only_database, scope_of
 
 # Database status bits (loading, pre-recovery, recovering, not
 # recovered, offline, emergency) and index status bits.

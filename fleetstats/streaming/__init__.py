@@ -1,6 +1,6 @@
 """The resource and lock reports on data as it arrives."""
 
 from .resource import dtu_stream, resource_fit_stream
-from .locks import lock_overview_stream
+from .locks import lock_overview_stream, restrict
 
-__all__ = ["dtu_stream", "lock_overview_stream", "resource_fit_stream"]
+__all__ = ["dtu_stream", "lock_overview_stream", "resource_fit_stream", "restrict"]

@@ -2,7 +2,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from fleetstats.catalog import QUERIES
 from fleetstats.streaming import dtu_stream, resource_fit_stream
 
 START = dt.datetime(2024, 5, 1)
@@ -39,10 +38,3 @@ def test_fit_stream_equals_batch_for_closed_windows(spark, tmp_path):
 def test_dtu_stream_equals_batch_for_closed_windows(spark, tmp_path):
     got, want = run(spark, tmp_path, dtu_stream)
     assert got == want and len(got) == 2 * 56
-
-
-def test_lock_stream_equals_batch(spark):
-    sf = "/root/testdata/sf0.001"
-    stream = QUERIES["lock_overview_stream"](spark, sf).collect()
-    batch = QUERIES["lock_overview"](spark, sf).collect()
-    assert sorted(map(str, stream)) == sorted(map(str, batch)) and batch
