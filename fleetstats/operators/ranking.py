@@ -12,6 +12,7 @@ from .joins import join_same
 # Spark prunes row_number() <= n before the shuffle only up to this n (the default
 # of spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_LIMIT = 1000
+_PARTS = 256
 # Up to this many rows a page is gathered by one top-k; beyond, ranks are spread.
 _SHALLOW_ROWS = 100_000
 
@@ -117,8 +118,9 @@ def top_n(df: DataFrame, order, n: int, scope=()) -> DataFrame:
     """First ``n`` rows by ``order`` in each scope, or overall without one.
 
     Every map task keeps at most n rows per scope before the shuffle. For an n
-    that Spark does not prune by itself, a first round over hashed parts of the
-    scope does the same.
+    that Spark does not prune by itself, a first round over parts of the
+    scope does the same; the parts follow the input's partitions, so that equal rows
+    spread as well.
     """
     order = [_col(o) for o in order]
     if not scope:
@@ -127,7 +129,7 @@ def top_n(df: DataFrame, order, n: int, scope=()) -> DataFrame:
     if n > _PRUNED_LIMIT:
         part = Window.partitionBy(*scope, "_part").orderBy(*order)
         source = (
-            df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(256)))
+            df.withColumn("_part", F.spark_partition_id() % _PARTS)
             .withColumn("_rank", F.row_number().over(part))
             .filter(F.col("_rank") <= n)
             .drop("_part", "_rank")
