@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, quality_rules, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,119 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rules and along redirects and canonical links."""
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+_NODE = "CASE WHEN {h} <> '' THEN {h} || {p} || regexp_extract({r}, '^[^?#]*(\\?[^#]*)?', 1) END"
+_HOST = "translate(regexp_extract({r}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({r}, '^[^/?#]*([^?#]*)', 1)"
+_REST = "CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
+
+ORACLES["op8_url_filters"] = f"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES
+  {", ".join(str(r) for r in URL_RULES)}),
+p AS (SELECT page_id, url, html, {_REST.format(u="url")} AS r FROM pages),
+q AS (SELECT *, {_HOST.format(r="r")} AS h, {_PATH.format(r="r")} AS pa FROM p),
+tags AS (
+  SELECT *, unnest([
+    regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'),
+      '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'),
+      '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)]) AS raw
+  FROM q WHERE instr(url, '://') > 0),
+ends AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+      WHEN t LIKE '//%' THEN split_part(url, '://', 1) || ':' || t
+      WHEN t LIKE '/%' THEN split_part(url, '://', 1) || '://' || h || t
+      WHEN t LIKE '#%' OR t LIKE '?%' THEN split_part(url, '://', 1) || '://' || h || pa || t
+      ELSE split_part(url, '://', 1) || '://' || h
+        || CASE WHEN pa = '' THEN '/' ELSE regexp_extract(pa, '^(.*/)?') END || t END AS target
+  FROM (SELECT *, replace(raw, '&amp;', '&') AS t FROM tags WHERE raw <> '')),
+seen AS (SELECT DISTINCT u, {_REST.format(u="u")} AS r
+  FROM (SELECT url AS u FROM pages UNION SELECT target FROM ends)),
+parts AS (SELECT *, {_HOST.format(r="r")} AS h, {_PATH.format(r="r")} AS pa FROM seen),
+named AS (SELECT *, {_NODE.format(h="h", p="pa", r="r")} AS node FROM parts),
+ruled AS (
+  SELECT n.u, n.h, n.pa, n.node, b.rule, b.verdict
+  FROM named n LEFT JOIN LATERAL (
+    SELECT host || path AS rule, verdict FROM rules
+    WHERE (n.h = host OR n.h LIKE '%.' || host) AND starts_with(n.pa, path)
+    ORDER BY length(host || path) DESC, verdict LIMIT 1) b ON true),
+edges AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM ends e JOIN named a ON a.u = e.url JOIN named b ON b.u = e.target
+  WHERE a.node IS NOT NULL AND b.node IS NOT NULL),
+spread(node) AS (
+  SELECT node FROM ruled WHERE verdict = 'block' AND node IN (SELECT a FROM edges UNION SELECT b FROM edges)
+  UNION SELECT CASE WHEN e.a = s.node THEN e.b ELSE e.a END
+  FROM spread s JOIN edges e ON e.a = s.node OR e.b = s.node)
+SELECT p.page_id, coalesce(r.h, '') AS host, coalesce(r.pa, '') AS path, r.rule,
+  CASE WHEN r.verdict IS NOT NULL THEN r.verdict WHEN s.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  r.verdict IS NULL AND s.node IS NOT NULL AS inherited
+FROM pages p LEFT JOIN ruled r ON r.u = p.url LEFT JOIN (SELECT DISTINCT node FROM spread) s ON s.node = r.node
+"""
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with thresholds by language and source."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    bucket = "CASE WHEN v < 64 THEN v ELSE 32 * (length(bin(v)) - 5) + (v >> (length(bin(v)) - 6)) - 32 END"
+    floor = "CASE WHEN {b} < 64 THEN {b} ELSE (({b} - 64) % 32 + 32) << (({b} - 64) // 32 + 1)::BIGINT END"
+    ratios = quality_rules.RATIOS
+    each = ", ".join(f"{{'ratio': '{n}', 'v': {f} * {a} // {b}}}" for n, (a, b, f, _, _) in ratios.items())
+    least = " ".join(f"WHEN '{n}' THEN {s}" for n, (_, _, _, s, _) in ratios.items())
+    broken = " OR ".join(
+        f"(ratio = '{n}' AND (v > high{' OR v < low' if low else ''}))" for n, (_, _, _, _, low) in ratios.items())
+    level = """
+{name}_run AS (SELECT {by}, ratio, bucket, sum(sum(n)) OVER (PARTITION BY {by}, ratio ORDER BY bucket) AS upto,
+  sum(sum(n)) OVER (PARTITION BY {by}, ratio) AS total FROM sketch GROUP BY {by}, ratio, bucket),
+{name}_q AS (SELECT {by}, ratio, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS b1,
+  min(bucket) FILTER (4 * upto >= 3 * total) AS b3 FROM {name}_run GROUP BY {by}, ratio),
+{name} AS (SELECT {by}, ratio, total, q1 - 3 * greatest(q3 - q1, least) AS low, q3 + 3 * greatest(q3 - q1, least) AS high
+  FROM (SELECT *, {q1} AS q1, {q3} AS q3, CASE ratio {least} END AS least FROM {name}_q)),"""
+    levels = "".join(level.format(name=n, by=by, q1=floor.format(b="b1"), q3=floor.format(b="b3"), least=least)
+                     for n, by in (("own", "lang, source"), ("of_lang", "lang"), ("of_all", "everything")))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+    coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source FROM documents),
+w AS (SELECT k, list_filter(string_split_regex(trim(text, {spaces}), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: trim(x, {spaces}) <> '') AS l FROM d),
+win AS (SELECT k, i, list_slice(w, i, i + 7) AS g FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win) WHERE c > 1),
+cover AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, range(8) r(j) GROUP BY k),
+c AS (SELECT d.k, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(array_to_string(w, '')) - length(translate(array_to_string(w, ''), '#*$%&|<>', '')) AS n_symbols,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
+  FROM d JOIN w USING (k) LEFT JOIN cover USING (k)),
+each AS (SELECT k, lang, source, 1 AS everything, unnest([{each}], recursive := true) FROM c WHERE n_words > 0),
+sketch AS (SELECT lang, source, everything, ratio, {bucket} AS bucket, count(*) AS n FROM each GROUP BY ALL),{levels}
+bad AS (SELECT DISTINCT k FROM (
+  SELECT e.k, e.ratio, e.v,
+    CASE WHEN a.total >= 100 THEN a.low WHEN b.total >= 100 THEN b.low ELSE z.low END AS low,
+    CASE WHEN a.total >= 100 THEN a.high WHEN b.total >= 100 THEN b.high ELSE z.high END AS high
+  FROM each e JOIN own a USING (lang, source, ratio) JOIN of_lang b USING (lang, ratio) JOIN of_all z USING (ratio))
+  WHERE {broken})
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND k NOT IN (SELECT k FROM bad) AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+"""
+
+
+ORACLES["op10_quality_rules"] = _quality_sql()
