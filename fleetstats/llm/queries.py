@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, quality_classifier, quality_rules, url_filters
+from . import byte_bpe, decontaminate, ngram_join, quality_classifier, quality_rules, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents, within the edit budget."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their three-word shingles."""
+    found = ngram_join.groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return found.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
