@@ -151,13 +151,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     own = limits(sketch, ("_lang", "_source"))
     names = [c for c in own.columns if c.endswith(("_high", "_low"))]
     of_lang = limits(merged(sketch, ("_lang",)), ("_lang",))
-    of_all = limits(merged(sketch.select(F.lit(1).alias("_all"), "ratio", "bucket", "n"), ("_all",)), ("_all",))
+    of_all = limits(merged(sketch.withColumn("_all", F.sign("n")), ("_all",)), ("_all",))
 
     def under(df: DataFrame, mark: str, *keys: str) -> DataFrame:
         return df.select(*keys, *[F.col(c).alias(f"{mark}{c}") for c in ("n_texts", *names)])
 
     level = (under(own, "a_", "_lang", "_source").join(under(of_lang, "b_", "_lang"), "_lang")
-             .withColumn("_all", F.lit(1)).join(under(of_all, "c_", "_all"), "_all"))
+             .withColumn("_all", F.sign("a_n_texts")).join(under(of_all, "c_", "_all"), "_all"))
     chosen = level.select("_lang", "_source", *[
         F.when(F.col("a_n_texts") >= LEAST, F.col(f"a_{c}"))
         .when(F.col("b_n_texts") >= LEAST, F.col(f"b_{c}")).otherwise(F.col(f"c_{c}")).alias(c)

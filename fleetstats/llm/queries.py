@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, ngram_join, quality_classifier, quality_rules, url_filters
+from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,37 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine tenths of their three-word shingles."""
     found = ngram_join.groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return found.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are later copies of a repeated run."""
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("_deleted").cast("long").alias("n_deleted"),
+                        F.col("_longest").cast("long").alias("longest_run"))
+
+
+ORACLES["op6_line_dedup"] = """
+WITH RECURSIVE raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+seq AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM raw
+  WHERE length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20),
+marked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS later,
+  count(*) OVER (PARTITION BY line) > 1 AS repeated FROM seq),
+run(doc_id, i, odoc, oi, n) AS (
+  SELECT a.doc_id, a.i, b.doc_id, b.i, 1 FROM marked a JOIN marked b
+  ON a.line = b.line AND (a.doc_id <> b.doc_id OR a.i <> b.i) WHERE a.later
+  UNION ALL
+  SELECT r.doc_id, r.i, r.odoc, r.oi, n + 1 FROM run r
+  JOIN marked a ON a.doc_id = r.doc_id AND a.i = r.i + n JOIN marked b ON b.doc_id = r.odoc AND b.i = r.oi + n
+  WHERE a.line = b.line),
+longest AS (SELECT doc_id, max(n) AS longest_run FROM run GROUP BY doc_id),
+rest AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.line_no) FILTER (m.later IS NOT TRUE) AS text,
+    count(*) FILTER (m.later) AS n_deleted
+  FROM raw r LEFT JOIN marked m USING (doc_id, line_no) GROUP BY r.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(rest.text, '') END AS text,
+  coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(longest_run, 0)::BIGINT AS longest_run
+FROM documents d LEFT JOIN rest USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
