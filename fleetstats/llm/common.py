@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from fleetstats.sources.scratch import settle
 
@@ -33,25 +35,16 @@ def lines(text: Column) -> Column:
 
 def mapped(df: DataFrame, schema: str, fn: Callable[[dict], Iterator[dict] | dict]) -> DataFrame:
     """Apply ``fn`` to Arrow batches given as lists by column; it returns lists by column."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    kinds = _arrow_types(df.sparkSession, schema)
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
 
     def run(batches):
         for batch in batches:
             out = fn(batch.to_pydict())
-            arrays = [pa.array(out[n], t) for n, t in zip(names, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in fields], names=[n for n, _ in fields])
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_types(spark: SparkSession, schema: str) -> list:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    return [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
-
-
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b): the smallest node it is connected with.
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, url_filters
+from . import (
+    byte_bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts,
+    url_filters,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +198,15 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(rest.text, '')
   coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(longest_run, 0)::BIGINT AS longest_run
 FROM documents d LEFT JOIN rest USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the unigram model."""
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
