@@ -14,6 +14,7 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -141,12 +142,12 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     }).withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Encode and decode every text: (id, n_tokens, ids_sha256, decoded_sha256).
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+            pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text: (id, n_tokens, ids_sha256, decoded_sha256), and ids if wanted.
 
     The first digest is of the decimal ids joined by commas, the second of the bytes that
-    the ids decode to. Both happen in one pass, so that ids never leave the task.
+    the ids decode to. Nulls and repeated rows are as in ``encode``.
     """
     codec = _codec(docs.sparkSession, path, pattern)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -154,12 +155,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(b):
         c, decimal = codec(), [str(i) for i in range(len(codec().pieces))]
-        out = {"id": b["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out = {"id": b["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for ids in c.encode([t or "" for t in b["text"]]):
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
+            if with_ids:
+                out["ids"].append(np.array(ids, np.int32))
         return out
 
-    return mapped(rows, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-                  run).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return mapped(rows, schema + ", ids array<int>" * with_ids, run).withColumnRenamed("id", id_col)

@@ -11,7 +11,11 @@ from pyspark.sql.types import StructType
 
 from fleetstats.sources.scratch import settle
 
-__all__ = ["SPACES", "words", "lines", "table", "mapped", "settle", "components"]
+__all__ = ["SPACES", "LAST", "words", "lines", "table", "mapped", "settle", "packed", "unpacked", "whole_number",
+           "components"]
+
+#: Stands for a null document id where ids are compared: it comes last.
+LAST = (1 << 63) - 1
 
 #: The characters between words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,6 +37,24 @@ def lines(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """``df`` as one column ``_row``, beside ``keys``: no name of ``df`` can clash with a key."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"),
+                     *[v.alias(k) for k, v in keys.items()])
+
+
+def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The columns that ``like`` had before ``packed``, some of them changed, others added."""
+    rest = {k: v for k, v in changed.items() if k not in like.columns}
+    return df.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in like.columns],
+                     *[v.alias(k) for k, v in rest.items()])
+
+
+def whole_number(id_: Column) -> Column:
+    """An id as a number to compare; LAST for null and for what is no number."""
+    return F.coalesce(id_.try_cast("long"), F.lit(LAST))
+
+
 def mapped(df: DataFrame, schema: str, fn: Callable[[dict], Iterator[dict] | dict]) -> DataFrame:
     """Apply ``fn`` to Arrow batches given as lists by column; it returns lists by column."""
     fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]

@@ -16,7 +16,7 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mapped, settle
+from .common import mapped, settle, whole_number
 from .line_dedup import suffix_array
 from .url_filters import host_of
 
@@ -145,7 +145,7 @@ def _placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 def boilerplate(placed: DataFrame) -> DataFrame:
     """(host, path) of places whose text is mostly covered by runs that several pages of a host have."""
-    key = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    key = whole_number(F.col("id")).alias("doc")
     each = (placed.select(key, "t", "host", F.posexplode("blocks").alias("i", "b"))
             .where("b.role <> 'main'")
             .select("doc", "t", "host", "i", "b.path", F.xxhash64("host", "b.path", "b.text").alias("h1"),

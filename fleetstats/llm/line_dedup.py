@@ -16,10 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACES, lines, settle
+from .common import SPACES, lines, packed, settle, unpacked, whole_number
 from .quality_rules import let
 
-_LAST = (1 << 63) - 1
 _KEY = ["doc", "t"]
 
 
@@ -44,7 +43,7 @@ def positions(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
     counted = F.filter(
         F.transform(lines(docs[text_col]), lambda x, n: F.struct(n.alias("line_no"), x.alias("line"))),
         lambda s: F.length(F.trim(s["line"], F.lit(SPACES))) >= least_chars)
-    return (docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("doc"),
+    return (docs.select(whole_number(docs[id_col]).alias("doc"),
                         F.xxhash64(text).alias("t"), F.posexplode(counted).alias("i", "s"))
             .select(*_KEY, "i", "s.line_no", F.xxhash64("s.line").alias("h1"),
                     F.xxhash64(F.lit(1), F.col("s.line")).alias("h2")).distinct())
@@ -134,28 +133,29 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 1,
-          least_chars: int = 20) -> DataFrame:
-    """The rows with all their columns, their text without copied lines, and (_deleted, _longest).
-
-    ``_deleted`` counts the lines gone, ``_longest`` the lines of the longest repeated run
-    that a deleted line begins. A null text stays null, an empty one empty. Lines shorter
-    than ``least_chars`` without white space around stay and do not interrupt runs. Rows of
-    equal id and text are one document and get the same result; null ids come last. Extra
-    columns pass through; columns named like the helpers here must not be among them.
+          least_chars: int = 20, deleted_col: str | None = None, longest_col: str | None = None) -> DataFrame:
+    """The rows with all their columns, their text without copied lines, and two counts if named.
+
+    ``deleted_col`` counts the lines gone, ``longest_col`` the lines of the longest repeated
+    run that a deleted line begins. A null text stays null, an empty one empty. Lines
+    shorter than ``least_chars`` without white space around stay and do not interrupt runs.
+    Rows of equal id and text are one document and get the same result; null ids come last.
+    Extra columns pass through, whatever their names.
     """
     gone = copies(docs, id_col, text_col, least_lines, least_chars).groupBy(*_KEY).agg(
-        F.collect_set("line_no").alias("_gone"), F.max("run").alias("_longest"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "_gone", "_longest")
-    keyed = docs.withColumns({"_kdoc": F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)),
-                              "_kt": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
-    both = keyed.join(gone, (F.col("_kdoc") == F.col("_doc")) & (F.col("_kt") == F.col("_t")), "left")
+        F.collect_set("line_no").alias("gone"), F.max("run").alias("longest"))
+    text = docs[text_col]
+    rows = packed(docs, doc=whole_number(docs[id_col]), t=F.xxhash64(F.coalesce(text, F.lit(""))))
+    both = rows.join(gone, _KEY, "left")
 
     def rest(parts: Column) -> Column:
-        kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
+        kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
         return F.array_join(F.transform(kept, lambda n: F.get(parts, n)), "\n")
 
-    changed = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(let(F.split(text_col, "\n"), rest))
-    return (both.withColumn(text_col, changed)
-            .withColumn("_deleted", F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)))
-            .withColumn("_longest", F.coalesce("_longest", F.lit(0)))
-            .drop("_kdoc", "_kt", "_doc", "_t", "_gone"))
+    old = F.col(f"_row.`{text_col}`")
+    changed = {text_col: F.when(F.col("gone").isNull(), old).otherwise(let(F.split(old, "\n"), rest))}
+    if deleted_col:
+        changed[deleted_col] = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    if longest_col:
+        changed[longest_col] = F.coalesce("longest", F.lit(0)).cast("long")
+    return unpacked(both, docs, **changed)

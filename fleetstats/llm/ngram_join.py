@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import components, settle
+from .common import SPACES, components, packed, settle, unpacked
 
 #: n-grams are counted by this many hash buckets to tell frequent ones.
 SKETCH = 1 << 16
@@ -329,10 +329,8 @@ def firsts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
              .select(F.col(id_col).alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
              .dropDuplicates())
     text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
-    match = ((F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2"))
-             & F.col(id_col).eqNullSafe(F.col("_id")))
-    worded = F.trim(text, F.lit(" \t\n\x0b\x0c\r")) != ""
-    kept = (keyed.where(worded).join(heads, match, "left_semi")
-            .dropDuplicates([id_col, "_h1", "_h2"]))
-    return kept.union(keyed.where(~worded)).drop("_h1", "_h2")
+    rows = packed(docs, _id=docs[id_col], _t1=F.xxhash64(text), _t2=F.xxhash64(F.lit(1), text),
+                  _worded=F.trim(text, F.lit(SPACES)) != "")
+    match = ((rows._t1 == heads._t1) & (rows._t2 == heads._t2) & rows._id.eqNullSafe(heads._id))
+    kept = rows.where("_worded").join(heads, match, "left_semi").dropDuplicates(["_id", "_t1", "_t2"])
+    return unpacked(kept.union(rows.where("not _worded")), docs)

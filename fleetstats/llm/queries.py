@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    byte_bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts,
-    url_filters,
+    byte_bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, substring_dedup,
+    token_counts, url_filters,
 )
 from .common import table
 
@@ -169,9 +169,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are later copies of a repeated run."""
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.col("_deleted").cast("long").alias("n_deleted"),
-                        F.col("_longest").cast("long").alias("longest_run"))
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"), deleted_col="n_deleted", longest_col="longest_run")
+    return found.select("doc_id", "text", "n_deleted", "longest_run")
 
 
 ORACLES["op6_line_dedup"] = """
@@ -210,3 +209,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that are later copies, by characters."""
+    found = substring_dedup.spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("first_doc").alias("first_doc_id"))
