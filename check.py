@@ -6,6 +6,7 @@ usage: python check.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -23,6 +24,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetstats-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

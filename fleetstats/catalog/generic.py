@@ -89,7 +89,8 @@ def top_orders(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) <= 1500""")
 def top_many_orders_per_status(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
-    return top_n(orders, ["o_totalprice", "o_orderkey"], 1500, ["o_orderstatus"]).drop("o_totalprice")
+    return top_n(orders, ["o_totalprice", "o_orderkey"], 1500, ["o_orderstatus"], spread=True
+                 ).drop("o_totalprice")
 
 
 @query("""
@@ -102,6 +103,26 @@ def page_orders(spark, sf_dir):
     return page(orders, [F.desc("o_orderdate"), "o_orderkey"], 3, 25)
 
 
+@query("""
+    SELECT o_orderkey, o_orderdate, row_number, total_hits FROM (
+        SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS row_number,
+            count(*) OVER () AS total_hits FROM orders) AS r
+    WHERE row_number BETWEEN 1001 AND 1025""")
+def page_deep(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return page(orders, [F.desc("o_orderdate"), "o_orderkey"], 41, 25, spread=True)
+
+
+@query("""
+    SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS row_number,
+        (SELECT count(*) FROM orders) AS total_hits FROM orders WHERE o_orderdate < DATE '1995-01-01'
+    ORDER BY o_orderdate DESC, o_orderkey LIMIT 25""")
+def page_after(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return page(orders, [F.desc("o_orderdate"), "o_orderkey"], 1, 25,
+                after=F.col("o_orderdate") < F.lit("1995-01-01").cast("date"))
+
+
 @query("""
     SELECT o_custkey, o_orderkey, o_orderdate FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1""")

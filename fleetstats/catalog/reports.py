@@ -8,7 +8,7 @@ from ..plans import (
     queries as qs, resource as rs, storage as st, waits as wt,
 )
 from .registry import query
-from .views import backups, fleet, plan_cache
+from .views import backups, collections, fleet, plan_cache
 
 _IDLE = ("Brand#3", "Brand#14", "Brand#25")
 
@@ -62,6 +62,20 @@ def top_waits(spark, sf_dir):
     return wt.top_waits(fleet(spark, sf_dir), not_like="%2%")
 
 
+@query(_pareto_sql(99, f"WHERE wait_type NOT IN {_IDLE}"), ["wait_stats"])
+def wait_pareto_newest(spark, sf_dir):
+    return wt.wait_pareto(collections(spark, sf_dir), scope=["server_id"], exclude=_IDLE)
+
+
+@query(f"""
+    SELECT wait_type, sum(wait_time_ms)::BIGINT // 1000 AS wait_time_s,
+        round({pct('sum(wait_time_ms)', 'sum(sum(wait_time_ms)) OVER ()')}, 2) AS pct_waiting
+    FROM wait_stats WHERE wait_type NOT LIKE '%2%' GROUP BY wait_type
+    ORDER BY sum(wait_time_ms) DESC, wait_type LIMIT 10""", ["wait_stats"])
+def top_waits_fleet(spark, sf_dir):
+    return wt.top_waits(collections(spark, sf_dir), scope=(), not_like="%2%")
+
+
 # --- queries -------------------------------------------------------------------
 
 _STATS = ["query_stats", "query_text", "databases"]
@@ -87,6 +101,11 @@ def reads_by_database(spark, sf_dir):
     return qs.reads_by_database(fleet(spark, sf_dir))
 
 
+@query(_by_db("total_logical_reads", "total_reads"), _STATS)
+def reads_by_database_newest(spark, sf_dir):
+    return qs.reads_by_database(collections(spark, sf_dir), scope=["server_id"])
+
+
 @query(_by_db("total_logical_writes", "total_writes"), _STATS)
 def writes_by_database(spark, sf_dir):
     return qs.writes_by_database(fleet(spark, sf_dir))
@@ -580,6 +599,18 @@ def buffer_by_database(spark, sf_dir):
     return mem.buffer_by_database(fleet(spark, sf_dir))
 
 
+@query("""
+    SELECT b.server_id,
+        left(CASE WHEN b.database_id = 32767 THEN 'ResourceDb' ELSE d.name END, 20)
+            AS database_name,
+        count(*) AS buffered_page_count, count(*) * 8192 // 1048576 AS buffer_pool_mb
+    FROM buffer_pages b
+    LEFT JOIN databases d ON d.server_id = b.server_id AND d.database_id = b.database_id
+    GROUP BY b.server_id, b.database_id, d.name""", _BUFFER_VIEWS)
+def buffer_by_database_newest(spark, sf_dir):
+    return mem.buffer_by_database(collections(spark, sf_dir), scope=["server_id"])
+
+
 @query("""
     SELECT server_id, table_name, rows_cnt::BIGINT AS row_count,
         split_part(data, ' ', 1)::BIGINT AS data_kb, split_part(index_size, ' ', 1)::BIGINT AS index_kb,

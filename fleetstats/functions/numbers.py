@@ -27,9 +27,9 @@ def percent(part, whole) -> Column:
     return F.try_divide(_c(part).cast("double") * 100.0, _c(whole).cast("double"))
 
 
-def dec2(value) -> Column:
-    """Two-decimal presentation of a number, rounded half up."""
-    return _c(value).cast("decimal(12,2)")
+def dec2(value, digits: int = 12) -> Column:
+    """Two-decimal presentation of a number of up to ``digits`` digits, rounded half up."""
+    return _c(value).cast(f"decimal({digits},2)")
 
 
 def usage_flag(*cols) -> Column:

@@ -7,9 +7,18 @@ from pyspark.sql import Column, functions as F
 from .numbers import _c, idiv
 
 
+_BEYOND = r"([\x{10000}-\x{10FFFF}])"
+_SECOND_UNIT = "\uffff"  # no character
+
+
+def _units(text: Column) -> Column:
+    """The text with a mark after each character that takes two units, so that characters count units."""
+    return F.when(text.rlike(_BEYOND), F.regexp_replace(text, _BEYOND, f"$1{_SECOND_UNIT}")).otherwise(text)
+
+
 def text_bytes(text) -> Column:
     """Size of the text in two-byte units times two."""
-    return F.length(_c(text)) * 2
+    return F.length(_units(_c(text))) * 2
 
 
 def statement_text(text, start, end, *, zero_end_is_open: bool = False) -> Column:
@@ -17,7 +26,8 @@ def statement_text(text, start, end, *, zero_end_is_open: bool = False) -> Colum
 
     Offsets count bytes of two-byte text and include the last character; -1 means
     "to the end", and so does 0 when ``zero_end_is_open``. Characters outside the
-    basic plane take two units in the offsets and one here, so they shift the cut.
+    basic plane take two units, as in the offsets; one that is cut in two stays whole
+    at the end and goes at the start.
     """
     text, start, end = _c(text), _c(start), _c(end)
     is_open = end == -1
@@ -25,7 +35,8 @@ def statement_text(text, start, end, *, zero_end_is_open: bool = False) -> Colum
         is_open = end.isNull() | end.isin(-1, 0)
         start = F.coalesce(start, F.lit(0))
     stop = F.when(is_open, text_bytes(text)).otherwise(end)
-    return F.substring(text, idiv(start, 2) + 1, idiv(stop - start, 2) + 1)
+    cut = F.substring(_units(text), idiv(start, 2) + 1, idiv(stop - start, 2) + 1)
+    return F.replace(cut, F.lit(_SECOND_UNIT), F.lit(""))
 
 
 def split_object_name(col) -> dict[str, Column]:
@@ -43,8 +54,8 @@ def split_object_name(col) -> dict[str, Column]:
 
 
 def parse_kb(col) -> Column:
-    """Leading number of a size such as ``123 KB``."""
-    return F.substring_index(_c(col), " ", 1).cast("int")
+    """Leading number of a size such as ``123 KB``; a table may have terabytes."""
+    return F.substring_index(_c(col), " ", 1).cast("long")
 
 
 def index_ddl(group_handle, index_handle, statement, equality, inequality, included) -> Column:

@@ -9,13 +9,6 @@ from ..functions.numbers import percent
 from ..sources.scratch import settle
 from .joins import join_same
 
-# Spark prunes row_number() <= n before the shuffle only up to this n (the default
-# of spark.sql.optimizer.windowGroupLimitThreshold).
-_PRUNED_LIMIT = 1000
-_PARTS = 256
-# Up to this many rows a page is gathered by one top-k; beyond, ranks are spread.
-_SHALLOW_ROWS = 100_000
-
 
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -114,27 +107,20 @@ def share_of_total(df: DataFrame, measure: str, scope=(), name: str = "pct") ->
     )
 
 
-def top_n(df: DataFrame, order, n: int, scope=()) -> DataFrame:
+def top_n(df: DataFrame, order, n: int, scope=(), spread: bool = False) -> DataFrame:
     """First ``n`` rows by ``order`` in each scope, or overall without one.
 
-    Every map task keeps at most n rows per scope before the shuffle. For an n
-    that Spark does not prune by itself, a first round over parts of the
-    scope does the same; the parts follow the input's partitions, so that equal rows
-    spread as well.
+    By default one task ends up with the first n rows of a scope, which suits the n of
+    a report. ``spread`` is for an n of any size: ranks come from ``running``, which
+    cuts every scope into slices, and no task holds more than a slice.
     """
     order = [_col(o) for o in order]
+    if spread:
+        ranked = running(df, order, scope)
+        return ranked.filter(F.col("row_number") <= n).drop("row_number")
     if not scope:
         return df.orderBy(*order).limit(n)
-    source = df
-    if n > _PRUNED_LIMIT:
-        part = Window.partitionBy(*scope, "_part").orderBy(*order)
-        source = (
-            df.withColumn("_part", F.spark_partition_id() % _PARTS)
-            .withColumn("_rank", F.row_number().over(part))
-            .filter(F.col("_rank") <= n)
-            .drop("_part", "_rank")
-        )
-    ranked = source.withColumn(
+    ranked = df.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
     )
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
@@ -145,13 +131,14 @@ def first_per_group(df: DataFrame, group, order) -> DataFrame:
     return top_n(df, order, 1, group)
 
 
-def page(df: DataFrame, order, page: int = 1, size: int = 10, scope=(), after=None) -> DataFrame:
+def page(df: DataFrame, order, page: int = 1, size: int = 10, scope=(), after=None,
+         spread: bool = False) -> DataFrame:
     """Page number ``page`` with ``row_number`` and ``total_hits``.
 
-    Early pages come from a top-k of page * size rows. Deep pages are cut out of
-    spread row numbers. ``after``, a filter expression on the last key seen,
-    replaces the page number for readers that walk forward; row numbers then
-    count from that key.
+    A page comes from a top-k of page * size rows in one task; ``spread`` cuts it out of
+    row numbers spread over slices instead, for pages far back. ``after``, a filter
+    expression on the last key seen, replaces the page number for readers that walk
+    forward; row numbers then count from that key.
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
@@ -163,7 +150,7 @@ def page(df: DataFrame, order, page: int = 1, size: int = 10, scope=(), after=No
         hits = df.agg(F.count(F.lit(1)).alias("total_hits"))
     rows = df.filter(after) if after is not None else df
 
-    if last > _SHALLOW_ROWS:
+    if spread:
         cut = running(rows, order, scope).filter(F.col("row_number").between(first, last))
     else:
         # The window sees at most page * size rows per scope.

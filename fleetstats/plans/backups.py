@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import latest_or_label
-from .common import scope_of
+from .common import report, scope_of
 
 _TEMPDB = 2
 
 
+@report
 def last_backup(snap, *, scope=None) -> DataFrame:
     """Newest full backup of each database except tempdb, ``No Backup`` where there
     is none; newest first."""
@@ -23,6 +24,7 @@ def last_backup(snap, *, scope=None) -> DataFrame:
     return out.orderBy(*scope_of(snap, scope), F.desc_nulls_last("last_backup_finish_date"), "name")
 
 
+@report
 def backup_locations(snap, *, scope=None) -> DataFrame:
     """Devices that backups were written to."""
     return snap["backup_media"].select(*scope_of(snap, scope), "physical_device_name").distinct()

@@ -2,16 +2,30 @@
 
 A report takes a ``Snapshot`` and returns a DataFrame. ``scope`` is the set of
 columns within which it ranks and totals: by default the snapshot keys (each server
-at each collection on its own), ``()`` for the fleet. Tables are always joined on
-the snapshot keys as well. ``database_id`` restricts a report to one database.
+at each collection on its own), ``()`` for the fleet. A scope without the time of
+the snapshot means each server as last seen. Tables are always joined on the
+snapshot keys as well. ``database_id`` restricts a report to one database.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import lookup
-from ..sources.snapshot import Snapshot
+from ..sources.snapshot import Snapshot, newest
+
+
+def report(fn):
+    """A report that reads each server's newest collection when its scope spans collections."""
+    @wraps(fn)
+    def run(snap, *args, scope=None, **options):
+        if scope is not None and "snapshot_ts" not in scope:
+            snap = newest(snap)
+        return fn(snap, *args, scope=scope, **options)
+
+    return run
 
 
 def scope_of(snap: Snapshot, scope) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import index_ddl, split_object_name, usage_flag
 from ..operators import lookup, top_n
-from .common import database_name, only_database, pick, scope_of
+from .common import database_name, only_database, pick, report, scope_of
 
 _OBJECT = ("database_id", "object_id")
 _INDEX = (*_OBJECT, "index_id")
@@ -45,6 +45,7 @@ def _hints(snap, database_id=None, min_impact: float | None = None) -> DataFrame
     })
 
 
+@report
 def missing_indexes(snap, *, scope=None, database_id=None, n: int | None = None,
                     order_by: str = "avg_user_impact") -> DataFrame:
     """Indexes the optimizer missed, with the statement that would create each.
@@ -99,6 +100,7 @@ def _hints_with_rows(snap, database_id, min_impact, min_rows) -> DataFrame:
     )
 
 
+@report
 def missing_indexes_with_rows(snap, *, scope=None, database_id=None, min_impact: float = 90,
                               min_rows: int = 10_000, recorded_at=None) -> DataFrame:
     """Missing indexes worth having: high impact on big tables, costliest first."""
@@ -122,6 +124,7 @@ def _recorded_at(snap, given):
     return F.lit(None).cast("timestamp")
 
 
+@report
 def missing_index_count_by_db(snap, *, scope=None, min_impact: float = 90,
                               min_rows: int = 10_000) -> DataFrame:
     """Number of such indexes per database."""
@@ -135,6 +138,7 @@ def missing_index_count_by_db(snap, *, scope=None, min_impact: float = 90,
     )
 
 
+@report
 def missing_index_count(snap, *, scope=None) -> DataFrame:
     """Number of missing indexes per database, unfiltered. Names are cut to 30."""
     scope = scope_of(snap, scope)
@@ -150,6 +154,7 @@ def missing_index_count(snap, *, scope=None) -> DataFrame:
     )
 
 
+@report
 def index_usage(snap, *, scope=None, database_id=None) -> DataFrame:
     """Every index of every user object with its use, 0 when it was never used."""
     objects = only_database(snap["objects"], database_id).filter(F.col("type") != "S")
@@ -191,6 +196,7 @@ def _maintenance():
     return F.col("user_updates") + F.col("system_updates")
 
 
+@report
 def index_used_flag(snap, *, scope=None, database_id=None, recorded_at=None) -> DataFrame:
     """Named indexes with their counters and whether any of them was read at all.
     Used ones are listed too, with ``index_is_used`` = 1."""
@@ -213,6 +219,7 @@ def index_used_flag(snap, *, scope=None, database_id=None, recorded_at=None) ->
     )
 
 
+@report
 def costly_used_indexes(snap, *, scope=None, n: int = 10, database_id=None) -> DataFrame:
     """Indexes that cost most to maintain, with what they give back."""
     scope = scope_of(snap, scope)
@@ -229,6 +236,7 @@ def costly_used_indexes(snap, *, scope=None, n: int = 10, database_id=None) -> D
     )
 
 
+@report
 def most_used_indexes(snap, *, scope=None, n: int = 10, database_id=None) -> DataFrame:
     """Indexes read most often. A first cut per database would not change the set."""
     scope = scope_of(snap, scope)
@@ -238,6 +246,7 @@ def most_used_indexes(snap, *, scope=None, n: int = 10, database_id=None) -> Dat
     return pick(out, snap, "usage", "database_name", "table_name", "index_name")
 
 
+@report
 def fragmented_indexes(snap, *, scope=None, per_db: int = 10, n: int = 100,
                        database_id=None) -> DataFrame:
     """Most fragmented indexes: the first ``per_db`` of each database, then the
@@ -296,6 +305,7 @@ def index_depth(snap, table: str | None = None, index_id: int | None = None, *,
                 "page_count", "record_count")
 
 
+@report
 def partitioned_tables(snap, *, scope=None, database_id=None) -> DataFrame:
     """Every partition with its function, scheme, filegroup, boundary and size.
 

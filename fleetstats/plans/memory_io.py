@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import band, idiv
 from ..operators import lookup, top_n
-from .common import database_name, only_database, pick, scope_of
+from .common import database_name, only_database, pick, report, scope_of
 
 _RATINGS = ["Good", "Acceptable", "Unacceptable"]
 # Rating limits in milliseconds, each edge belonging to the worse side.
@@ -17,6 +17,7 @@ _RESOURCE_DB = 32767
 _PAGE_BYTES, _MB = 8192, 1024 * 1024
 
 
+@report
 def file_latency(snap, *, scope=None) -> DataFrame:
     """Average read and write time of each file that saw both, and a rating.
     Averages are truncated before they are rated."""
@@ -44,6 +45,7 @@ def file_latency(snap, *, scope=None) -> DataFrame:
     )
 
 
+@report
 def buffer_by_object(snap, *, scope=None, database_id=None, n: int = 100) -> DataFrame:
     """Cached pages and megabytes per object and index, the first ``n`` of each
     database. Pages are counted per allocation unit before any join."""
@@ -87,6 +89,7 @@ def buffer_by_object(snap, *, scope=None, database_id=None, n: int = 100) -> Dat
                 "buffered_page_count", "buffer_mb")
 
 
+@report
 def buffer_by_database(snap, *, scope=None) -> DataFrame:
     """Cached pages and megabytes per database. Names are cut to 20."""
     scope = scope_of(snap, scope)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import idiv, int_avg, statement_text
 from ..operators import conditional_rollup, lookup, top_n
-from .common import database_name, pick, scope_of
+from .common import database_name, pick, report, scope_of
 
 _MB = 1024.0 * 1024.0
 
 
+@report
 def cache_pollution(snap, *, scope=None) -> DataFrame:
     """Per object type: plans, megabytes, and how much of them was used only once."""
     scope = scope_of(snap, scope)
@@ -30,6 +31,7 @@ def cache_pollution(snap, *, scope=None) -> DataFrame:
     ).orderBy(*scope, F.desc("total_mbs_use_1"))
 
 
+@report
 def cache_pollution_details(snap, like: str = "%", not_like: str = "%dm_exec%", *, scope=None,
                             order_by: str = "example_statement_text") -> DataFrame:
     """Per object type and query and plan hash: memory, CPU and an example.
@@ -65,6 +67,7 @@ def cache_pollution_details(snap, like: str = "%", not_like: str = "%dm_exec%",
     return pick(out, snap, *groups.columns[len(snap.keys_):], "query_plan")
 
 
+@report
 def one_time_queries(snap, *, scope=None, n: int = 100) -> DataFrame:
     """Largest ad hoc plans that were used once, cursor fetches left out. Sizes are
     whole kilobytes, and ranked as such."""
@@ -83,6 +86,7 @@ def one_time_queries(snap, *, scope=None, n: int = 100) -> DataFrame:
     return pick(out, snap, "refcounts", "usecounts", "size_kb", "text")
 
 
+@report
 def cached_queries(snap, *, scope=None) -> DataFrame:
     """Every cached plan with text and plan, most referenced and largest first."""
     plans = snap["cached_plans"].select(
@@ -98,6 +102,7 @@ def cached_queries(snap, *, scope=None) -> DataFrame:
                 "query_plan")
 
 
+@report
 def lowest_plan_reuse(snap, *, scope=None, n: int = 100) -> DataFrame:
     """Statements whose plan was used least."""
     scope = scope_of(snap, scope)

@@ -13,7 +13,7 @@ from ..functions import (
     account, idiv, int_avg, plan_exists, plan_values, statement_text,
 )
 from ..operators import lookup, page, top_n
-from .common import database_name, only_database, pick, scope_of
+from .common import database_name, only_database, pick, report, scope_of
 
 _IDENTITY = ("sql_handle", "plan_handle", "statement_start_offset")
 _OFFSETS = ("statement_start_offset", "statement_end_offset")
@@ -58,11 +58,13 @@ def _by_database(snap, scope, counter: str, name: str, n: int) -> DataFrame:
     ).orderBy(*scope, *order)
 
 
+@report
 def reads_by_database(snap, *, scope=None, n: int = 10) -> DataFrame:
     """Logical reads per database; statements without one form their own group."""
     return _by_database(snap, scope, "total_logical_reads", "total_reads", n)
 
 
+@report
 def writes_by_database(snap, *, scope=None, n: int = 10) -> DataFrame:
     """Logical writes per database."""
     return _by_database(snap, scope, "total_logical_writes", "total_writes", n)
@@ -72,6 +74,7 @@ def _ranked(snap, scope, df: DataFrame, order: Column, n: int) -> DataFrame:
     return top_n(_with_text_ids(df, snap), [order, *_IDENTITY], n, scope_of(snap, scope))
 
 
+@report
 def costly_by_io(snap, *, scope=None, n: int = 100, order_by: str = "average_io") -> DataFrame:
     """Statements by logical reads and writes per execution."""
     stats = (
@@ -89,6 +92,7 @@ def costly_by_io(snap, *, scope=None, n: int = 100, order_by: str = "average_io"
     )
 
 
+@report
 def costly_by_cpu(snap, *, scope=None, n: int = 50, order_by: str = "total_cpu") -> DataFrame:
     """Statements by CPU time; ``order_by`` may also be ``average_cpu``."""
     stats = (
@@ -103,6 +107,7 @@ def costly_by_cpu(snap, *, scope=None, n: int = 50, order_by: str = "total_cpu")
     return _statements(top, snap, scope, order, "average_cpu", "total_cpu", "execution_count")
 
 
+@report
 def costly_clr(snap, *, scope=None, n: int = 100) -> DataFrame:
     """Statements by time in managed code per execution."""
     stats = (
@@ -116,6 +121,7 @@ def costly_clr(snap, *, scope=None, n: int = 100) -> DataFrame:
     return _statements(top, snap, scope, order, "average_clr_time", "total_clr_time", "execution_count")
 
 
+@report
 def most_executed(snap, *, scope=None, n: int = 10) -> DataFrame:
     """Statements by executions, of databases with a name other than msdb."""
     stats = snap["query_stats"].select(
@@ -129,6 +135,7 @@ def most_executed(snap, *, scope=None, n: int = 10) -> DataFrame:
     return _statements(top, snap, scope, order, "dbid", "execution_count", named=True)
 
 
+@report
 def most_blocked(snap, *, scope=None, n: int = 100) -> DataFrame:
     """Statements by the time they neither ran nor were finished, per execution."""
     stats = (
@@ -144,6 +151,7 @@ def most_blocked(snap, *, scope=None, n: int = 100) -> DataFrame:
     )
 
 
+@report
 def most_expensive(snap, *, scope=None, n: int = 10, by: str = "logical_reads") -> DataFrame:
     """Statements by total ``logical_reads``, ``logical_writes`` or ``worker_time``,
     with their plan. Statements without a text or plan are left out."""
@@ -176,6 +184,7 @@ def most_expensive(snap, *, scope=None, n: int = 10, by: str = "logical_reads")
     )
 
 
+@report
 def worst_procedures(snap, *, scope=None, database_id=None, n: int = 100) -> DataFrame:
     """Statements of known objects by average CPU time, the first ``n`` of each
     database. Times are in milliseconds: per execution first, then by 1000."""
@@ -216,6 +225,7 @@ def worst_procedures(snap, *, scope=None, database_id=None, n: int = 100) -> Dat
     return pick(out, snap, "database_name", "object_name", *cols, "statement_text")
 
 
+@report
 def procedure_profile(snap, database_id=None, *, scope=None, object_name: str | None = None) -> DataFrame:
     """Smallest, largest, average and last value of each counter per statement of
     one database, slowest first."""
@@ -250,6 +260,7 @@ _HINT_GROUP = (
 )
 
 
+@report
 def missing_index_plans(snap, *, scope=None) -> DataFrame:
     """Statements whose plan asks for an index in a database other than "m", by
     impact times executions. Each plan is parsed once, before the join."""
@@ -297,6 +308,7 @@ def cached_text(snap) -> DataFrame:
     return pick(out, snap, "execution_count", "text", "total_elapsed_time")
 
 
+@report
 def page_query_stats(snap, *, scope=None, page_number: int = 2, size: int = 10,
                      details: bool = False) -> DataFrame:
     """One page of query statistics, newest plan first, with row number and total.
@@ -323,6 +335,7 @@ def page_query_stats(snap, *, scope=None, page_number: int = 2, size: int = 10,
                 "avg_elapsed_time", "statement_text")
 
 
+@report
 def running_queries(snap, exclude_session=None, *, scope=None) -> DataFrame:
     """Requests in progress with text and plan, longest first, without the
     collector's own session."""

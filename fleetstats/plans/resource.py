@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import row_max
 from ..operators import fit_ratio, top_n
-from .common import pick, scope_of
+from .common import pick, report, scope_of
 
 FIT_COLUMNS = {
     "avg_cpu_percent": "cpu_fit",
@@ -24,6 +24,7 @@ def _recent(df: DataFrame, minutes: int | None, now) -> DataFrame:
     return df.filter(F.col("end_time") >= since)
 
 
+@report
 def latest_resource(snap, *, scope=None, n: int = 10, last_minutes: int | None = None,
                     now=None) -> DataFrame:
     """Newest ``n`` rows, optionally of the last minutes only."""
@@ -34,6 +35,7 @@ def latest_resource(snap, *, scope=None, n: int = 10, last_minutes: int | None =
     return top_n(df, order, n, scope).orderBy(*scope, *order)
 
 
+@report
 def resource_fit(snap, *, scope=None, limit: float = 80, last_minutes: int | None = None,
                  now=None) -> DataFrame:
     """Fraction, 0 to 1, of the rows in which CPU, log writes and data reads stayed
@@ -42,6 +44,7 @@ def resource_fit(snap, *, scope=None, limit: float = 80, last_minutes: int | Non
     return fit_ratio(df, FIT_COLUMNS, limit, scope_of(snap, scope))
 
 
+@report
 def dtu_percent(snap, database: str | None = None, *, scope=None) -> DataFrame:
     """The highest of the three percentages in each row of a database, newest first."""
     df = snap["resource_stats"]

@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bit_flags, bits_clear, idiv, parse_kb
 from ..operators import lookup
-from .common import only_database, scope_of
+from .common import only_database, report, scope_of
 
 # Database status bits (loading, pre-recovery, recovering, not
 # recovered, offline, emergency) and index status bits.
 UNAVAILABLE = (32, 64, 128, 256, 512, 32768)
 INDEX_STATUS = {
-    "is_primary": 2048, "clustered": 16, "is_unique": 2, "ignore_dup_key": 1,
-    "ignore_dup_row": 4, "no_recompute": 16777216,
+    "is_primary": 0x800, "clustered": 0x10, "is_unique": 0x2, "ignore_dup_key": 0x1,
+    "ignore_dup_row": 0x4, "no_recompute": 0x1000000,
 }
 SAMPLE_DATABASES = ("northwind", "pubs")
 _LAST_SYSTEM_DB = 4
 _STATISTICS = "_wa_sys_%"  # an underscore stands for any character here
 
 
+@report
 def disk_usage_by_table(snap, *, scope=None, database_id=None) -> DataFrame:
     """Rows, data, index and total kilobytes per table, biggest first."""
     out = only_database(snap["space_used"], database_id).select(
         *snap.keys_, "table_name",
-        F.col("rows_cnt").cast("int").alias("row_count"),
+        F.col("rows_cnt").cast("long").alias("row_count"),
         parse_kb("data").alias("data_kb"),
         parse_kb("index_size").alias("index_kb"),
     ).withColumn("total_kb", F.col("data_kb") + F.col("index_kb"))
@@ -68,6 +69,7 @@ def index_details(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
     )
 
 
+@report
 def disk_usage_by_index(snap, *, scope=None, exclude_db=SAMPLE_DATABASES) -> DataFrame:
     """Reserved megabytes per index, biggest first."""
     out = (

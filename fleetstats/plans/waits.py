@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dec2, idiv
 from ..operators import pareto, share_of_total, top_n
-from .common import pick, scope_of
+from .common import pick, report, scope_of
 
 # Wait types of idle background work.
 IDLE_WAITS = (
@@ -28,6 +28,7 @@ def _by_type(waits: DataFrame, scope) -> DataFrame:
     return waits.groupBy(*scope, "wait_type").agg(F.sum("wait_time_ms").alias("wait_time_ms"))
 
 
+@report
 def wait_pareto(snap, *, scope=None, threshold: float = 99, exclude=MORE_IDLE_WAITS) -> DataFrame:
     """Wait types that make up ``threshold`` percent of the time, the crossing one
     included. Percentages are of what is left after the exclusions."""
@@ -38,17 +39,19 @@ def wait_pareto(snap, *, scope=None, threshold: float = 99, exclude=MORE_IDLE_WA
     )
     return kept.select(
         *scope, "wait_type",
-        dec2(F.col("wait_time_ms").cast("decimal(20,0)") / 1000).alias("wait_time_s"),
+        dec2(F.col("wait_time_ms").cast("decimal(20,0)") / 1000, digits=20).alias("wait_time_s"),
         dec2("pct").alias("pct"),
         dec2("running_pct").alias("running_pct"),
     ).orderBy(*scope, "running_pct", F.desc("pct"), "wait_type")
 
 
+@report
 def wait_pareto_short(snap, *, scope=None, threshold: float = 95, exclude=IDLE_WAITS) -> DataFrame:
     """The same with the shorter exclusion list and a lower cutoff."""
     return wait_pareto(snap, scope=scope, threshold=threshold, exclude=exclude)
 
 
+@report
 def top_waits(snap, *, scope=None, n: int = 10, not_like: str = "%SLEEP%") -> DataFrame:
     """Longest waits with their share of all rows the filter leaves."""
     scope = scope_of(snap, scope)

@@ -6,7 +6,6 @@ here and reads it back: the lineage ends at files that outlive any executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +16,12 @@ _SETTING = "spark.checkpoint.dir"
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path under the session's checkpoint folder.
 
-    Only a local session may go without the setting; on a cluster a machine's own
-    temporary folder would be lost with the machine, so that is an error.
+    The setting is demanded: a machine's own temporary folder would be lost with the
+    machine, and the other machines would not see it.
     """
     root = spark.conf.get(_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="fleetstats-")
+        raise RuntimeError(f"set {_SETTING} to a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     return f"{root.rstrip('/')}/fleetstats/{app}/{purpose}-{uuid.uuid4().hex}"
 

@@ -7,6 +7,7 @@ the place of a loop over servers or databases.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,15 @@ _BUCKETS = 64
 _DATE, _BUCKET = "snapshot_date", "server_bucket"
 
 
+_DAY_MICROS = 86_400_000_000
+
+
+def _day(ts):
+    """The day of an instant in UTC, whatever the session's time zone is."""
+    days = F.floor(F.unix_micros(ts) / F.lit(_DAY_MICROS)).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
 def _bucket(server):
     return F.pmod(F.xxhash64(server), F.lit(_BUCKETS)).cast("int")
 
@@ -45,24 +55,45 @@ class Snapshot(Mapping):
         return Snapshot({**self._frames, **frames}, self.keys_)
 
 
-def append(df: DataFrame, base: str, table: str, mode: str = "append") -> None:
+def append(df: DataFrame, base: str, table: str) -> None:
     """Write rows of a table under ``base``, by day and by a hash bucket of the server.
 
+    Rows that are there already are not written again, so a collection may be repeated;
+    only the days and buckets of the new rows are looked through for them.
+
     A directory per server would be far too many for a large fleet. The rebalance
     hint lets adaptive execution merge small buckets and split big ones, so one
     busy server does not make one long task. Sorting by server inside the files
     keeps the min/max statistics of their row groups tight.
     """
-    (
+    spark, path = df.sparkSession, f"{base}/{table}"
+    full = schema(table).add(_DATE, T.DateType()).add(_BUCKET, T.IntegerType())
+    new = (
         df.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)])
-        .withColumn(_DATE, F.to_date("snapshot_ts"))
+        .withColumn(_DATE, _day(F.col("snapshot_ts")))
         .withColumn(_BUCKET, _bucket("server_id"))
-        .hint("rebalance", _DATE, _BUCKET)
+    )
+    if _exists(spark, path):
+        # one pair for each day and bucket that is written to
+        where = [tuple(r) for r in new.select(_DATE, _BUCKET).distinct().collect()]
+        there = spark.read.schema(full).parquet(path).filter(
+            F.col(_DATE).isin([d for d, _ in where]) & F.col(_BUCKET).isin([b for _, b in where])
+        )
+        old = there.select(*[F.col(c).alias(f"_{c}") for c in full.fieldNames()]).distinct()
+        same = reduce(lambda a, b: a & b, [new[c].eqNullSafe(old[f"_{c}"]) for c in full.fieldNames()])
+        new = new.join(old, same, "left_anti")
+    (
+        new.hint("rebalance", _DATE, _BUCKET)
         .sortWithinPartitions(_DATE, _BUCKET, *KEYS)
-        .write.mode(mode).partitionBy(_DATE, _BUCKET).parquet(f"{base}/{table}")
+        .write.mode("append").partitionBy(_DATE, _BUCKET).parquet(path)
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read(spark: SparkSession, base: str, table: str, servers: Iterable[str] | None = None,
          since=None, until=None) -> DataFrame:
     """Rows of a table; server and time limits prune directories before any read."""
@@ -74,10 +105,10 @@ def read(spark: SparkSession, base: str, table: str, servers: Iterable[str] | No
         df = df.filter(F.col(_BUCKET).isin(*buckets) & F.col("server_id").isin(*servers))
     if since is not None:
         since = F.lit(since).cast("timestamp")
-        df = df.filter((F.col(_DATE) >= F.to_date(since)) & (F.col("snapshot_ts") >= since))
+        df = df.filter((F.col(_DATE) >= _day(since)) & (F.col("snapshot_ts") >= since))
     if until is not None:
         until = F.lit(until).cast("timestamp")
-        df = df.filter((F.col(_DATE) <= F.to_date(until)) & (F.col("snapshot_ts") < until))
+        df = df.filter((F.col(_DATE) <= _day(until)) & (F.col("snapshot_ts") < until))
     return df.drop(_DATE, _BUCKET)
 
 
@@ -88,6 +119,36 @@ def open_snapshot(spark: SparkSession, base: str, **limits) -> Snapshot:
     )
 
 
+#: Tables whose collections overlap: each row counts once, however often it was collected.
+SERIES = ("db_resource_stats", "resource_stats")
+
+
+def newest(snap: Snapshot) -> Snapshot:
+    """Each server as it was last seen: what a report over several collections reads.
+
+    Counters grow from collection to collection, so adding them up would count twice.
+    A server's newest collection is that of its databases, or of the table itself
+    where databases were not collected. Of the series, each row is taken once.
+    """
+    if "snapshot_ts" not in snap.keys_ or getattr(snap, "newest_", False):
+        return snap
+
+    def cut(name: str) -> DataFrame:
+        df = snap[name]
+        if "snapshot_ts" not in df.columns:
+            return df
+        if name in SERIES:
+            others = [c for c in df.columns if c != "snapshot_ts"]
+            return df.groupBy(*others).agg(F.min("snapshot_ts").alias("snapshot_ts")).select(*df.columns)
+        seen = snap["databases"] if "databases" in snap else df
+        last = seen.groupBy("server_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+        return df.join(last, list(KEYS), "left_semi")
+
+    out = Snapshot({name: (lambda name=name: cut(name)) for name in snap}, snap.keys_)
+    out.newest_ = True
+    return out
+
+
 def latest(df: DataFrame) -> DataFrame:
     """Rows of each server's newest snapshot."""
     newest = df.groupBy("server_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))

@@ -116,3 +116,20 @@ def test_plan_values_take_first_match_and_survive_bad_xml(spark):
     df = df.withColumn("has", fn.plan_exists("x", "/p/g/m"))
     out = fn.plan_values(df, "x", {"i": ("/p/g/@i", "double"), "d": ("/p/g/m/@d", "string")})
     assert rows(out, "i", "d", "has") == [p[1:] for p in plans]
+
+
+def test_statements_beyond_the_basic_plane(spark):
+    text = "\U0001F600\U0001F600 SELECT 1 \U0001F600; SELECT 2"
+    units = text.encode("utf-16-le")
+    start = units.index("SELECT 2".encode("utf-16-le"))
+    first = units.index("SELECT 1".encode("utf-16-le"))
+    df = spark.createDataFrame(
+        [(text, start, -1), (text, first, first + 14), (text, 0, start - 2), ("plain text", 12, 18), (None, 0, -1)],
+        "t string, s int, e int")
+    got = [r[0] for r in df.select(fn.statement_text("t", "s", "e")).collect()]
+    assert got == ["SELECT 2", "SELECT 1", units[:start].decode("utf-16-le"), "text", None]
+
+
+def test_sizes_over_two_billion(spark):
+    row = spark.createDataFrame([("3000000000 KB",)], "s string").select(fn.parse_kb("s"), fn.dec2(F.lit(2e10), digits=20)).first()
+    assert row[0] == 3_000_000_000 and row[1] == 20_000_000_000

@@ -93,24 +93,20 @@ def test_first_per_group(spark):
 
 
 @pytest.mark.parametrize("deep", [False, True])
-def test_pages_join_to_the_full_order(spark, monkeypatch, deep):
-    if deep:
-        monkeypatch.setattr(ranking, "_SHALLOW_ROWS", 0)
+def test_pages_join_to_the_full_order(spark, deep):
     df = spark.createDataFrame([(i * 37 % 25,) for i in range(25)], "v int")
     seen = []
     for p in (1, 2, 3):
-        part = rows(page(df, ["v"], p, 10).orderBy("row_number"), "v", "row_number", "total_hits")
+        part = rows(page(df, ["v"], p, 10, spread=deep).orderBy("row_number"), "v", "row_number", "total_hits")
         assert all(hits == 25 for *_, hits in part)
         seen += [(v, n) for v, n, _ in part]
     assert seen == [(i, i + 1) for i in range(25)]
 
 
 @pytest.mark.parametrize("deep", [False, True])
-def test_page_per_scope(skewed, monkeypatch, deep):
-    if deep:
-        monkeypatch.setattr(ranking, "_SHALLOW_ROWS", 0)
+def test_page_per_scope(skewed, deep):
     data, df = skewed
-    got = page(df, ["id"], 2, 5, ["scope"])
+    got = page(df, ["id"], 2, 5, ["scope"], spread=deep)
     hot = sorted(d[1] for d in data if d[0] == "hot")
     mine = sorted(rows(got.filter("scope = 'hot'"), "row_number", "id", "total_hits"))
     assert mine == [(i + 1, hot[i], len(hot)) for i in range(5, 10)]

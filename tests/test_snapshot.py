@@ -46,6 +46,56 @@ def test_reports_run_on_stored_snapshots(spark, snap, tmp_path):
     assert got == [("a", "W")]
 
 
+def test_a_repeated_collection_changes_nothing(spark, snap, tmp_path):
+    waits = snap(wait_stats=[
+        {"server_id": s, "wait_type": w, "wait_time_ms": 1} for s in "ab" for w in ("V", "W")
+    ])["wait_stats"]
+    append(waits.filter("wait_type = 'V'"), str(tmp_path), "wait_stats")
+    append(waits, str(tmp_path), "wait_stats")
+    append(waits, str(tmp_path), "wait_stats")
+    assert read(spark, str(tmp_path), "wait_stats").count() == 4
+
+
+def test_days_do_not_depend_on_the_session(spark, snap, tmp_path):
+    at = dt.datetime(2024, 5, 2, 0, 45)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    waits = snap(wait_stats=[{"snapshot_ts": at, "wait_type": "W", "wait_time_ms": 1}])["wait_stats"]
+    try:
+        for writer, reader, until, since in (
+            ("UTC", "America/Los_Angeles", "2024-05-01 18:30:00", "2024-05-01 17:30:00"),
+            ("Asia/Tokyo", "UTC", "2024-05-02 01:30:00", "2024-05-02 00:30:00"),
+        ):
+            base = str(tmp_path / writer.replace("/", "-"))
+            spark.conf.set("spark.sql.session.timeZone", writer)
+            append(waits, base, "wait_stats")
+            spark.conf.set("spark.sql.session.timeZone", reader)
+            assert read(spark, base, "wait_stats", until=until).count() == 1
+            assert read(spark, base, "wait_stats", since=since).count() == 1
+            assert read(spark, base, "wait_stats", until=since).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_scope_over_collections_reads_the_newest(spark, snap):
+    from fleetstats.plans.resource import resource_fit
+    from fleetstats.plans.waits import top_waits
+
+    later = TS + dt.timedelta(days=1)
+    made = snap(wait_stats=[
+        {"wait_type": "W", "wait_time_ms": 1000}, {"snapshot_ts": later, "wait_type": "W", "wait_time_ms": 1500},
+        {"server_id": "b", "wait_type": "W", "wait_time_ms": 3000},
+    ])
+    assert rows(top_waits(made, scope=()), "wait_time_s") == [(4,)]
+    assert sorted(rows(top_waits(made, scope=["server_id"]), "server_id", "wait_time_s")) == [("a", 1), ("b", 3)]
+    assert len(top_waits(made).collect()) == 3
+    series = [{"snapshot_ts": t, "end_time": e, "avg_cpu_percent": p, "avg_data_io_percent": 1.0, "avg_log_write_percent": 1.0}
+              for t in (TS, later) for e, p in ((TS, 90.0), (TS - dt.timedelta(hours=1), 10.0))]
+    series.append({"snapshot_ts": later, "end_time": later, "avg_cpu_percent": 10.0, "avg_data_io_percent": 1.0,
+                   "avg_log_write_percent": 1.0})
+    fit = resource_fit(snap(db_resource_stats=series), scope=()).first()
+    assert abs(float(fit.cpu_fit) - 2 / 3) < 1e-6
+
+
 class FakeSession:
     """A session on a cluster, with or without the checkpoint setting."""
 
