@@ -127,8 +127,9 @@ def newest(snap: Snapshot) -> Snapshot:
     """Each server as it was last seen: what a report over several collections reads.
 
     Counters grow from collection to collection, so adding them up would count twice.
-    A server's newest collection is that of its databases, or of the table itself
-    where databases were not collected. Of the series, each row is taken once.
+    A server's newest collection is the last that has its databases or a row of the
+    table, so a table that was empty then stays empty. Of the series, each row is
+    taken once.
     """
     if "snapshot_ts" not in snap.keys_ or getattr(snap, "newest_", False):
         return snap
@@ -140,7 +141,9 @@ def newest(snap: Snapshot) -> Snapshot:
         if name in SERIES:
             others = [c for c in df.columns if c != "snapshot_ts"]
             return df.groupBy(*others).agg(F.min("snapshot_ts").alias("snapshot_ts")).select(*df.columns)
-        seen = snap["databases"] if "databases" in snap else df
+        seen = df.select(*KEYS)
+        if name != "databases" and "databases" in snap:
+            seen = seen.union(snap["databases"].select(*KEYS))
         last = seen.groupBy("server_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
         return df.join(last, list(KEYS), "left_semi")
 
