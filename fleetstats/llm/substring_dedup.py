@@ -115,8 +115,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
     every = settle(chunks(docs, id_col, text_col, window), "chunks")
     fresh = every.where("fresh")
-    shared = (fresh.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last"))
-              .where("first_doc < last").drop("last"))
+    # written down, so that the join shuffles both sides and can split a frequent chunk
+    shared = settle(fresh.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last"))
+                    .where("first_doc < last").drop("last"), "chunks-shared")
     columns = ["doc", "t", "j", "start", "end", "words"]
     across = fresh.join(shared, ["d1", "d2"]).where("doc > first_doc").select(*columns, "first_doc")
     within = every.where("not fresh").select(*columns, F.col("doc").alias("first_doc"))
