@@ -263,7 +263,7 @@ _HINT_GROUP = (
 @report
 def missing_index_plans(snap, *, scope=None) -> DataFrame:
     """Statements whose plan asks for an index in a database other than "m", by
-    impact times executions. Each plan is parsed once, before the join."""
+    impact times executions. Plans are parsed before the join, not once for each statement."""
     plans = snap["query_plan"].filter(F.contains(F.col("query_plan"), F.lit("MissingIndex")))
     plans = plan_values(
         plans.filter(plan_exists("query_plan", f'{_HINT_GROUP}/MissingIndex[@Database!="m"]')),
