@@ -659,6 +659,14 @@ def index_details(spark, sf_dir):
     return st.index_details(fleet(spark, sf_dir))
 
 
+@query(f"""
+    SELECT d.server_id, d.name AS db_name, o.name AS table_name, i.name AS index_name, i.indid,
+        keyno AS key_number, c.name AS column_name, t.name AS data_type, xprec AS "precision", xscale AS scale,
+        iscomputed AS is_computed, isnullable AS is_nullable, "collation" {_LEGACY_JOIN}""", _LEGACY)
+def index_columns(spark, sf_dir):
+    return st.index_columns(fleet(spark, sf_dir))
+
+
 _BACKUP_VIEWS = ["databases AS backup_databases", "backup_sets", "backup_media"]
 
 

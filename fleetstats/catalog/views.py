@@ -346,7 +346,9 @@ VIEWS = {
     "sys_columns": """
         SELECT 'srv' || CAST(o_custkey % 3 AS STRING) AS server_id, CAST(o_custkey AS INT) AS database_id,
             CAST(o_orderkey AS INT) AS id, CAST(1 + k AS INT) AS colid,
-            'c' || CAST(k AS STRING) AS name, CAST(50 + k * (o_orderkey % 4) AS INT) AS xtype
+            'c' || CAST(k AS STRING) AS name, CAST(50 + k * (o_orderkey % 4) AS INT) AS xtype,
+            CAST(10 + k AS INT) AS xprec, CAST(k AS INT) AS xscale, CAST(o_orderkey % 2 AS INT) AS iscomputed,
+            CAST(k % 2 AS INT) AS isnullable, CASE WHEN k > 1 THEN 'binary' END AS collation
         FROM {orders} {each_4}""",
     "sys_types": """
         SELECT 'srv' || CAST(c_custkey % 3 AS STRING) AS server_id, CAST(c_custkey AS INT) AS database_id,

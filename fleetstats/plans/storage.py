@@ -32,6 +32,39 @@ def disk_usage_by_table(snap, *, scope=None, database_id=None) -> DataFrame:
     return out.orderBy(*scope_of(snap, scope), F.desc("total_kb"), "table_name")
 
 
+def _user_indexes(snap, exclude_db) -> DataFrame:
+    """Indexes of available user databases, statistics left out, with db_name and table_name."""
+    keys, db = snap.keys_, "database_id"
+    dbs = snap["sys_databases"].filter(
+        ~F.col("name").isin(*exclude_db)
+        & (F.col("dbid") > _LAST_SYSTEM_DB)
+        & bits_clear("status", UNAVAILABLE)
+    )
+    indexes = snap["sys_indexes"].filter(~F.col("name").like(_STATISTICS))
+    named = lookup(indexes, dbs, {db: "dbid"}, {"name": "db_name"}, keys, "inner")
+    tables = snap["sys_objects_legacy"].filter(F.col("xtype") != "S")
+    return lookup(named, tables, {db: db, "id": "id"}, {"name": "table_name"}, keys, "inner")
+
+
+def index_columns(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
+    """The key columns of every index in their order, with type and properties."""
+    keys, db = snap.keys_, "database_id"
+    column = {"name": "column_name", "xtype": "_xtype", "xprec": "precision", "xscale": "scale",
+              "iscomputed": "is_computed", "isnullable": "is_nullable", "collation": "collation"}
+    parts = lookup(snap["sys_index_keys"], snap["sys_columns"],
+                   {db: db, "id": "id", "colid": "colid"}, column, keys, "inner")
+    parts = lookup(parts, snap["sys_types"], {db: db, "_xtype": "xtype"}, {"name": "data_type"},
+                   keys, "inner")
+    about = ["db_name", "table_name", "name"]
+    out = lookup(parts, _user_indexes(snap, exclude_db), {db: db, "id": "id", "indid": "indid"},
+                 {c: c for c in about}, keys, "inner")
+    return out.select(
+        *keys, "db_name", "table_name", F.col("name").alias("index_name"), "indid",
+        F.col("keyno").alias("key_number"), "column_name", "data_type", "precision", "scale",
+        "is_computed", "is_nullable", "collation",
+    ).orderBy(*keys, "db_name", "table_name", "indid", "key_number", "column_name", "data_type")
+
+
 def index_details(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
     """Indexes that have key columns, of available user databases, with their
     status flags, estimated rows and pages in kilobytes.
@@ -40,11 +73,6 @@ def index_details(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
     are semi-joined: there is no row per key column to fold away again.
     """
     keys, db = snap.keys_, "database_id"
-    dbs = snap["sys_databases"].filter(
-        ~F.col("name").isin(*exclude_db)
-        & (F.col("dbid") > _LAST_SYSTEM_DB)
-        & bits_clear("status", UNAVAILABLE)
-    )
     columns = lookup(
         snap["sys_columns"], snap["sys_types"], {db: db, "xtype": "xtype"}, {}, keys, "left_semi"
     )
@@ -52,13 +80,10 @@ def index_details(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
         snap["sys_index_keys"], columns, {db: db, "id": "id", "colid": "colid"}, {}, keys,
         "left_semi",
     )
-    indexes = snap["sys_indexes"].filter(~F.col("name").like(_STATISTICS))
-    indexes = lookup(
-        indexes, keyed, {db: db, "id": "id", "indid": "indid"}, {}, keys, "left_semi"
+    out = lookup(
+        _user_indexes(snap, exclude_db), keyed, {db: db, "id": "id", "indid": "indid"}, {}, keys,
+        "left_semi",
     )
-    named = lookup(indexes, dbs, {db: "dbid"}, {"name": "db_name"}, keys, "inner")
-    tables = snap["sys_objects_legacy"].filter(F.col("xtype") != "S")
-    out = lookup(named, tables, {db: db, "id": "id"}, {"name": "table_name"}, keys, "inner")
     return out.select(
         *keys, "db_name", "table_name", F.col("name").alias("index_name"), "indid",
         *bit_flags("status", INDEX_STATUS),
