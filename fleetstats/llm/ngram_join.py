@@ -10,7 +10,8 @@ the overlap from above. What passes is decided by intersecting the sorted sets.
 Links are wanted only as far as they connect, so no group is expanded into pairs. First every
 class is held against one or two classes of each tile. Then, in tiles whose classes are not
 yet connected, blocks of bounded size are held against each other, for classes of different
-components only.
+components only: twice each class brings up its nearest, and what is still apart after that
+brings up all that could link.
 """
 
 from __future__ import annotations
@@ -28,19 +29,31 @@ from .common import SPACES, components, packed, settle, unpacked
 
 #: n-grams are counted by this many hash buckets to tell frequent ones.
 SKETCH = 1 << 16
-LEAST_BITS = 1024
+LEAST_BITS = 64
+#: Text keys that may be broadcast to find their texts; 16 bytes each.
+FEW_KEYS = 500_000
 #: Classes in a block of a tile.
-BLOCK = 256
+BLOCK = 2048
+#: Cells of bitmap words that are compared at once.
+_CELLS = 1 << 19
 _REMEMBERED = 300_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Grams:
     """Hashed word n-grams of texts: A-Z in lower case, words between ASCII white space."""
 
     def __init__(self, n: int):
         self.n = n
-        self._known: dict[bytes, int] = {}
+        self._known = _Hashes()
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes; of fewer words than n, one for the whole sequence."""
@@ -50,8 +63,6 @@ class Grams:
         known = self._known
         if len(known) > _REMEMBERED:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
         w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(w))
         h = w[:len(w) - n + 1] + np.uint64(n)
@@ -75,16 +86,18 @@ class Likeness:
         """Partners' bands differ by one at most; a little wider than needed, against rounding."""
         return int(np.log(size) / np.log(1.001 * self.den / self.num))
 
+    def bits(self, size: int) -> int:
+        """Bits of a bitmap: eight for each n-gram by which partners may differ, as a power of two."""
+        apart = 2 * size * (self.den - self.num) // (self.den + self.num)
+        return max(LEAST_BITS, 1 << (8 * apart).bit_length())
+
     def holds(self, both, a, b):
         """Of the sizes of the intersection and of the two sets; numbers or arrays."""
         return self.den * both >= self.num * (a + b - both)
 
 
-def parity(grams: np.ndarray) -> bytes:
-    """A bit for each hash bucket: whether an odd number of n-grams fell into it."""
-    size = LEAST_BITS
-    while size < len(grams):
-        size *= 2
+def parity(grams: np.ndarray, size: int) -> bytes:
+    """A bit for each of ``size`` hash buckets: whether an odd number of n-grams fell into it."""
     odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -120,11 +133,9 @@ def frequencies(texts: DataFrame, n: int) -> bytes:
     def count(batches):
         grams, total = Grams(n), np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = grams.of(text)
-                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=SKETCH) if len(h) > 20_000 else 0
-                if len(h) <= 20_000:
-                    np.add.at(total, (h >> np.uint64(48)).astype(np.int64), 1)
+            for at in range(0, batch.num_rows, 200):
+                some = [grams.of(t) >> np.uint64(48) for t in batch.column(0).slice(at, 200).to_pylist()]
+                total += np.bincount(np.concatenate(some).astype(np.int64), minlength=SKETCH)
         some = np.nonzero(total)[0]
         yield _records({"bucket": pa.int32(), "n": pa.int64()}, {"bucket": some, "n": total[some]})
 
@@ -142,8 +153,6 @@ def signatures(rows: DataFrame, n: int, like: Likeness) -> DataFrame:
     kind = rows.schema["doc_id"].dataType
     names = {"doc_id": to_arrow_type(kind), "t1": pa.int64(), "t2": pa.int64(), "d1": pa.int64(), "d2": pa.int64(),
              "n": pa.int64(), "band": pa.int32(), "prefix": pa.list_(pa.int64()), "bits": pa.binary()}
-    # the same set gives the same prefix, so copies need no care here
-
     def sign(batches):
         grams, level = Grams(n), np.frombuffer(levels.value, np.uint8)
         for batch in batches:
@@ -157,7 +166,7 @@ def signatures(rows: DataFrame, n: int, like: Likeness) -> DataFrame:
                     band = like.band(len(h))
                     order = np.argsort(level[(h >> np.uint64(48)).astype(np.int64)], kind="stable")
                     prefix = _signed(h[order[:like.prefix(len(h))]])
-                    bits = parity(h)
+                    bits = parity(h, like.bits(len(h)))
                 for k, v in zip(names, (doc_id, t1, t2, d1, d2, len(h), band, prefix, bits)):
                     out[k].append(v)
             yield _records(names, out)
@@ -202,49 +211,86 @@ def _runs(batches) -> Iterator[dict[str, list]]:
         yield dict(zip(names, zip(*now)))
 
 
-def _blocks(tiles: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) likely to link, from tiles (h, band, d1, comp) that hold several components.
-
-    A tile is cut into blocks by hash; every two blocks of it are one piece of work.
+def _compare(run: dict[str, list], like: Likeness, nearest: bool) -> tuple[list[int], list[int]]:
+    """Pairs of one piece of work: two blocks of a tile, or one block with itself."""
+    bits, sizes = _stack(run["bits"]), np.array(run["n"])
+    comp = np.unique(np.array(run["comp"]), return_inverse=True)[1]
+    own, base, d1 = np.array(run["own"]), np.array(run["true_band"]), np.array(run["d1"])
+    i, j, band = run["i"][0], run["j"][0], run["band"][0]
+    active = np.array(run["active"])
+    # each pair has an end outside the largest component, and one that is active
+    xs = np.nonzero(comp != np.bincount(comp).argmax() if active.all() else active)[0]
+    step = max(1, _CELLS // bits.size)
+    out = []
+    for at in range(0, len(xs), step):
+        x = xs[at:at + step, None]
+        small, large = np.minimum(sizes, sizes[x]), np.maximum(sizes, sizes[x])
+        ok = (comp != comp[x]) & (like.den * small >= like.num * large) & (np.minimum(base, base[x]) == band)
+        if i != j:
+            ok &= own != own[x]
+        if not ok.any():
+            continue
+        apart = np.bitwise_count(bits ^ bits[x]).sum(axis=2, dtype=np.int64)
+        ok &= like.holds((sizes + sizes[x] - apart) // 2, sizes, sizes[x])
+        if nearest:
+            best = np.where(ok, apart, 1 << 60).argmin(axis=1)
+            found = ok.any(axis=1)
+            out.append(np.stack([x[found, 0], best[found]]))
+        else:
+            out.append(np.stack([x[:, 0][np.nonzero(ok)[0]], np.nonzero(ok)[1]]))
+    if not out:
+        return [], []
+    a, b = d1[np.concatenate(out, axis=1)]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pairs[0].tolist(), pairs[1].tolist()
+
+
+def _blocks(tiles: DataFrame, classes: DataFrame, like: Likeness, nearest: bool) -> DataFrame:
+    """Pairs (a, b) likely to link, from tiles (h, band, d1, comp, active) that hold several components.
+
+    A tile is cut into blocks by hash; every two blocks of it are one piece of work. With
+    ``nearest`` an active class brings up the likeliest partner of each piece, else all.
     """
-    several = tiles.groupBy("h", "band").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")
-    ).where("lo <> hi").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    several = settle(tiles.groupBy("h", "band").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("active").alias("any"), F.count("*").alias("m")
+    ).where("lo <> hi and any").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "grams-several")
     mine = tiles.join(several, ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("d1"), "blocks").cast("int"))
-    mine = mine.join(classes.select("d1", "n", "bits", F.col("band").alias("true_band")), "d1")
+    mine = mine.join(classes.select("d1", F.col("n").cast("int").alias("n"), "bits", F.col("band").alias("true_band")), "d1")
+    columns = ["own", "d1", "comp", "active", "n", "true_band", "bits"]
     pieces = mine.select(
-        "h", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-        "own", "d1", "comp", "n", "true_band", "bits"
-    ).select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-             "own", "d1", "comp", "n", "true_band", "bits")
+        "h", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), *columns
+    ).select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
 
     def compare(batches):
+        seen: set[tuple[int, int]] = set()
         for run in _runs(batches):
-            bits, sizes = _stack(run["bits"]), np.array(run["n"])
-            comp = np.unique(np.array(run["comp"]), return_inverse=True)[1]
-            own, base, d1 = np.array(run["own"]), np.array(run["true_band"]), run["d1"]
-            i, j, band = run["i"][0], run["j"][0], run["band"][0]
-            common = np.bincount(comp).argmax()
-            a, b = [], []
-            for x in np.nonzero(comp != common)[0]:  # pairs inside the largest component need no look
-                upper = (sizes + sizes[x] - np.bitwise_count(bits ^ bits[x]).sum(axis=1)) // 2
-                ok = like.holds(upper, sizes, sizes[x]) & (comp != comp[x]) & (np.minimum(base, base[x]) == band)
-                ok &= like.den * np.minimum(sizes, sizes[x]) >= like.num * np.maximum(sizes, sizes[x])
-                ok &= (comp == common) | (np.arange(len(sizes)) > x)
-                if i != j:
-                    ok &= own != own[x]
-                for y in np.nonzero(ok)[0]:
-                    a.append(min(d1[x], d1[y]))
-                    b.append(max(d1[x], d1[y]))
-            yield _records({"a": pa.int64(), "b": pa.int64()}, {"a": a, "b": b})
+            a, b = _compare(run, like, nearest)
+            # a pair meets in many tiles; a task brings it up once, as far as it remembers
+            new = [p for p in zip(a, b) if p not in seen]
+            seen.update(new)
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            if new:
+                yield _records({"a": pa.int64(), "b": pa.int64()}, {"a": [p[0] for p in new], "b": [p[1] for p in new]})
 
     return (pieces.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
             .mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, like: Likeness) -> DataFrame:
-    """Links (a, b) of class names among pairs of d1, by exact intersection of the sets."""
-    side = classes.select("d1", "name", "t1", "t2").join(texts, ["t1", "t2"]).select("d1", "name", "text")
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, like: Likeness) -> DataFrame:
+    """Links (a, b) of class names among pairs of d1, by exact intersection of the sets.
+
+    Only texts of classes in ``pairs`` move. Their keys are broadcast where they are few,
+    which leaves all other texts where they are; else both sides are shuffled.
+    """
+    named = classes.select("d1", "name", "t1", "t2").join(
+        pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct(), "d1")
+    named = settle(named, "grams-needed")
+    keys = named.select("t1", "t2").distinct()
+    if named.count() <= FEW_KEYS:
+        keys = F.broadcast(keys)
+    texts = rows.select("t1", "t2", "text").join(keys, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    side = settle(named.join(texts, ["t1", "t2"]).select("d1", "name", "text"), "grams-texts")
     both = (pairs.join(side.toDF("a", "an", "at"), "a").join(side.toDF("b", "bn", "bt"), "b")
             .select("an", "bn", "at", "bt"))
 
@@ -278,39 +324,53 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rows = (docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
             .select("doc_id", "text", t1.alias("t1"), t2.alias("t2")))
     signed = settle(signatures(rows, n, like), "grams-signed")
+    some = signed.where("n > 0")
     classes = settle(
-        signed.where("n > 0").drop("doc_id").dropDuplicates(["d1", "d2"])
+        some.drop("doc_id", "prefix").dropDuplicates(["d1", "d2"])
         .withColumn("name", F.concat_ws("-", F.hex("d1"), F.hex("d2"))), "grams-classes")
-    members = classes.select(F.explode("prefix").alias("h"), "d1", "band")
-    shared = members.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    # copies have the same rows here and count once
+    members = some.select(F.explode("prefix").alias("h"), "d1", "band")
+    # written down, so that the join shuffles both sides and can split a frequent n-gram
+    shared = settle(members.groupBy("h").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
+                    .where("lo <> hi").select("h"), "grams-shared")
     tiles = settle(
-        members.join(shared, "h").select("h", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "d1"),
+        members.join(shared, "h").distinct().select("h", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "d1"),
         "grams-tiles")
-    ends = tiles.groupBy("h", "band").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi")
+    ends = settle(tiles.groupBy("h", "band").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
+                  .where("lo <> hi"), "grams-ends")
     stars = (tiles.join(ends, ["h", "band"]).select(F.col("d1").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
              .where("a <> b").distinct())
     near = settle(_likely(stars, classes, like).groupBy("a").agg(F.min("b").alias("b")), "grams-near")
 
-    in_tiles = tiles.select("d1").distinct()
-    needed = classes.join(in_tiles, "d1").select("t1", "t2")
-    texts = settle(rows.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(needed, ["t1", "t2"], "left_semi"),
-                   "grams-texts")
-    links = settle(_verified(near, classes, texts, n, like), "grams-links")
-    first = components(links, "grams-components")
-    of_class = classes.select("d1", "name").join(first, F.col("name") == F.col("node"), "left").select(
-        "d1", F.coalesce("component", "name").alias("comp"))
-    # classes whose d1 agrees by chance keep one of their components here; pairs only multiply
-    known = tiles.join(of_class.groupBy("d1").agg(F.min("comp").alias("comp")), "d1")
-    more = settle(_verified(_blocks(settle(known, "grams-known"), classes, like), classes, texts, n, like), "grams-more")
-    all_links = links.union(more)
-    reached = components(all_links, "grams-components")
-    placed = (signed.where("n > 0").select("doc_id", "n", "t1", "t2", F.concat_ws("-", F.hex("d1"), F.hex("d2")).alias("name"))
+    links = settle(_verified(near, classes, rows, n, like), "grams-links")
+    tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    active = None
+    for nearest in (True, True, False):
+        reached = components(links, "grams-components")
+        of_class = classes.select("d1", "name").join(reached, F.col("name") == F.col("node"), "left").select(
+            "d1", F.xxhash64(F.coalesce("component", "name")).alias("comp"))
+        # classes whose d1 agrees by chance keep one of their components here; pairs only multiply
+        known = tiles.join(of_class.groupBy("d1").agg(F.min("comp").alias("comp")), "d1")
+        if active is None:
+            known = known.withColumn("active", F.lit(True))
+        else:
+            # of a pair that is likely now, an end had a likely partner in the first round
+            known = known.join(active, "d1", "left").withColumn("active", F.col("_mark").isNotNull()).drop("_mark")
+        found = settle(_blocks(settle(known, "grams-known"), classes, like, nearest), "grams-candidates")
+        if active is None:
+            active = settle(found.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
+                            .withColumn("_mark", F.lit(True)), "grams-active")
+        new = settle(found.join(tested, ["a", "b"], "left_anti"), "grams-untested")
+        links = settle(links.union(_verified(new, classes, rows, n, like)), "grams-links")
+        tested = tested.union(new)
+    reached = components(links, "grams-components")
+    placed = (some.select("doc_id", "n", "t1", "t2", F.concat_ws("-", F.hex("d1"), F.hex("d2")).alias("name"))
               .join(reached, F.col("name") == F.col("node"), "left")
               .select("doc_id", "n", "t1", "t2", F.coalesce("component", "name").alias("comp")))
     placed = settle(placed, "grams-placed")
-    head = placed.groupBy("comp").agg(F.min(F.struct(
+    head = settle(placed.groupBy("comp").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("t1").alias("h1"),
-        F.col("t2").alias("h2"))).alias("head"))
+        F.col("t2").alias("h2"))).alias("head")), "grams-heads")
     out = placed.join(head, "comp").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_grams"), F.col("head.id").alias("component_id"), "t1", "t2",
         (F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("t1") == F.col("head.h1"))
