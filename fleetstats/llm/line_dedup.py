@@ -109,7 +109,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     null; ``t`` is the text's hash.
     """
     all_lines = settle(positions(docs, id_col, text_col, least_chars), "lines-all")
-    twice = all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # written down, so that the joins shuffle both sides and can split a frequent line
+    twice = settle(all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-twice")
     repeated = settle(all_lines.join(twice, ["h1", "h2"]), "lines-repeated")
     array = settle(suffix_array(repeated), "lines-array")
 
@@ -125,7 +126,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
             .where(F.col("run") >= least_lines))
     runs = settle(runs, "lines-runs")
     place = F.struct(*_KEY, "i")
-    firsts = runs.groupBy("interval").agg(F.min(place).alias("first"))
+    firsts = settle(runs.groupBy("interval").agg(F.min(place).alias("first")), "lines-firsts")
     later = runs.join(firsts, "interval").where(place != F.col("first")).select(*_KEY, "i", "run")
     covered = (later.select(*_KEY, F.explode(F.sequence(F.col("i"), F.col("i") + least_lines - 1)).alias("i"), "run")
                .groupBy(*_KEY, "i").agg(F.max("run").alias("run")))
