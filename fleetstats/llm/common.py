@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from fleetstats.sources.scratch import settle
+from fleetstats.sources.scratch import scratch_dir
 
 __all__ = ["SPACES", "LAST", "words", "lines", "table", "mapped", "settle", "packed", "unpacked", "whole_number",
            "components"]
@@ -37,6 +37,13 @@ def lines(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the folder all executors share, and return a scan of it."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
     """``df`` as one column ``_row``, beside ``keys``: no name of ``df`` can clash with a key."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"),

@@ -160,15 +160,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(ratio, descend(x, [_scaled(ratio, r) for r in x], y))
 
 
+def _score_of(spark, model: Model):
+    """The score of a text as a function for tasks; the model (2 MB) goes out once."""
+    sent = spark.sparkContext.broadcast((model.ratio, model.weights))
+    made: list = []
+
+    def score_of(text: str | None) -> float:
+        if not made:
+            made.extend((Features(), Model(*sent.value)))
+        return made[1].score(made[0].of(text))
+
+    return score_of
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row. Texts without words, and null ones, score by the offset alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[Features] = []
+    score_of = _score_of(docs.sparkSession, model)
 
     def run(b: dict) -> dict:
-        if not made:
-            made.append(Features())
-        return {"id": b["id"], "score": [sent.value.score(made[0].of(t)) for t in b["text"]]}
+        return {"id": b["id"], "score": [score_of(t) for t in b["text"]]}
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -177,12 +187,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def scorer(spark, model: Model):
     """The score as a function of a text column, for filters that keep all columns."""
-    sent = spark.sparkContext.broadcast(model)
-    made: list[Features] = []
+    score_of = _score_of(spark, model)
 
     def run(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Features())
-        return pd.Series([sent.value.score(made[0].of(t)) for t in texts], dtype=float)
+        return pd.Series([score_of(t) for t in texts], dtype=float)
 
     return pandas_udf(run, "double").asNondeterministic()
