@@ -250,10 +250,12 @@ def _blocks(tiles: DataFrame, classes: DataFrame, like: Likeness, nearest: bool)
 
     A tile is cut into blocks by hash; every two blocks of it are one piece of work. With
     ``nearest`` an active class brings up the likeliest partner of each piece, else all.
+    Of a tile of up to three classes all pairs were compared when it was held against its
+    smallest and its largest, so larger tiles are left.
     """
     several = settle(tiles.groupBy("h", "band").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("active").alias("any"), F.count("*").alias("m")
-    ).where("lo <> hi and any").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "grams-several")
+    ).where("lo <> hi and any and m > 3").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "grams-several")
     mine = tiles.join(several, ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("d1"), "blocks").cast("int"))
     mine = mine.join(classes.select("d1", F.col("n").cast("int").alias("n"), "bits", F.col("band").alias("true_band")), "d1")
     columns = ["own", "d1", "comp", "active", "n", "true_band", "bits"]
@@ -340,17 +342,20 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                   .where("lo <> hi"), "grams-ends")
     stars = (tiles.join(ends, ["h", "band"]).select(F.col("d1").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
              .where("a <> b").distinct())
-    near = settle(_likely(stars, classes, like).groupBy("a").agg(F.min("b").alias("b")), "grams-near")
+    likely = settle(_likely(stars, classes, like), "grams-likely")
+    near = settle(likely.groupBy("a").agg(F.min("b").alias("b")), "grams-near")
 
     links = settle(_verified(near, classes, rows, n, like), "grams-links")
-    tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    both = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    likely, tested = likely.select(*both).distinct(), near.select(*both)
     active = None
     for nearest in (True, True, False):
         reached = components(links, "grams-components")
         of_class = classes.select("d1", "name").join(reached, F.col("name") == F.col("node"), "left").select(
             "d1", F.xxhash64(F.coalesce("component", "name")).alias("comp"))
         # classes whose d1 agrees by chance keep one of their components here; pairs only multiply
-        known = tiles.join(of_class.groupBy("d1").agg(F.min("comp").alias("comp")), "d1")
+        of_class = settle(of_class.groupBy("d1").agg(F.min("comp").alias("comp")), "grams-of-class")
+        known = tiles.join(of_class, "d1")
         if active is None:
             known = known.withColumn("active", F.lit(True))
         else:
@@ -360,7 +365,10 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         if active is None:
             active = settle(found.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
                             .withColumn("_mark", F.lit(True)), "grams-active")
-        new = settle(found.join(tested, ["a", "b"], "left_anti"), "grams-untested")
+        # what the first comparison found likely, as far as it is still apart
+        apart = (likely.join(of_class.toDF("a", "ca"), "a").join(of_class.toDF("b", "cb"), "b")
+                 .where("ca <> cb").select("a", "b"))
+        new = settle(found.union(apart).distinct().join(tested, ["a", "b"], "left_anti"), "grams-untested")
         links = settle(links.union(_verified(new, classes, rows, n, like)), "grams-links")
         tested = tested.union(new)
     reached = components(links, "grams-components")
