@@ -52,7 +52,7 @@ COVERED, PAGES = 0.5, 20
 
 
 def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, str]:
-    """(chrome, main or empty; label for the path) of an element."""
+    """(chrome by element, named so by class, main or empty; label for the path) of an element."""
     found: dict[str, str] = {}
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
@@ -63,14 +63,14 @@ def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, str]:
     if tag in CHROME or (tag == "header" and not in_main) or role in CHROME_ROLES or "hidden" in found:
         return "chrome", label
     if names & CHROME_NAMES and tag not in ("html", "body"):
-        return "chrome", label
+        return "named", label
     if tag in MAIN or role == "main" or found.get("itemprop") == "articleBody":
         return "main", label
     return "", label
 
 
 def blocks(page: str | None) -> list[tuple[str, str, str]]:
-    """(role, path, text) of every block with text: role is main, open or chrome."""
+    """(role, path, text) of every block with text: role is main, open, named or chrome."""
     page = page or ""
     stack: list[tuple[str, str, str]] = []
     out: list[tuple[str, str, str]] = []
@@ -86,7 +86,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
 
     def place() -> tuple[str, str]:
         roles = {s[1] for s in stack}
-        role = "chrome" if "chrome" in roles else "main" if "main" in roles else "open"
+        role = next((r for r in ("chrome", "named", "main") if r in roles), "open")
         return role, "/".join(s[2] for s in stack if s[0] not in INLINE)
 
     at = 0
@@ -144,10 +144,13 @@ def _placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def boilerplate(placed: DataFrame) -> DataFrame:
-    """(host, path) of places whose text is mostly covered by runs that several pages of a host have."""
+    """(host, path) of places whose text is mostly covered by runs that several pages of a host have.
+
+    Elements that mean boilerplate, and articles, are decided by themselves and stay out.
+    """
     key = whole_number(F.col("id")).alias("doc")
     each = (placed.select(key, "t", "host", F.posexplode("blocks").alias("i", "b"))
-            .where("b.role <> 'main'")
+            .where("b.role in ('open', 'named')")
             .select("doc", "t", "host", "i", "b.path", F.xxhash64("host", "b.path", "b.text").alias("h1"),
                     F.xxhash64(F.lit(1), "host", "b.path", "b.text").alias("h2"),
                     F.size(F.split("b.text", " ")).alias("words")).distinct())
