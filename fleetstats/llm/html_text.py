@@ -2,11 +2,10 @@
 
 A page becomes blocks: the text between block-level tags, each with the path of tags and
 classes above it. What the markup itself names is decided by it: menus, headers, footers,
-asides, forms, scripts and the like go, the article stays. The rest, and every place on a
-page without an article, is decided by repetition: the blocks of a host's pages are one
-sequence, a suffix array finds the runs that stand on several pages, and a place in the
-template of which such runs cover most of the text, on the host or on all hosts, is
-boilerplate. What is unique stays.
+asides, forms, scripts and the like go, the article stays. On a page without an article the
+rest is decided by repetition: the blocks of a host's pages are one sequence, and a suffix
+array finds the runs that stand on several pages, which go block by block. What is unique
+stays.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mapped, settle, whole_number
+from .common import mapped, settle
 from .line_dedup import suffix_array
 from .url_filters import host_of
 
@@ -47,8 +46,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: A run of blocks is long enough to tell from this many words.
 LONG_WORDS = 4
-#: Share of a place's words that must be covered, and the pages it must stand on.
-COVERED, PAGES = 0.5, 20
+#: Distinct pages of its host that a block must stand on to be part of a run.
+PAGES = 2
 
 
 def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, str]:
@@ -130,8 +129,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
 def _placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"),
-                        F.xxhash64(F.coalesce(pages[url_col].cast("string"), F.lit("")),
-                                   F.coalesce(pages[html_col], F.lit(""))).alias("t"),
+                        F.xxhash64(F.coalesce(pages[html_col], F.lit(""))).alias("t"),
                         host_of(pages[url_col]).alias("host"))
 
     def run(b: dict) -> dict:
@@ -144,42 +142,45 @@ def _placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def boilerplate(placed: DataFrame) -> DataFrame:
-    """(host, path) of places whose text is mostly covered by runs that several pages of a host have.
+    """(doc, t, i) of open blocks in runs that two or more pages of a host have: doc is the host, t the page.
 
     Elements that mean boilerplate, and articles, are decided by themselves and stay out.
+    Pages of a host with equal markup are one page.
     """
-    key = whole_number(F.col("id")).alias("doc")
-    each = (placed.select(key, "t", "host", F.posexplode("blocks").alias("i", "b"))
+    each = (placed.select(F.xxhash64("host").alias("doc"), "t", "host", F.posexplode("blocks").alias("i", "b"))
             .where("b.role in ('open', 'named')")
-            .select("doc", "t", "host", "i", "b.path", F.xxhash64("host", "b.path", "b.text").alias("h1"),
+            .select("doc", "t", "i", F.xxhash64("host", "b.path", "b.text").alias("h1"),
                     F.xxhash64(F.lit(1), "host", "b.path", "b.text").alias("h2"),
-                    F.size(F.split("b.text", " ")).alias("words")).distinct())
+                    F.size(F.split("b.text", " ")).alias("words"), (F.col("b.role") == "open").alias("open")).distinct())
     each = settle(each, "html-blocks")
-    twice = each.groupBy("h1", "h2").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h1", "h2")
-    repeated = settle(each.join(twice, ["h1", "h2"]).select("doc", "t", "i", "h1", "h2"), "html-repeated")
-    array = settle(suffix_array(repeated), "html-array")
+    several = each.groupBy("h1", "h2").agg(F.count_distinct("t").alias("pages")).where(F.col("pages") >= PAGES)
+    repeated = settle(each.join(several.select("h1", "h2"), ["h1", "h2"]), "html-repeated")
+    # every block has a word: a run of more blocks than LONG_WORDS is covered by its stretches of so many
+    array = settle(suffix_array(repeated.select("doc", "t", "i", "h1", "h2"), LONG_WORDS), "html-array")
+
+    # neighbours in the array may be of one page, so look on to the nearest suffix of another, both ways
+    before = array.select((F.col("idx") + 1).alias("idx"), F.col("doc").alias("pdoc"), F.col("t").alias("pt"))
     after = array.select((F.col("idx") - 1).alias("idx"), F.col("lcp").alias("after"))
-    runs = (array.join(after, "idx", "left")
-            .select("doc", "t", "i", F.greatest("lcp", F.coalesce("after", F.lit(0))).alias("run")))
+    sided = settle(array.join(before, "idx", "left").join(after, "idx", "left").withColumn(
+        "turn", F.when((F.col("doc") == F.col("pdoc")) & (F.col("t") == F.col("pt")), 0).otherwise(1).cast("long"))
+        .select("doc", "t", "i", "part", "idx", "lcp", F.coalesce("after", F.lit(0)).alias("after"), "turn"), "html-sides")
+    turns = sided.groupBy("part").agg(F.sum("turn").alias("n"))
+    earlier = turns.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    stretch = F.sum("turn").over(Window.partitionBy("part").orderBy("idx")) + F.col("earlier")
+    same = Window.partitionBy("stretch").orderBy("idx")
+    runs = (sided.join(earlier, "part").withColumn("stretch", stretch)
+            .select("doc", "t", "i", F.greatest(
+                F.min("lcp").over(same.rowsBetween(Window.unboundedPreceding, 0)),
+                F.min("after").over(same.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0))).alias("run"))
+            .where("run > 0"))
+
     page = Window.partitionBy("doc", "t").orderBy("i")
-    seen = each.join(runs, ["doc", "t", "i"], "left").withColumn("upto", F.sum("words").over(page))
-    ends = seen.withColumn("end", F.col("i") + F.coalesce("run", F.lit(0)))
-    # the words of the run that starts here, and whether an earlier long run reaches here
-    length = F.sum("words").over(page.rangeBetween(0, Window.unboundedFollowing))
-    ahead = ends.select("doc", "t", F.col("i").alias("end"), (F.col("upto") - F.col("words")).alias("before_end"))
-    total = ends.withColumn("rest", length).join(ahead, ["doc", "t", "end"], "left")
-    long = F.when(F.coalesce(F.col("before_end") - (F.col("upto") - F.col("words")), F.col("rest")) >= LONG_WORDS, F.col("end"))
-    reach = F.max(F.when(F.col("run") > 0, long)).over(page.rowsBetween(Window.unboundedPreceding, 0))
-    covered = total.select("doc", "t", "host", "path", "words", (F.coalesce(reach, F.lit(0)) > F.col("i")).alias("covered"))
-
-    def mostly(*by: str) -> DataFrame:
-        return (covered.groupBy(*by).agg(
-            F.count_distinct("doc", "t").alias("pages"), F.sum("words").alias("all"),
-            F.sum(F.when(F.col("covered"), F.col("words"))).alias("some"))
-            .where((F.col("pages") >= PAGES) & (F.col("some") >= COVERED * F.col("all"))).select(*by))
-
-    hosts = covered.select("host", "path").distinct()
-    return mostly("host", "path").union(hosts.join(mostly("path"), "path").select("host", "path")).distinct()
+    length = sum((F.when(F.col("run") > k, F.lead("words", k).over(page)).otherwise(0) for k in range(1, LONG_WORDS)),
+                 F.col("words"))
+    seen = runs.join(repeated.select("doc", "t", "i", "words", "open"), ["doc", "t", "i"]).withColumn("length", length)
+    reach = F.max(F.when(F.col("length") >= LONG_WORDS, F.col("i") + F.col("run"))).over(
+        page.rowsBetween(Window.unboundedPreceding, 0))
+    return seen.withColumn("reach", reach).where("reach > i and open").select("doc", "t", "i")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -188,21 +189,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty pages have an empty text. Character references are decoded, white space
     in a block becomes single spaces, and blocks follow each other after one space. A page
     with an article is its article; another page is all that is neither named as
-    boilerplate by its markup nor found to be. Pages without a host form one host. Repeated
-    rows get the same result each; pages of any length are read whole; other columns are
-    ignored.
+    boilerplate by its markup nor part of a run that other pages of the host have. Pages
+    without a host form one host. Repeated rows get the same result each; pages of any
+    length are read whole; other columns are ignored.
     """
     placed = settle(_placed(pages, id_col, url_col, html_col), "html-placed")
-    kept_if = F.exists("blocks", lambda b: b["role"] == "main")
-    drop = settle(boilerplate(placed), "html-boilerplate")
-    whole = placed.where(kept_if).withColumn("kept", F.filter("blocks", lambda b: b["role"] == "main"))
-    rest = placed.where(~kept_if)
-    # what is dropped is a set of places in a template, gathered for each host that has any
-    of_host = drop.groupBy("host").agg(F.collect_set("path").alias("gone"))
-    cleaned = rest.join(of_host, "host", "left").withColumn("kept", F.filter(
-        "blocks", lambda b: (b["role"] == "open") & ~F.coalesce(F.array_contains("gone", b["path"]), F.lit(False))))
-    columns = ["id", "url", "blocks", "kept"]
-    both = whole.select(*columns).union(cleaned.select(*columns))
+    found = settle(boilerplate(placed), "html-boilerplate")
+    gone = found.groupBy("doc", "t").agg(F.collect_set("i").alias("gone"))
+    columns = ["id", "url", "blocks"]
+    # pages that markup settles need no verdict
+    asks = F.exists("blocks", lambda b: b["role"] == "open") & ~F.exists("blocks", lambda b: b["role"] == "main")
+    asked = (placed.where(asks).withColumn("doc", F.xxhash64("host")).join(gone, ["doc", "t"], "left")
+             .select(*columns, F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
+    both = placed.where(~asks).select(*columns, F.array().cast("array<int>").alias("gone")).union(asked)
+    both = both.withColumn("kept", F.filter("blocks", lambda b, n: (b["role"] == "main") | (
+        (b["role"] == "open") & ~F.array_contains("gone", n) & ~F.exists("blocks", lambda c: c["role"] == "main"))))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), " ")
     return both.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),

@@ -49,13 +49,15 @@ def positions(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
                     F.xxhash64(F.lit(1), F.col("s.line")).alias("h2")).distinct())
 
 
-def ranks(repeated: DataFrame) -> list[DataFrame]:
-    """Rank tables (doc, t, i, rank) by prefixes of 1, 2, 4, ... lines, until ranks split no more."""
+def ranks(repeated: DataFrame, depth: int | None = None) -> list[DataFrame]:
+    """Rank tables (doc, t, i, rank) by prefixes of 1, 2, 4, ... lines, until ranks split no more or tell ``depth`` lines."""
     ids = _order(repeated.select("h1", "h2").distinct(), "h1", "h2").withColumnRenamed("at", "rank")
     levels = [settle(repeated.join(ids, ["h1", "h2"]).select(*_KEY, "i", "rank"), "lines-rank")]
     distinct = ids.count()
     while distinct:
         step = 1 << (len(levels) - 1)
+        if depth is not None and step >= depth:
+            break
         now = levels[-1]
         ahead = now.select(*_KEY, (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
         pairs = now.join(ahead, [*_KEY, "i"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
@@ -70,13 +72,14 @@ def ranks(repeated: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def suffix_array(repeated: DataFrame) -> DataFrame:
+def suffix_array(repeated: DataFrame, depth: int | None = None) -> DataFrame:
     """(doc, t, i, part, idx, lcp): suffixes in order, and the lines each shares with the one before.
 
     ``repeated`` has (doc, t, i, h1, h2) of lines that occur twice or more; a suffix ends
-    before the first line that is missing there.
+    before the first line that is missing there. With ``depth``, order and common prefixes
+    look at that many lines of each suffix, for callers that ask nothing about longer ones.
     """
-    levels = ranks(repeated)
+    levels = ranks(repeated, depth)
     island = F.col("i") - F.row_number().over(Window.partitionBy(*_KEY).orderBy("i"))
     left = F.count("*").over(Window.partitionBy(*_KEY, "island").orderBy(F.desc("i")))
     sized = levels[-1].withColumn("island", island).withColumn("left", left).drop("island")
@@ -87,15 +90,18 @@ def suffix_array(repeated: DataFrame) -> DataFrame:
     pairs = ordered.join(prev, "idx").withColumn("l", F.lit(0))
     for k in reversed(range(len(levels))):
         level = levels[k]
+        # ranks that split no more, or tell all that is asked: the rest is equal too, or does not count
+        step = F.lit(1 << k) if k < len(levels) - 1 else F.col("left")
         mine = level.select(*_KEY, F.col("i").alias("on"), F.col("rank").alias("r"))
         other = level.select(F.col("doc").alias("pdoc"), F.col("t").alias("pt"), F.col("i").alias("pon"),
                              F.col("rank").alias("pr"))
         pairs = (pairs.withColumn("on", F.col("i") + F.col("l")).withColumn("pon", F.col("pi") + F.col("l"))
                  .join(mine, [*_KEY, "on"], "left").join(other, ["pdoc", "pt", "pon"], "left")
-                 .withColumn("l", F.col("l") + F.when(F.col("r") == F.col("pr"), 1 << k).otherwise(0))
+                 .withColumn("l", F.col("l") + F.when(F.col("r") == F.col("pr"), step).otherwise(0))
                  .drop("on", "pon", "r", "pr"))
         pairs = settle(pairs, "lines-common")
-    common = pairs.select("idx", F.least("l", "left", "pleft").alias("lcp"))
+    ends = ["l", "left", "pleft"] if depth is None else ["l", "left", "pleft", F.lit(depth)]
+    common = pairs.select("idx", F.least(*ends).alias("lcp"))
     return ordered.join(common, "idx", "left").select(
         *_KEY, "i", "part", "idx", F.coalesce("lcp", F.lit(0)).alias("lcp"))
 

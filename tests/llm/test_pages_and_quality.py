@@ -59,6 +59,19 @@ def test_places_without_names_are_judged_by_repetition(spark, monkeypatch):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def test_runs_go_block_by_block_on_hosts_of_any_size(spark):
+    body = "<body><div><p>{0} first own words here</p><p>all rights to these pages are reserved</p><p>{0} second own words here</p></div>"
+    rows = [(n, f"http://small.org/{n}", body.format(f"p{n}")) for n in range(2)] + [(2, "http://other.org/", body.format("p2"))]
+    again = "<p>twice on this page only</p>" * 2
+    rows += [(3, "http://small.org/3", again), (4, "http://small.org/4", "<p>a mirrored page</p>"), (5, "http://small.org/5", "<p>a mirrored page</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {
+        **{n: f"p{n} first own words here p{n} second own words here" for n in range(2)},
+        2: "p2 first own words here all rights to these pages are reserved p2 second own words here",
+        3: "twice on this page only twice on this page only", 4: "a mirrored page", 5: "a mirrored page"}
+
+
 def test_verdicts_by_rule_and_along_aliases(spark):
     link = '<html><link href="{}" rel="canonical">'
     rows = [
