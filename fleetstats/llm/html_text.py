@@ -1,11 +1,10 @@
 """The main text of web pages.
 
 A page becomes blocks: the text between block-level tags, each with the path of tags and
-classes above it. What the markup itself names is decided by it: menus, headers, footers,
-asides, forms, scripts and the like go, the article stays. On a page without an article the
-rest is decided by repetition: the blocks of a host's pages are one sequence, and a suffix
-array finds the runs that stand on several pages, which go block by block. What is unique
-stays.
+classes above it. All blocks of a host's pages are one sequence, and a suffix array finds
+the runs that stand on several pages: these are boilerplate, block by block. What is unique
+stays. Markup overrules this both ways: menus, headers, footers, asides, forms, scripts and
+the like go though unique, and an article stays though its sentences recur.
 """
 
 from __future__ import annotations
@@ -144,11 +143,9 @@ def _placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 def boilerplate(placed: DataFrame) -> DataFrame:
     """(doc, t, i) of open blocks in runs that two or more pages of a host have: doc is the host, t the page.
 
-    Elements that mean boilerplate, and articles, are decided by themselves and stay out.
-    Pages of a host with equal markup are one page.
+    Runs go through blocks of every role. Pages of a host with equal markup are one page.
     """
     each = (placed.select(F.xxhash64("host").alias("doc"), "t", "host", F.posexplode("blocks").alias("i", "b"))
-            .where("b.role in ('open', 'named')")
             .select("doc", "t", "i", F.xxhash64("host", "b.path", "b.text").alias("h1"),
                     F.xxhash64(F.lit(1), "host", "b.path", "b.text").alias("h2"),
                     F.size(F.split("b.text", " ")).alias("words"), (F.col("b.role") == "open").alias("open")).distinct())
@@ -188,22 +185,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages have an empty text. Character references are decoded, white space
     in a block becomes single spaces, and blocks follow each other after one space. A page
-    with an article is its article; another page is all that is neither named as
-    boilerplate by its markup nor part of a run that other pages of the host have. Pages
-    without a host form one host. Repeated rows get the same result each; pages of any
-    length are read whole; other columns are ignored.
+    is its article, and all other blocks that are neither named as boilerplate by their
+    markup nor part of a run that other pages of the host have. Pages without a host form
+    one host. Repeated rows get the same result each; pages of any length are read whole;
+    other columns are ignored.
     """
     placed = settle(_placed(pages, id_col, url_col, html_col), "html-placed")
     found = settle(boilerplate(placed), "html-boilerplate")
     gone = found.groupBy("doc", "t").agg(F.collect_set("i").alias("gone"))
     columns = ["id", "url", "blocks"]
     # pages that markup settles need no verdict
-    asks = F.exists("blocks", lambda b: b["role"] == "open") & ~F.exists("blocks", lambda b: b["role"] == "main")
+    asks = F.exists("blocks", lambda b: b["role"] == "open")
     asked = (placed.where(asks).withColumn("doc", F.xxhash64("host")).join(gone, ["doc", "t"], "left")
              .select(*columns, F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
     both = placed.where(~asks).select(*columns, F.array().cast("array<int>").alias("gone")).union(asked)
     both = both.withColumn("kept", F.filter("blocks", lambda b, n: (b["role"] == "main") | (
-        (b["role"] == "open") & ~F.array_contains("gone", n) & ~F.exists("blocks", lambda c: c["role"] == "main"))))
+        (b["role"] == "open") & ~F.array_contains("gone", n))))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), " ")
     return both.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),

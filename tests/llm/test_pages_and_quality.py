@@ -72,6 +72,15 @@ def test_runs_go_block_by_block_on_hosts_of_any_size(spark):
         3: "twice on this page only twice on this page only", 4: "a mirrored page", 5: "a mirrored page"}
 
 
+def test_array_takes_part_on_pages_with_an_article(spark):
+    rows = [(n, f"http://a.org/{n}", f"<nav><p>home news sport weather</p></nav><div>more</div><div>own teaser of page {n}</div>"
+             f"<article><p>a sentence that recurs here</p><p>own sentence {n}</p></article><div>call us at any time</div>") for n in range(2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.text, r.n_blocks, r.n_dropped) for r in html_text.extract(pages).collect()}
+    # 'more' is too short alone and goes with the menu before it
+    assert got == {n: (f"own teaser of page {n} a sentence that recurs here own sentence {n}", 6, 3) for n in range(2)}
+
+
 def test_verdicts_by_rule_and_along_aliases(spark):
     link = '<html><link href="{}" rel="canonical">'
     rows = [
