@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     count = "_deleted"
     while count in docs.columns:
         count += "_"
-    found = line_dedup.dedup(docs, deleted_col=count)
+    found = line_dedup.dedup(docs, deleted_col=count, least_run_chars=20)
     emptied = (found[count] > 0) & (F.trim(found["text"], F.lit(SPACES)) == "")
     rest = found.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

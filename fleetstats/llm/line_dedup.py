@@ -37,8 +37,11 @@ def _dense(df: DataFrame) -> DataFrame:
     return cut.join(before, "part").withColumn("idx", F.col("before") + F.col("row")).drop("row", "before", "at")
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
-    """(doc, t, i, line_no, h1, h2): the i-th counting line of each document, and its id as two hashes."""
+def positions(docs: DataFrame, id_col: str, text_col: str, least_chars: int, chars: bool = False) -> DataFrame:
+    """(doc, t, i, line_no, h1, h2): the i-th counting line of each document, and its id as two hashes.
+
+    With ``chars``, also its characters without white space around.
+    """
     text = F.coalesce(docs[text_col], F.lit(""))
     counted = F.filter(
         F.transform(lines(docs[text_col]), lambda x, n: F.struct(n.alias("line_no"), x.alias("line"))),
@@ -46,7 +49,8 @@ def positions(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
     return (docs.select(whole_number(docs[id_col]).alias("doc"),
                         F.xxhash64(text).alias("t"), F.posexplode(counted).alias("i", "s"))
             .select(*_KEY, "i", "s.line_no", F.xxhash64("s.line").alias("h1"),
-                    F.xxhash64(F.lit(1), F.col("s.line")).alias("h2")).distinct())
+                    F.xxhash64(F.lit(1), F.col("s.line")).alias("h2"),
+                    *([F.length(F.trim("s.line", F.lit(SPACES))).alias("chars")] if chars else [])).distinct())
 
 
 def ranks(repeated: DataFrame, depth: int | None = None) -> list[DataFrame]:
@@ -139,17 +143,73 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     return covered.join(repeated.select(*_KEY, "i", "line_no"), [*_KEY, "i"]).select(*_KEY, "line_no", "run")
 
 
+def _windows(repeated: DataFrame, least: int, depth: int | None) -> DataFrame:
+    """(doc, t, i, n, interval, run): n lines from i have ``least`` characters, one less has not; equal ones share an interval.
+
+    ``run`` is the longest repeated run from i, up to ``depth``.
+    """
+    array = settle(suffix_array(repeated.select(*_KEY, "i", "h1", "h2"), depth), "lines-array")
+    # a line that counts has a character at least, so no more lines are needed
+    some = F.collect_list(F.struct("i", "chars")).over(Window.partitionBy(*_KEY).orderBy("i").rowsBetween(0, least - 1))
+    got = F.aggregate(
+        "some", F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")),
+        lambda a, x: F.when((a["chars"] < least) & (x["i"] == F.col("i") + a["n"]), F.struct(
+            (a["chars"] + x["chars"]).alias("chars"), (a["n"] + 1).alias("n"))).otherwise(a))
+    sized = (repeated.select(*_KEY, "i", "chars").withColumn("some", some).withColumn("got", got)
+             .select(*_KEY, "i", F.when(F.col("got.chars") >= least, F.col("got.n")).alias("n")))
+    opens = F.coalesce(F.col("lcp") < F.col("n"), F.lit(True)).cast("long")
+    after = array.select((F.col("idx") - 1).alias("idx"), F.col("lcp").alias("after"))
+    cut = settle(array.join(sized, [*_KEY, "i"]).withColumn("opens", opens).join(after, "idx", "left")
+                 .withColumn("run", F.greatest("lcp", F.coalesce("after", F.lit(0)))).drop("after"), "lines-cut")
+    by_part = cut.groupBy("part").agg(F.sum("opens").alias("k"))
+    before = by_part.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
+    inside = F.sum("opens").over(Window.partitionBy("part").orderBy("idx"))
+    return settle(cut.withColumn("inside", inside).join(before, "part").select(
+        *_KEY, "i", "n", (F.col("inside") + F.col("before")).alias("interval"), "run"), "lines-windows")
+
+
+def long_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run_chars: int = 20) -> DataFrame:
+    """``copies`` with the minimum on the run: every line with a word counts, and a run's lines have so many characters.
+
+    A line goes where it lies in such a run whose first copy is elsewhere before it. Shortest
+    windows that are long enough, from each line on and, on the reversed lines, up to each
+    line, make up every such run from end to end.
+    """
+    all_lines = settle(positions(docs, id_col, text_col, 1, chars=True), "lines-all")
+    twice = settle(all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-twice")
+    repeated = settle(all_lines.join(twice, ["h1", "h2"]), "lines-repeated")
+    gone, runs = None, None
+    for way in (1, -1):
+        turned = repeated.withColumn("i", F.col("i") * way)
+        found = _windows(turned, least_run_chars, None if way == 1 else least_run_chars)
+        runs = found.select(*_KEY, "i", "run") if way == 1 else runs
+        place = F.struct(*_KEY, (F.col("i") * way).alias("i"))
+        found = found.where("n is not null")
+        firsts = settle(found.groupBy("interval").agg(F.min(place).alias("first")), "lines-firsts")
+        covered = (found.join(firsts, "interval").where(place != F.col("first"))
+                   .select(*_KEY, F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
+                   .select(*_KEY, (F.col("i") * way).alias("i")))
+        gone = covered if gone is None else gone.union(covered)
+    return (gone.distinct().join(runs, [*_KEY, "i"]).join(repeated.select(*_KEY, "i", "line_no"), [*_KEY, "i"])
+            .select(*_KEY, "line_no", "run"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 1,
-          least_chars: int = 20, deleted_col: str | None = None, longest_col: str | None = None) -> DataFrame:
+          least_chars: int = 20, deleted_col: str | None = None, longest_col: str | None = None,
+          least_run_chars: int | None = None) -> DataFrame:
     """The rows with all their columns, their text without copied lines, and two counts if named.
 
     ``deleted_col`` counts the lines gone, ``longest_col`` the lines of the longest repeated
     run that a deleted line begins. A null text stays null, an empty one empty. Lines
     shorter than ``least_chars`` without white space around stay and do not interrupt runs.
+    With ``least_run_chars`` instead, every line with a word takes part, and a run counts
+    from so many characters in all its lines; the two other minima do not apply.
     Rows of equal id and text are one document and get the same result; null ids come last.
     Extra columns pass through, whatever their names.
     """
-    gone = copies(docs, id_col, text_col, least_lines, least_chars).groupBy(*_KEY).agg(
+    found = (copies(docs, id_col, text_col, least_lines, least_chars) if least_run_chars is None
+             else long_copies(docs, id_col, text_col, least_run_chars))
+    gone = found.groupBy(*_KEY).agg(
         F.collect_set("line_no").alias("gone"), F.max("run").alias("longest"))
     text = docs[text_col]
     rows = packed(docs, doc=whole_number(docs[id_col]), t=F.xxhash64(F.coalesce(text, F.lit(""))))

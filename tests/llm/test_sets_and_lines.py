@@ -124,6 +124,41 @@ def test_later_copies_of_line_runs_go(spark, least_lines):
             assert r.l == longest[r.doc_id]
 
 
+def brute_runs(rows, least):
+    """Line numbers in maximal runs of so many characters that stand elsewhere before."""
+    seqs = [(d, [(n, x) for n, x in enumerate((t or "").split("\n")) if x.strip()]) for d, t in rows]
+    starts = [(k, i) for k, (_, s) in enumerate(seqs) for i in range(len(s))]
+    gone = {d: set() for d, _ in rows}
+    for at, (k, i) in enumerate(starts):
+        for m, j in starts[:at]:
+            (d, a), (_, b), n = seqs[k], seqs[m], 0
+            while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                n += 1
+            if sum(len(x.strip()) for _, x in a[i:i + n]) >= least:
+                gone[d] |= {no for no, _ in a[i:i + n]}
+    return gone
+
+
+def test_runs_of_short_lines_go(spark):
+    rng = random.Random(7)
+    pool = ["a", "be", "sea", "tree", " root", "a line of twenty characters", "", "some eleven"]
+    rows = [(0, "\n".join(f"verse {n}" for n in range(8))), (1, "own\n" + "\n".join(f"verse {n}" for n in range(8)) + "\nend"),
+            (2, "a line of twenty characters\nshort"), (3, "a line of twenty characters\nshort")]
+    for d in range(4, 30):
+        rows.append((d, "\n".join(rng.choice(pool) if rng.random() < 0.9 else str(rng.random()) for _ in range(rng.randrange(12)))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = brute_runs(rows, 20)
+    assert gone[1] == set(range(1, 9)) and gone[3] == {0, 1}
+    got = {r.doc_id: (r.text, r.k) for r in line_dedup.dedup(docs, least_run_chars=20, deleted_col="k").collect()}
+    assert got == {d: ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]), len(gone[d])) for d, t in rows}
+
+
+def test_equal_suffixes_share_all_their_lines(spark):
+    text = "\n".join(f"line number {n} of the text" for n in range(9))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
+    assert [r.l for r in line_dedup.dedup(docs, longest_col="l").orderBy("doc_id").collect()] == [0, 9]
+
+
 def test_nothing_repeated_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a line that stands alone\nanother one like that")], "doc_id bigint, text string")
     assert line_dedup.dedup(docs).collect() == docs.collect()
