@@ -40,6 +40,8 @@ RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript", "
 #: Elements that a start tag closes when it comes inside them.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that leave a head open.
+IN_HEAD = frozenset(("base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -108,6 +110,11 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             if tag in names:
                 del stack[len(names) - 1 - names[::-1].index(tag):]
         else:
+            if tag == "body" or (tag not in IN_HEAD and stack and stack[-1][0] == "head"):
+                # the end tag of a head may be left out
+                names = [s[0] for s in stack]
+                if "head" in names:
+                    del stack[names.index("head"):]
             if tag in CLOSES:
                 while stack and stack[-1][0] in (*CLOSES[tag], *INLINE):
                     stack.pop()

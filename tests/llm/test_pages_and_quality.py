@@ -32,6 +32,12 @@ def test_blocks_of_broken_markup():
     assert [(b[0], b[2]) for b in html_text.blocks("<nav>m</nav>t<nav>open")] == [("chrome", "m"), ("open", "t"), ("chrome", "open")]
 
 
+def test_head_without_its_end_tag():
+    start = "<html><head><meta charset=utf-8><title>T</title><script>x</script>"
+    assert html_text.blocks(start + "<body><p>a</body>") == [("open", "html/body/p", "a")]
+    assert html_text.blocks(start + "<article>a</article>") == [("main", "html/article", "a")]
+
+
 def test_places_without_names_are_judged_by_repetition(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES", 4)
     rng = random.Random(4)
