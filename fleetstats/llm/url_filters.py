@@ -45,10 +45,11 @@ def address(url: Column) -> Column:
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a_url, b_url): each page with its canonical link and its redirect, absolute."""
+    """(a_url, b_url): each page with all its canonical links and redirects, absolute."""
     url, html = pages[url_col], pages[html_col]
-    found = [F.regexp_extract(F.regexp_extract(html, tag, 0), where, 1) for tag, where in LINKS.values()]
-    made = pages.select(url.alias("a_url"), F.explode(F.array(*found)).alias("to")).where("`to` <> ''")
+    found = [F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, where, 1))
+             for tag, where in LINKS.values()]
+    made = pages.select(url.alias("a_url"), F.explode(F.concat(*found)).alias("to")).where("`to` <> ''")
     scheme = F.substring_index("a_url", "://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(F.col("a_url")))
     folder = F.regexp_extract(path_of(F.col("a_url")), "^(.*/)?", 0)

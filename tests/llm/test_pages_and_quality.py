@@ -109,6 +109,13 @@ def test_verdicts_by_rule_and_along_aliases(spark):
     assert url_filters.judge(pages.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_links_of_all_tags(spark):
+    html = ('<link rel=canonical><link rel="canonical" href="/a"><link rel="canonical" href="/b">'
+            '<meta http-equiv=refresh content="5"><meta http-equiv=refresh content="0; url=/c">')
+    pages = spark.createDataFrame([("http://h.org/", html), ("http://h.org/n", None)], "url string, html string")
+    assert sorted(r.b_url for r in url_filters.links(pages).collect()) == [f"http://h.org/{x}" for x in "abc"]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(8)
     edges = [(n, n + 1) for n in range(100, 160)] + [(n, 7) for n in range(8, 40)] + [(3, 3), (None, 4), (5, None), (2, 1), (1, 2)]
