@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    byte_bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, substring_dedup,
-    token_counts, url_filters,
+    byte_bpe, decontaminate, html_text, line_dedup, neighbours, ngram_join, periodic_runs, quality_classifier,
+    quality_rules, spelling_variants, substring_dedup, token_counts, url_filters,
 )
 from .common import table
 
@@ -216,3 +216,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that are later copies, by characters."""
     found = substring_dedup.spans(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("first_doc").alias("first_doc_id"))
+
+
+@query
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of every document that say the same words three times or more."""
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", periodic_runs.with_repeats(docs["text"], docs["doc_id"]).alias("text"))
+    return periodic_runs.report(periodic_runs.runs(texts, least=24, folds=3))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, its neighbours by one character, and the form it is a variant of."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), least_chars=7, least_n=2, times=10, slips=31)

@@ -64,6 +64,6 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     found = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in found if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in found if k.startswith("op")}
     assert found["pipeline"] is corpus_pipeline.run
     assert set(queries.ORACLES) <= set(queries.QUERIES)
