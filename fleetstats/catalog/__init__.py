@@ -1,6 +1,6 @@
 """The registered queries and their oracles."""
 
-from . import generic, locks, reports
+from . import generic, history, locks, reports
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.snapshot import Snapshot
+from ..sources.snapshot import Snapshot, as_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -526,6 +526,74 @@ VIEWS = {
         FROM {customer} WHERE c_nationkey > 3""",
 }
 
+def _at(step: str) -> str:
+    return f"TIMESTAMP '2024-01-01 12:00:00' + k * INTERVAL {step}"
+
+
+def _grown(counter: str, restarts: str) -> str:
+    """A counter at collection k of 0 to 3; where ``restarts`` holds, it began anew after the second."""
+    return (f"CAST(floor(CASE WHEN {restarts} AND k > 1 THEN {counter} * (k - 1) "
+            f"ELSE {counter} * (k + 1) END / 4.0) AS BIGINT) AS {counter}")
+
+
+# Counters collected four times, ten hours apart, and statements collected on three days.
+VIEWS["wait_series"] = f"""
+        SELECT server_id, wait_type, {_at("'10' HOUR")} AS snapshot_ts,
+            {_grown('wait_time_ms', "server_id = 'R'")}
+        FROM ({VIEWS['wait_stats']}) AS v {{each_4}}"""
+VIEWS["io_series"] = f"""
+        SELECT server_id, database_id, file_id, {_at("'10' HOUR")} AS snapshot_ts,
+            {_grown('num_of_reads', "server_id = 'srv1'")}, {_grown('num_of_writes', "server_id = 'srv1'")},
+            {_grown('io_stall_read_ms', "server_id = 'srv1'")}, {_grown('io_stall_write_ms', "server_id = 'srv1'")}
+        FROM (SELECT {_srv('o_custkey')} AS server_id, CAST(o_custkey % 5 AS INT) AS database_id,
+                  CAST(o_custkey AS INT) AS file_id,
+                  count(CASE WHEN o_orderstatus = 'F' THEN 1 END) * 12 AS num_of_reads,
+                  count(CASE WHEN o_orderstatus = 'O' THEN 1 END) * 12 AS num_of_writes,
+                  count(CASE WHEN o_orderstatus = 'F' THEN 1 END) * (o_custkey % 250) AS io_stall_read_ms,
+                  count(CASE WHEN o_orderstatus = 'O' THEN 1 END) * (o_custkey % 230) AS io_stall_write_ms
+              FROM {{orders}} GROUP BY o_custkey) AS v {{each_4}}"""
+VIEWS["usage_series"] = f"""
+        SELECT server_id, database_id, object_id, index_id, {_at("'10' HOUR")} AS snapshot_ts,
+            {', '.join(_grown(c, "server_id = 'srv2'") for c in (
+                'user_seeks', 'user_scans', 'user_lookups', 'user_updates', 'system_updates'))}
+        FROM ({VIEWS['index_usage']}) AS v {{each_4}}"""
+VIEWS["stats_series"] = f"""
+        SELECT server_id, sql_handle, plan_handle, statement_start_offset, statement_end_offset,
+            {_at("'1' DAY")} AS snapshot_ts,
+            {', '.join(_grown(c, "sql_handle LIKE '%7'") for c in (
+                'execution_count', 'total_worker_time', 'total_elapsed_time', 'total_physical_reads',
+                'total_logical_reads', 'total_logical_writes'))}
+        FROM ({VIEWS['query_stats']}) AS v {{each_4}} WHERE execution_count > 3"""
+# Catalogs looked up at times of their own: some rows only the first time, some only the second.
+VIEWS["text_versions"] = f"""
+        SELECT server_id, sql_handle, plan_handle, dbid, objectid, encrypted,
+            CASE WHEN k = 0 THEN text ELSE text || ' -- again' END AS text,
+            TIMESTAMP '2023-12-31 06:00:00' + k * INTERVAL '2' DAY AS snapshot_ts
+        FROM ({VIEWS['query_text']}) AS v {{each_2}}
+        WHERE NOT (sql_handle LIKE '%3' AND k = 0) AND NOT (sql_handle LIKE '%5' AND k = 1)"""
+VIEWS["plan_versions"] = f"""
+        SELECT server_id, plan_handle, query_plan,
+            TIMESTAMP '2023-12-30 06:00:00' + k * INTERVAL '36' HOUR AS snapshot_ts
+        FROM ({VIEWS['query_plan']}) AS v {{each_3}} WHERE plan_handle NOT LIKE '%8' OR k <> 1"""
+VIEWS["database_versions"] = f"""
+        SELECT server_id, database_id, name || CAST(k AS STRING) AS name,
+            TIMESTAMP '2024-01-01 06:00:00' + k * INTERVAL '36' HOUR AS snapshot_ts
+        FROM ({VIEWS['databases']}) AS v {{each_2}}
+        WHERE server_id <> 'srv2' OR k = 1"""
+
+def _of_one_server(view: str) -> str:
+    """A catalog of the fleet as that of the server of the session snapshot, whose keys are all the fleet's."""
+    return f"SELECT 'srv0' AS server_id, v.* FROM (SELECT {_REST[view]} FROM ({VIEWS[view]}) AS u) AS v"
+
+
+_REST = {
+    "text_versions": "sql_handle, plan_handle, dbid, objectid, encrypted, text, snapshot_ts",
+    "plan_versions": "plan_handle, query_plan, snapshot_ts",
+    "database_versions": "DISTINCT database_id, name, snapshot_ts",
+}
+for _view in _REST:
+    VIEWS[f"all_{_view}"] = _of_one_server(_view)
+
 # Tables of the session snapshot that are the fleet's, seen from its one server.
 _OF_SRV0 = ("query_text", "query_plan", "databases", "schemas", "objects", "indexes",
             "partitions", "allocation_units")
@@ -629,3 +697,25 @@ def sessions(spark: SparkSession, sf_dir: str) -> Snapshot:
     """Locks, waits and sessions of one busy server at one moment."""
     names = {**{n: n for n in _SESSIONS}, **{n: f"s0_{n}" for n in _OF_SRV0}}
     return _snapshot(spark, sf_dir, names, ("server_id", "snapshot_ts"))
+
+
+def series(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Counters collected again and again, with restarts in between."""
+    names = {"wait_stats": "wait_series", "file_io_stats": "io_series", "index_usage": "usage_series",
+             "query_stats": "stats_series"}
+    return _snapshot(spark, sf_dir, names, ("server_id", "snapshot_ts"))
+
+
+#: Catalogs with times of their own, by the table they stand for.
+VERSIONS = {"query_text": "text_versions", "query_plan": "plan_versions", "databases": "database_versions"}
+
+
+def drifting(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Statements of several days over catalogs collected at other times."""
+    return as_of(_snapshot(spark, sf_dir, {"query_stats": "stats_series", **VERSIONS}, ("server_id", "snapshot_ts")))
+
+
+def drifting_sessions(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The session snapshot over catalogs of its server collected at other times."""
+    names = {**{n: n for n in _SESSIONS}, **{n: f"all_{v}" for n, v in VERSIONS.items()}}
+    return as_of(_snapshot(spark, sf_dir, names, ("server_id", "snapshot_ts")))

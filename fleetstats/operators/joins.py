@@ -31,8 +31,14 @@ def lookup(df: DataFrame, dim: DataFrame, on: dict[str, str], take: dict[str, st
 
     ``on`` maps a column of ``df`` to one of ``dim``, ``take`` maps a column of
     ``dim`` to its name in the result, and ``keys`` are snapshot key columns that
-    both sides have. Only the named columns of ``dim`` are read.
+    both sides have. Only the named columns of ``dim`` are read. A dimension with the time
+    it holds from instead of the snapshot's (see ``sources.as_of``) gives what held then.
     """
+    from .asof import SINCE, lookup_as_of
+
+    missing = [k for k in keys if k not in dim.columns]
+    if len(missing) == 1 and SINCE in dim.columns:
+        return lookup_as_of(df, dim, on, take, keys, missing[0], how)
     side = dim.select(
         *[F.col(k).alias(f"_dim_{k}") for k in keys],
         *[F.col(r).alias(f"_on_{l}") for l, r in on.items()],

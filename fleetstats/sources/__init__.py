@@ -2,9 +2,9 @@
 
 from .schemas import KEYS, schema, tables
 from .scratch import scratch_dir, settle
-from .snapshot import Snapshot, append, latest, open_snapshot, read
+from .snapshot import Snapshot, append, as_of, latest, open_snapshot, read
 
 __all__ = [
-    "KEYS", "Snapshot", "append", "latest", "open_snapshot", "read", "schema", "scratch_dir",
+    "KEYS", "Snapshot", "append", "as_of", "latest", "open_snapshot", "read", "schema", "scratch_dir",
     "settle", "tables",
 ]

@@ -152,6 +152,25 @@ def newest(snap: Snapshot) -> Snapshot:
     return out
 
 
+#: Tables that describe what counters count, and may be collected at other times than these.
+CATALOG = ("query_text", "query_plan", "databases", "schemas", "objects", "indexes", "partitions",
+           "allocation_units", "data_spaces", "types")
+
+
+def as_of(snap: Snapshot, tables: Iterable[str] = CATALOG, since: str = "valid_since") -> Snapshot:
+    """A snapshot whose catalogs were collected at times of their own.
+
+    Of these tables a report sees, for each row that it looks up, the newest of the same key
+    on the same server at the moment the row was collected or before.
+    """
+    def own_time(name: str) -> DataFrame:
+        df = snap[name]
+        return df.withColumnRenamed("snapshot_ts", since) if "snapshot_ts" in df.columns else df
+
+    mine = set(tables)
+    return Snapshot({n: (lambda n=n: own_time(n) if n in mine else snap[n]) for n in snap}, snap.keys_)
+
+
 def latest(df: DataFrame) -> DataFrame:
     """Rows of each server's newest snapshot."""
     newest = df.groupBy("server_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
