@@ -456,15 +456,20 @@ def _resource_stream(spark, sf_dir):
     events = spark.readStream.schema(declared).option("pathGlobFilter", "events.parquet").parquet(
         sf_dir
     )
+    return _of_events(events)
+
+
+def _of_events(events):
     return events.select(
         F.col("event_type").alias("server_id"), F.col("ts").alias("end_time"),
+        F.concat(F.lit("db"), F.col("user_id") % 5).alias("database_name"),
         F.col("value").alias("avg_cpu_percent"),
         F.when(F.col("event_id") % 10 != 0, F.col("value") / 2).alias("avg_data_io_percent"),
         (F.col("value") * 2).alias("avg_log_write_percent"),
     )
 
 
-@query(f"""
+_FIT_WINDOWS = f"""
     , w AS (
         SELECT *, time_bucket(INTERVAL 15 MINUTE, end_time) - to_minutes(15 * k) AS window_start
         FROM resource_stats, unnest(range(4)) AS slides(k))
@@ -472,11 +477,29 @@ def _resource_stream(spark, sf_dir):
     FROM w
     WHERE window_start + INTERVAL 60 MINUTE
         <= (SELECT max(end_time) FROM resource_stats) - INTERVAL 15 MINUTE
-    GROUP BY server_id, window_start""", ["resource_stats"], "resource_fit_stream")
+    GROUP BY server_id, window_start"""
+
+
+@query(_FIT_WINDOWS, ["resource_stats"], "resource_fit_stream")
 def _resource_fit_stream(spark, sf_dir):
     return _drain(resource_fit_stream(_resource_stream(spark, sf_dir)), spark, "fit-stream")
 
 
+@query(_FIT_WINDOWS, ["resource_stats"], "resource_fit_stream_repeats")
+def _resource_fit_stream_repeats(spark, sf_dir):
+    """Four collections of the series, each of which has the last quarter of the one before again."""
+    rows = _of_events(_table(spark, sf_dir, "events"))
+    first, last = rows.agg(F.unix_micros(F.min("end_time").cast("timestamp")), F.unix_micros(F.max("end_time").cast("timestamp"))).first()
+    base, quarter = scratch_dir(spark, "series"), (last - first) // 4 + 1
+    at = F.unix_micros(F.col("end_time").cast("timestamp")) - first
+    for k in range(4):
+        (rows.filter((at >= max(0, (k - 1) * quarter)) & (at < (k + 1) * quarter))
+         .withColumn("snapshot_ts", F.timestamp_micros(F.lit(first + (k + 1) * quarter)))
+         .coalesce(1).write.mode("append").parquet(base))
+    stream = spark.readStream.schema(spark.read.parquet(base).schema).option("maxFilesPerTrigger", 1).parquet(base)
+    return _drain(resource_fit_stream(stream), spark, "fit-stream")
+
+
 @query("""
     SELECT server_id, time_bucket(INTERVAL 5 MINUTE, end_time) AS window_start,
         time_bucket(INTERVAL 5 MINUTE, end_time) + INTERVAL 5 MINUTE AS window_end,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import intervals as iv, locks as lk, queries as qs
+from ..sources import scratch_dir
+from ..streaming import deltas_stream
 from .registry import query
 from .reports import stmt, top
 from .views import drifting, drifting_sessions, series
@@ -120,3 +122,18 @@ def queries_per_interval(spark, sf_dir):
     SELECT * FROM d WHERE user_seeks + user_scans + user_lookups + user_updates + system_updates > 0""", ["usage_series"])
 def index_usage_per_interval(spark, sf_dir):
     return _plain_times(iv.index_usage_per_interval(series(spark, sf_dir)), "since")
+
+
+@query(_deltas_sql("wait_series", *iv.COUNTERS["wait_stats"]) + """
+    SELECT * FROM d WHERE wait_time_ms > 0""", ["wait_series"], "waits_per_interval_stream")
+def _waits_per_interval_stream(spark, sf_dir):
+    """The collections one after the other, the second twice."""
+    waits, out = series(spark, sf_dir)["wait_stats"], scratch_dir(spark, "wait-stream")
+    times = [r[0] for r in waits.select("snapshot_ts").distinct().orderBy("snapshot_ts").collect()]
+    for at in [*times[:2], *times[1:]]:
+        waits.filter(F.col("snapshot_ts") == F.lit(at)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(waits.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    grown = deltas_stream(stream, ["server_id", "wait_type"], "snapshot_ts", ["wait_time_ms"]).filter("wait_time_ms > 0")
+    (grown.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state")
+     .option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination())
+    return _plain_times(spark.read.schema(grown.schema).parquet(f"{out}/rows"), "since")

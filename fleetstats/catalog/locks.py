@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..plans import locks as lk, lock_steps as ls, queries as qs
-from ..sources import Snapshot, scratch_dir
-from ..streaming import lock_overview_stream, restrict
+from ..sources import Snapshot, open_snapshot, publish, restrict, scratch_dir
+from ..streaming import arrivals, lock_overview_stream
 from .generic import LEVELS
 from .registry import query
 from .reports import stmt
@@ -665,22 +665,19 @@ def lock_overview(spark, sf_dir):
     return _bare(lk.lock_overview(_snap(spark, sf_dir), own_session=_OWN))
 
 
-@query(_OVERVIEW, _VIEWS, "lock_overview_stream")
+@query(_OVERVIEW.removesuffix(_REPORT) + f""", k_report AS MATERIALIZED ({_REPORT})
+    SELECT * FROM k_report UNION ALL SELECT * FROM k_report""", _VIEWS, "lock_overview_stream")
 def _lock_overview_stream(spark, sf_dir):
-    """The same report, run for each snapshot that a manifest stream announces."""
-    out = scratch_dir(spark, "lock-stream")
-    snap = _snap(spark, sf_dir)
-    snap["tran_locks"].select(*_KEYS).distinct().write.parquet(f"{out}/manifest")
-    manifest = spark.readStream.schema(snap["tran_locks"].select(*_KEYS).schema).parquet(
-        f"{out}/manifest"
-    )
+    """The same report for each of two servers, run as their collections are published."""
+    out, snap = scratch_dir(spark, "lock-stream"), _snap(spark, sf_dir)
+    base = f"{out}/store"
 
     def write(report, batch_id):
         report.write.mode("overwrite").parquet(f"{out}/report/batch={batch_id}")
 
-    stream = lock_overview_stream(
-        manifest, lambda keys: restrict(snap, keys), write, own_session=_OWN
-    )
-    stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(
-    ).awaitTermination()
+    for server in ("srv0", "srv9"):
+        publish(spark, {t: snap[t].withColumn("server_id", F.lit(server)) for t in snap}, base, f"of-{server}")
+        stored = open_snapshot(spark, base)
+        stream = lock_overview_stream(arrivals(spark, base), lambda keys: restrict(stored, keys), write, own_session=_OWN)
+        stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return _bare(spark.read.parquet(f"{out}/report")).drop("batch")

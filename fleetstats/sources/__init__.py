@@ -2,9 +2,10 @@
 
 from .schemas import KEYS, schema, tables
 from .scratch import scratch_dir, settle
-from .snapshot import Snapshot, append, as_of, latest, open_snapshot, read
+from .snapshot import Snapshot, append, as_of, latest, open_snapshot, read, restrict
+from .store import Store, publish, sweep
 
 __all__ = [
-    "KEYS", "Snapshot", "append", "as_of", "latest", "open_snapshot", "read", "schema", "scratch_dir",
-    "settle", "tables",
+    "KEYS", "Snapshot", "Store", "append", "as_of", "latest", "open_snapshot", "publish", "read", "restrict", "schema", "scratch_dir",
+    "settle", "sweep", "tables",
 ]

@@ -7,28 +7,13 @@ the place of a loop over servers or databases.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
+from . import store
 from .schemas import KEYS, schema, tables
-
-_BUCKETS = 64
-_DATE, _BUCKET = "snapshot_date", "server_bucket"
-
-
-_DAY_MICROS = 86_400_000_000
-
-
-def _day(ts):
-    """The day of an instant in UTC, whatever the session's time zone is."""
-    days = F.floor(F.unix_micros(ts) / F.lit(_DAY_MICROS)).cast("int")
-    return F.date_add(F.lit("1970-01-01").cast("date"), days)
-
-
-def _bucket(server):
-    return F.pmod(F.xxhash64(server), F.lit(_BUCKETS)).cast("int")
+from .scratch import settle
+from .store import Store
 
 
 class Snapshot(Mapping):
@@ -55,68 +40,44 @@ class Snapshot(Mapping):
         return Snapshot({**self._frames, **frames}, self.keys_)
 
 
-def append(df: DataFrame, base: str, table: str) -> None:
-    """Write rows of a table under ``base``, by day and by a hash bucket of the server.
+def append(df: DataFrame, base: str, table: str) -> bool:
+    """Publish rows of a table under ``base``; False if there is nothing new in them.
 
-    Rows that are there already are not written again, so a collection may be repeated;
-    only the days and buckets of the new rows are looked through for them.
-
-    A directory per server would be far too many for a large fleet. The rebalance
-    hint lets adaptive execution merge small buckets and split big ones, so one
-    busy server does not make one long task. Sorting by server inside the files
-    keeps the min/max statistics of their row groups tight.
+    Rows that are there already are not written again, so a collection may be repeated. Only
+    what the index knows of the new rows' servers and moments is looked through for them, and
+    rows are compared by two hashes. The rows' own hash names the collection, so of two that
+    append the same at once one is published. ``publish`` takes several tables at once.
     """
-    spark, path = df.sparkSession, f"{base}/{table}"
-    full = schema(table).add(_DATE, T.DateType()).add(_BUCKET, T.IntegerType())
-    new = (
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema(table)])
-        .withColumn(_DATE, _day(F.col("snapshot_ts")))
-        .withColumn(_BUCKET, _bucket("server_id"))
-    )
-    if _exists(spark, path):
-        # one pair for each day and bucket that is written to
-        where = [tuple(r) for r in new.select(_DATE, _BUCKET).distinct().collect()]
-        there = spark.read.schema(full).parquet(path).filter(
-            F.col(_DATE).isin([d for d, _ in where]) & F.col(_BUCKET).isin([b for _, b in where])
-        )
-        old = there.select(*[F.col(c).alias(f"_{c}") for c in full.fieldNames()]).distinct()
-        same = reduce(lambda a, b: a & b, [new[c].eqNullSafe(old[f"_{c}"]) for c in full.fieldNames()])
-        new = new.join(old, same, "left_anti")
-    (
-        new.hint("rebalance", _DATE, _BUCKET)
-        .sortWithinPartitions(_DATE, _BUCKET, *KEYS)
-        .write.mode("append").partitionBy(_DATE, _BUCKET).parquet(path)
-    )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    spark = df.sparkSession
+    new = store.typed(df, table).drop(store.DATE, store.BUCKET)
+
+    def marked(rows: DataFrame) -> DataFrame:
+        names = schema(table).fieldNames()
+        # a NULL changes no hash by itself
+        values = [v for n in names for v in (F.col(n), F.col(n).isNull())]
+        return rows.withColumns({"_h1": F.xxhash64(*values), "_h2": F.xxhash64(F.lit(1), *values)})
+
+    there = marked(Store(spark, base).frame(table, at=new.select(*KEYS).distinct()))
+    new = marked(new).join(there.select(*KEYS, "_h1", "_h2").distinct(), [*KEYS, "_h1", "_h2"], "left_anti")
+    new = settle(new, "append")
+    n, h1, h2 = new.agg(F.count("*"), F.coalesce(F.bit_xor("_h1"), F.lit(0)), F.coalesce(F.sum(F.shiftright("_h2", 20)), F.lit(0))).first()
+    if not n:
+        return False
+    return store.publish(spark, {table: new.drop("_h1", "_h2")}, base, f"{table}-{n}-{h1 & (1 << 64) - 1:016x}-{h2 & (1 << 64) - 1:016x}")
 
 
 def read(spark: SparkSession, base: str, table: str, servers: Iterable[str] | None = None,
          since=None, until=None) -> DataFrame:
-    """Rows of a table; server and time limits prune directories before any read."""
-    full = schema(table).add(_DATE, T.DateType()).add(_BUCKET, T.IntegerType())
-    df = spark.read.schema(full).parquet(f"{base}/{table}")
-    if servers is not None:
-        servers = list(servers)
-        buckets = [_bucket(F.lit(s)) for s in servers]
-        df = df.filter(F.col(_BUCKET).isin(*buckets) & F.col("server_id").isin(*servers))
-    if since is not None:
-        since = F.lit(since).cast("timestamp")
-        df = df.filter((F.col(_DATE) >= _day(since)) & (F.col("snapshot_ts") >= since))
-    if until is not None:
-        until = F.lit(until).cast("timestamp")
-        df = df.filter((F.col(_DATE) <= _day(until)) & (F.col("snapshot_ts") < until))
-    return df.drop(_DATE, _BUCKET)
+    """Published rows of a table; server and time limits prune directories before any read."""
+    return Store(spark, base, servers, since, until).frame(table)
 
 
 def open_snapshot(spark: SparkSession, base: str, **limits) -> Snapshot:
     """All tables under ``base``, opened when first asked for."""
-    return Snapshot(
-        {t: (lambda t=t: read(spark, base, t, **limits)) for t in tables()}, KEYS
-    )
+    kept = Store(spark, base, **limits)
+    out = Snapshot({t: (lambda t=t: kept.frame(t)) for t in tables()}, KEYS)
+    out.store_ = kept
+    return out
 
 
 #: Tables whose collections overlap: each row counts once, however often it was collected.
@@ -141,6 +102,10 @@ def newest(snap: Snapshot) -> Snapshot:
         if name in SERIES:
             others = [c for c in df.columns if c != "snapshot_ts"]
             return df.groupBy(*others).agg(F.min("snapshot_ts").alias("snapshot_ts")).select(*df.columns)
+        kept = getattr(snap, "store_", None)
+        if kept is not None:
+            # the index of the store tells where the newest rows are
+            return kept.frame(name, at=kept.newest(*{name, "databases"}))
         seen = df.select(*KEYS)
         if name != "databases" and "databases" in snap:
             seen = seen.union(snap["databases"].select(*KEYS))
@@ -171,6 +136,16 @@ def as_of(snap: Snapshot, tables: Iterable[str] = CATALOG, since: str = "valid_s
     return Snapshot({n: (lambda n=n: own_time(n) if n in mine else snap[n]) for n in snap}, snap.keys_)
 
 
+def restrict(snap: Snapshot, keys: DataFrame) -> Snapshot:
+    """The rows of ``snap`` that belong to ``keys``; of a stored one, only their directories are read."""
+    names = list(snap.keys_)
+    kept = getattr(snap, "store_", None)
+    if kept is not None:
+        keys = keys.select(*KEYS).distinct()
+        return Snapshot({t: (lambda t=t: kept.frame(t, at=keys)) for t in snap}, names)
+    return Snapshot({t: (lambda t=t: snap[t].join(keys, names, "left_semi")) for t in snap}, names)
+
+
 def latest(df: DataFrame) -> DataFrame:
     """Rows of each server's newest snapshot."""
     newest = df.groupBy("server_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))

@@ -1,6 +1,7 @@
-"""The resource and lock reports on data as it arrives."""
+"""The resource and lock reports, and growth of counters, on data as it arrives."""
 
+from .intervals import deltas_stream
+from .locks import arrivals, lock_overview_stream, restrict
 from .resource import dtu_stream, resource_fit_stream
-from .locks import lock_overview_stream, restrict
 
-__all__ = ["dtu_stream", "lock_overview_stream", "resource_fit_stream", "restrict"]
+__all__ = ["arrivals", "deltas_stream", "dtu_stream", "lock_overview_stream", "resource_fit_stream", "restrict"]

@@ -1,7 +1,8 @@
 """Resource percentages over rolling windows.
 
 Both functions take a stream or a batch DataFrame. State per server and window is
-a few counters; the watermark lets it go once a window can get no more rows.
+a few counters, and one key for each row within the watermark; it lets them go once a
+window can get no more rows.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from ..plans.resource import FIT_COLUMNS
 
 
 def _timed(df: DataFrame, late: str) -> DataFrame:
+    """Each row of the series once: collections overlap, and repeat rows with another time of collection."""
     # A watermark needs a TIMESTAMP; files often hold TIMESTAMP_NTZ.
-    return df.withColumn("end_time", F.col("end_time").cast("timestamp")).withWatermark(
+    timed = df.withColumn("end_time", F.col("end_time").cast("timestamp")).withWatermark(
         "end_time", late
     )
+    same = [c for c in df.columns if c != "snapshot_ts"]
+    # repeats that come after the watermark has passed their rows are late, and dropped as such
+    return timed.dropDuplicatesWithinWatermark(same) if df.isStreaming else timed.dropDuplicates(same)
 
 
 def _flat(df: DataFrame, scope, cols) -> DataFrame:
