@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from fleetstats.sources.scratch import scratch_dir
 
-__all__ = ["SPACES", "LAST", "words", "lines", "table", "mapped", "settle", "packed", "unpacked", "whole_number",
+__all__ = ["SPACES", "LAST", "words", "lines", "table", "mapped", "settle", "release", "packed", "unpacked", "whole_number",
            "components"]
 
 #: Stands for a null document id where ids are compared: it comes last.
@@ -41,7 +41,16 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the folder all executors share, and return a scan of it."""
     path = scratch_dir(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more: what was made of them is settled itself."""
+    for df in frames:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
@@ -90,19 +99,21 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     before = None
     while True:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            "a", F.least("a", "m").alias("m"))
+        # minima are written down, so that the joins shuffle both sides and can split a large component
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            "a", F.least("a", "m").alias("m")), purpose)
         # large star: larger neighbours go to the smallest node around
         large = (both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .where("a <> b").distinct())
         large = settle(large, purpose)
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = settle(large.groupBy("a").agg(F.min("b").alias("m")), purpose)
         small = (large.join(least, "a")
                  .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                            F.struct("a", F.col("m").alias("b")))).alias("e"))
                  .select("e.*").where("a <> b").distinct())
-        now = settle(small, purpose)
+        done, now = now, settle(small, purpose)
+        release(done, low, large, least)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == before:
             break

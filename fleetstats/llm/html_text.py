@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mapped, settle
+from .common import mapped, release, settle
 from .line_dedup import suffix_array
 from .url_filters import host_of
 
@@ -148,7 +148,7 @@ def _placed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def boilerplate(placed: DataFrame) -> DataFrame:
-    """(doc, t, i) of open blocks in runs that two or more pages of a host have: doc is the host, t the page.
+    """(doc, t, i) of open blocks in runs that two or more pages of a host have, settled: doc is the host, t the page.
 
     Runs go through blocks of every role. Pages of a host with equal markup are one page.
     """
@@ -157,10 +157,13 @@ def boilerplate(placed: DataFrame) -> DataFrame:
                     F.xxhash64(F.lit(1), "host", "b.path", "b.text").alias("h2"),
                     F.size(F.split("b.text", " ")).alias("words"), (F.col("b.role") == "open").alias("open")).distinct())
     each = settle(each, "html-blocks")
-    several = each.groupBy("h1", "h2").agg(F.count_distinct("t").alias("pages")).where(F.col("pages") >= PAGES)
-    repeated = settle(each.join(several.select("h1", "h2"), ["h1", "h2"]), "html-repeated")
+    # written down, so that the join shuffles both sides and can split a frequent block
+    several = settle(each.groupBy("h1", "h2").agg(F.count_distinct("t").alias("pages")).where(F.col("pages") >= PAGES)
+                     .select("h1", "h2"), "html-several")
+    repeated = settle(each.join(several, ["h1", "h2"]), "html-repeated")
+    release(each, several)
     # every block has a word: a run of more blocks than LONG_WORDS is covered by its stretches of so many
-    array = settle(suffix_array(repeated.select("doc", "t", "i", "h1", "h2"), LONG_WORDS), "html-array")
+    array = suffix_array(repeated.select("doc", "t", "i", "h1", "h2"), LONG_WORDS)
 
     # neighbours in the array may be of one page, so look on to the nearest suffix of another, both ways
     before = array.select((F.col("idx") + 1).alias("idx"), F.col("doc").alias("pdoc"), F.col("t").alias("pt"))
@@ -168,6 +171,7 @@ def boilerplate(placed: DataFrame) -> DataFrame:
     sided = settle(array.join(before, "idx", "left").join(after, "idx", "left").withColumn(
         "turn", F.when((F.col("doc") == F.col("pdoc")) & (F.col("t") == F.col("pt")), 0).otherwise(1).cast("long"))
         .select("doc", "t", "i", "part", "idx", "lcp", F.coalesce("after", F.lit(0)).alias("after"), "turn"), "html-sides")
+    release(array)
     turns = sided.groupBy("part").agg(F.sum("turn").alias("n"))
     earlier = turns.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
     stretch = F.sum("turn").over(Window.partitionBy("part").orderBy("idx")) + F.col("earlier")
@@ -184,7 +188,9 @@ def boilerplate(placed: DataFrame) -> DataFrame:
     seen = runs.join(repeated.select("doc", "t", "i", "words", "open"), ["doc", "t", "i"]).withColumn("length", length)
     reach = F.max(F.when(F.col("length") >= LONG_WORDS, F.col("i") + F.col("run"))).over(
         page.rowsBetween(Window.unboundedPreceding, 0))
-    return seen.withColumn("reach", reach).where("reach > i and open").select("doc", "t", "i")
+    found = settle(seen.withColumn("reach", reach).where("reach > i and open").select("doc", "t", "i"), "html-boilerplate")
+    release(sided, repeated)
+    return found
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -198,7 +204,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     other columns are ignored.
     """
     placed = settle(_placed(pages, id_col, url_col, html_col), "html-placed")
-    found = settle(boilerplate(placed), "html-boilerplate")
+    found = boilerplate(placed)
     gone = found.groupBy("doc", "t").agg(F.collect_set("i").alias("gone"))
     columns = ["id", "url", "blocks"]
     # pages that markup settles need no verdict

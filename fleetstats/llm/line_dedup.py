@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACES, lines, packed, settle, unpacked, whole_number
+from .common import SPACES, lines, packed, release, settle, unpacked, whole_number
 from .quality_rules import let
 
 _KEY = ["doc", "t"]
@@ -55,9 +55,10 @@ def positions(docs: DataFrame, id_col: str, text_col: str, least_chars: int, cha
 
 def ranks(repeated: DataFrame, depth: int | None = None) -> list[DataFrame]:
     """Rank tables (doc, t, i, rank) by prefixes of 1, 2, 4, ... lines, until ranks split no more or tell ``depth`` lines."""
-    ids = _order(repeated.select("h1", "h2").distinct(), "h1", "h2").withColumnRenamed("at", "rank")
-    levels = [settle(repeated.join(ids, ["h1", "h2"]).select(*_KEY, "i", "rank"), "lines-rank")]
+    ids = _order(repeated.select("h1", "h2").distinct(), "h1", "h2")
+    levels = [settle(repeated.join(ids, ["h1", "h2"]).select(*_KEY, "i", F.col("at").alias("rank")), "lines-rank")]
     distinct = ids.count()
+    release(ids)
     while distinct:
         step = 1 << (len(levels) - 1)
         if depth is not None and step >= depth:
@@ -68,16 +69,18 @@ def ranks(repeated: DataFrame, depth: int | None = None) -> list[DataFrame]:
         pairs = settle(pairs, "lines-pairs")
         keys = _order(pairs.select("rank", "next").distinct(), "rank", "next")
         split = keys.count()
+        if split != distinct:
+            levels.append(settle(pairs.join(keys, ["rank", "next"]).select(*_KEY, "i", F.col("at").alias("rank")),
+                                 "lines-rank"))
+        release(pairs, keys)
         if split == distinct:
             break
-        levels.append(settle(pairs.join(keys, ["rank", "next"]).select(*_KEY, "i", F.col("at").alias("rank")),
-                             "lines-rank"))
         distinct = split
     return levels
 
 
 def suffix_array(repeated: DataFrame, depth: int | None = None) -> DataFrame:
-    """(doc, t, i, part, idx, lcp): suffixes in order, and the lines each shares with the one before.
+    """(doc, t, i, part, idx, lcp): suffixes in order, and the lines each shares with the one before; settled.
 
     ``repeated`` has (doc, t, i, h1, h2) of lines that occur twice or more; a suffix ends
     before the first line that is missing there. With ``depth``, order and common prefixes
@@ -87,11 +90,12 @@ def suffix_array(repeated: DataFrame, depth: int | None = None) -> DataFrame:
     island = F.col("i") - F.row_number().over(Window.partitionBy(*_KEY).orderBy("i"))
     left = F.count("*").over(Window.partitionBy(*_KEY, "island").orderBy(F.desc("i")))
     sized = levels[-1].withColumn("island", island).withColumn("left", left).drop("island")
-    ordered = _dense(_order(sized, "rank", *_KEY, "i"))
-    ordered = settle(ordered.select(*_KEY, "i", "left", "part", "idx"), "lines-suffixes")
+    sorted_ = _order(sized, "rank", *_KEY, "i")
+    ordered = settle(_dense(sorted_).select(*_KEY, "i", "left", "part", "idx"), "lines-suffixes")
+    release(sorted_)
     prev = ordered.select((F.col("idx") + 1).alias("idx"), F.col("doc").alias("pdoc"), F.col("t").alias("pt"),
                           F.col("i").alias("pi"), F.col("left").alias("pleft"))
-    pairs = ordered.join(prev, "idx").withColumn("l", F.lit(0))
+    pairs, shared = ordered.join(prev, "idx").withColumn("l", F.lit(0)), []
     for k in reversed(range(len(levels))):
         level = levels[k]
         # ranks that split no more, or tell all that is asked: the rest is equal too, or does not count
@@ -103,11 +107,15 @@ def suffix_array(repeated: DataFrame, depth: int | None = None) -> DataFrame:
                  .join(mine, [*_KEY, "on"], "left").join(other, ["pdoc", "pt", "pon"], "left")
                  .withColumn("l", F.col("l") + F.when(F.col("r") == F.col("pr"), step).otherwise(0))
                  .drop("on", "pon", "r", "pr"))
-        pairs = settle(pairs, "lines-common")
+        done, pairs = shared, settle(pairs, "lines-common")
+        release(*done, level)
+        shared = [pairs]
     ends = ["l", "left", "pleft"] if depth is None else ["l", "left", "pleft", F.lit(depth)]
     common = pairs.select("idx", F.least(*ends).alias("lcp"))
-    return ordered.join(common, "idx", "left").select(
-        *_KEY, "i", "part", "idx", F.coalesce("lcp", F.lit(0)).alias("lcp"))
+    array = settle(ordered.join(common, "idx", "left").select(
+        *_KEY, "i", "part", "idx", F.coalesce("lcp", F.lit(0)).alias("lcp")), "lines-array")
+    release(ordered, *shared)
+    return array
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 1,
@@ -122,7 +130,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     # written down, so that the joins shuffle both sides and can split a frequent line
     twice = settle(all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-twice")
     repeated = settle(all_lines.join(twice, ["h1", "h2"]), "lines-repeated")
-    array = settle(suffix_array(repeated), "lines-array")
+    release(all_lines, twice)
+    array = suffix_array(repeated)
 
     # an interval is a stretch of suffixes whose lcp with the one before is long enough
     opens = (F.col("lcp") < least_lines).cast("long")
@@ -135,6 +144,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
                     F.greatest("lcp", F.coalesce("after", F.lit(0))).alias("run"))
             .where(F.col("run") >= least_lines))
     runs = settle(runs, "lines-runs")
+    release(array)
     place = F.struct(*_KEY, "i")
     firsts = settle(runs.groupBy("interval").agg(F.min(place).alias("first")), "lines-firsts")
     later = runs.join(firsts, "interval").where(place != F.col("first")).select(*_KEY, "i", "run")
@@ -148,7 +158,7 @@ def _windows(repeated: DataFrame, least: int, depth: int | None) -> DataFrame:
 
     ``run`` is the longest repeated run from i, up to ``depth``.
     """
-    array = settle(suffix_array(repeated.select(*_KEY, "i", "h1", "h2"), depth), "lines-array")
+    array = suffix_array(repeated.select(*_KEY, "i", "h1", "h2"), depth)
     # a line that counts has a character at least, so no more lines are needed
     some = F.collect_list(F.struct("i", "chars")).over(Window.partitionBy(*_KEY).orderBy("i").rowsBetween(0, least - 1))
     got = F.aggregate(
@@ -164,8 +174,10 @@ def _windows(repeated: DataFrame, least: int, depth: int | None) -> DataFrame:
     by_part = cut.groupBy("part").agg(F.sum("opens").alias("k"))
     before = by_part.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
     inside = F.sum("opens").over(Window.partitionBy("part").orderBy("idx"))
-    return settle(cut.withColumn("inside", inside).join(before, "part").select(
+    windows = settle(cut.withColumn("inside", inside).join(before, "part").select(
         *_KEY, "i", "n", (F.col("inside") + F.col("before")).alias("interval"), "run"), "lines-windows")
+    release(array, cut)
+    return windows
 
 
 def long_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run_chars: int = 20) -> DataFrame:
@@ -178,6 +190,7 @@ def long_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_lines = settle(positions(docs, id_col, text_col, 1, chars=True), "lines-all")
     twice = settle(all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "lines-twice")
     repeated = settle(all_lines.join(twice, ["h1", "h2"]), "lines-repeated")
+    release(all_lines, twice)
     gone, runs = None, None
     for way in (1, -1):
         turned = repeated.withColumn("i", F.col("i") * way)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SPACES, components, packed, settle, unpacked
+from .common import SPACES, components, packed, release, settle, unpacked
 
 #: n-grams are counted by this many hash buckets to tell frequent ones.
 SKETCH = 1 << 16
@@ -338,11 +338,13 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     tiles = settle(
         members.join(shared, "h").distinct().select("h", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "d1"),
         "grams-tiles")
+    release(shared)
     ends = settle(tiles.groupBy("h", "band").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
                   .where("lo <> hi"), "grams-ends")
     stars = (tiles.join(ends, ["h", "band"]).select(F.col("d1").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
              .where("a <> b").distinct())
     likely = settle(_likely(stars, classes, like), "grams-likely")
+    release(ends)
     near = settle(likely.groupBy("a").agg(F.min("b").alias("b")), "grams-near")
 
     links = settle(_verified(near, classes, rows, n, like), "grams-links")
@@ -361,7 +363,9 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         else:
             # of a pair that is likely now, an end had a likely partner in the first round
             known = known.join(active, "d1", "left").withColumn("active", F.col("_mark").isNotNull()).drop("_mark")
-        found = settle(_blocks(settle(known, "grams-known"), classes, like, nearest), "grams-candidates")
+        known = settle(known, "grams-known")
+        found = settle(_blocks(known, classes, like, nearest), "grams-candidates")
+        release(known)
         if active is None:
             active = settle(found.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
                             .withColumn("_mark", F.lit(True)), "grams-active")
@@ -369,7 +373,9 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         apart = (likely.join(of_class.toDF("a", "ca"), "a").join(of_class.toDF("b", "cb"), "b")
                  .where("ca <> cb").select("a", "b"))
         new = settle(found.union(apart).distinct().join(tested, ["a", "b"], "left_anti"), "grams-untested")
-        links = settle(links.union(_verified(new, classes, rows, n, like)), "grams-links")
+        release(found, of_class)
+        before, links = links, settle(links.union(_verified(new, classes, rows, n, like)), "grams-links")
+        release(before)
         tested = tested.union(new)
     reached = components(links, "grams-components")
     placed = (some.select("doc_id", "n", "t1", "t2", F.concat_ws("-", F.hex("d1"), F.hex("d2")).alias("name"))

@@ -40,7 +40,7 @@ class Features:
             shape = run.sub(mark, shape)
         if len(self._known) > _REMEMBERED:
             self._known.clear()
-        self._known[word] = found = zlib.crc32(b"word " + word.encode()), zlib.crc32(shape[:16].encode())
+        self._known[word] = found = zlib.crc32(b"word " + word.encode()), zlib.crc32(shape.encode())
         return found
 
     def of(self, text: str | None) -> np.ndarray:
@@ -61,19 +61,46 @@ class Features:
         return np.unique(np.concatenate(out) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+class Rows:
+    """Buckets of many texts as one flat array, four bytes each."""
+
+    def __init__(self, parts: list[bytes]):
+        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        self.flat = np.frombuffer(b"".join(parts), np.int32)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i]:self.starts[i + 1]]
+
+
+def log_ratios(rows: Rows, labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Log ratio of an indicator's share in class 1 to that in class 0, for every bucket."""
     share = []
     for label in (1, 0):
-        mine = [r for r, y in zip(rows, labels) if y == label]
-        n = np.bincount(np.concatenate(mine) if mine else np.zeros(0, np.int64), minlength=BUCKETS) + smooth
+        n = np.full(BUCKETS, smooth)
+        for i in np.nonzero(labels == label)[0]:
+            # a row's buckets are distinct
+            n[rows[i]] += 1
         share.append(np.log(n / n.sum()))
     return share[0] - share[1]
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
+class Scaled:
+    """Values of rows, their ratios brought to unit length, made when asked for."""
+
+    def __init__(self, ratio: np.ndarray, rows: Rows):
+        self.ratio, self.rows = ratio, rows
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return _scaled(self.ratio, self.rows[i])
+
+
+def descend(rows, values, labels: np.ndarray,
             cost: float = 1.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last one is the offset) of the L1-loss SVM by dual coordinate descent."""
+    """Weights (the last one is the offset) of the L1-loss SVM by dual coordinate descent, of rows by number."""
     w = np.zeros(BUCKETS + 1)
     alpha = np.zeros(len(rows))
     y = np.where(labels == 1, 1.0, -1.0)
@@ -83,13 +110,14 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            slope = y[i] * (w[rows[i]] @ values[i] + w[BUCKETS]) - 1.0
+            row, value = rows[i], values[i]
+            slope = y[i] * (w[row] @ value + w[BUCKETS]) - 1.0
             # the vector has unit length, the offset adds one
             new = min(max(alpha[i] - slope / 2.0, 0.0), upper[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 moved = max(moved, abs(step))
-                w[rows[i]] += step * values[i]
+                w[row] += step * value
                 w[BUCKETS] += step
                 alpha[i] = new
         if moved < 1e-3:
@@ -140,7 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     or sources, become features. Without labelled texts every text scores one half.
     """
     chosen = sample_of(labels, id_col, label_col, sample)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(
+        F.coalesce(docs[text_col], F.lit(""))).alias("t")).join(F.broadcast(chosen), "id")
+    # where ids repeat, rows are bounded as ids are
+    taken = rows.select("id", "t").distinct().orderBy(F.xxhash64("id", "t"), "id", "t").limit(sample)
+    rows = rows.join(F.broadcast(taken), ["id", "t"]).dropDuplicates(["id", "t"])
     made: list[Features] = []
 
     def features(b: dict) -> dict:
@@ -150,14 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 "row": [made[0].of(t).astype(np.int32).tobytes() for t in b["text"]]}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(mapped(rows.select("id", "label", "text"), f"id {kind}, label int, row binary", features)
-                 .collect(), key=lambda r: (r.id, bytes(r.row)))[:2 * sample]
-    x = [np.frombuffer(r.row, np.int32).astype(np.int64) for r in got]
-    y = np.array([r.label for r in got], int)
+    got = mapped(rows.select("id", "label", "text"), f"id {kind}, label int, row binary", features).collect()
+    got.sort(key=lambda r: (r.id, bytes(r.row)))
+    y, x = np.array([r.label for r in got], int), Rows([bytes(r.row) for r in got])
+    del got
     if not len(y):
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS + 1))
     ratio = log_ratios(x, y)
-    return Model(ratio, descend(x, [_scaled(ratio, r) for r in x], y))
+    return Model(ratio, descend(x, Scaled(ratio, x), y))
 
 
 def _score_of(spark, model: Model):
