@@ -4,13 +4,16 @@ A page becomes blocks: the text between block-level tags, each with the path of
 classes above it. All blocks of a host's pages are one sequence, and a suffix array finds
 the runs that stand on several pages: these are boilerplate, block by block. What is unique
 stays. Markup overrules this both ways: menus, headers, footers, asides, forms, scripts and
-the like go though unique, and an article stays though its sentences recur.
+the like go though unique, and an article stays though its sentences recur. A page with an
+article is its article, whatever stands around it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -43,8 +46,13 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 #: Elements that leave a head open.
 IN_HEAD = frozenset(("base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# a quote only opens a value after an equals sign; possessive, so that no tag is read twice
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>", re.S)
+_COMMENT = re.compile(r"<!--.*()()()", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?")
+#: Paths longer than this go on from their digest, so that deep nesting costs no more.
+_LONG_PATH = 1000
 #: A run of blocks is long enough to tell from this many words.
 LONG_WORDS = 4
 #: Distinct pages of its host that a block must stand on to be part of a run.
@@ -56,9 +64,10 @@ def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, str]:
     found: dict[str, str] = {}
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
-            found[name.lower()] = "".join(values)
+            # of an attribute given twice the first counts
+            found.setdefault(name.lower(), "".join(values))
     label = tag + "".join("." + c for c in found.get("class", "").split())
-    names = set(re.split(r"[^a-z]+", (found.get("class", "") + " " + found.get("id", "")).lower()))
+    names = {x.lower() for x in (*found.get("class", "").split(), found.get("id", ""))}
     role = found.get("role", "").lower()
     if tag in CHROME or (tag == "header" and not in_main) or role in CHROME_ROLES or "hidden" in found:
         return "chrome", label
@@ -73,6 +82,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
     """(role, path, text) of every block with text: role is main, open, named or chrome."""
     page = page or ""
     stack: list[tuple[str, str, str]] = []
+    roles, tags = Counter(), Counter()
     out: list[tuple[str, str, str]] = []
     parts: list[str] = []
     where = ("open", "")
@@ -84,14 +94,29 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
                 out.append((*where, text))
             parts.clear()
 
+    def push(tag: str, role: str, label: str) -> None:
+        path = stack[-1][2] if stack else ""
+        if tag not in INLINE:
+            if len(path) > _LONG_PATH:
+                path = hashlib.sha256(path.encode()).hexdigest()
+            path = f"{path}/{label}" if path else label
+        stack.append((tag, role, path))
+        roles[role] += 1
+        tags[tag] += 1
+
+    def pop() -> None:
+        tag, role, _ = stack.pop()
+        roles[role] -= 1
+        tags[tag] -= 1
+
     def place() -> tuple[str, str]:
-        roles = {s[1] for s in stack}
-        role = next((r for r in ("chrome", "named", "main") if r in roles), "open")
-        return role, "/".join(s[2] for s in stack if s[0] not in INLINE)
+        role = next((r for r in ("chrome", "named", "main") if roles[r]), "open")
+        return role, stack[-1][2] if stack else ""
 
-    at = 0
+    at, last = 0, page.rfind(">")
     while True:
-        m = _TOKEN.search(page, at)
+        # behind the last of these no tag can end, and each that begins would be looked for to the end
+        m = (_TOKEN if at <= last else _COMMENT).search(page, at)
         if m is None:
             parts.append(page[at:])
             break
@@ -99,33 +124,32 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             parts.append(page[at:m.start()])
         at = m.end()
         tag = m[2]
-        if tag is None:
+        if not tag:
             continue
         tag = tag.lower()
         inline = tag in INLINE
         if not inline:
             settle_block()
         if m[1]:
-            names = [s[0] for s in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag):]
+            left = tags[tag]
+            while left and tags[tag] == left:
+                pop()
         else:
             if tag == "body" or (tag not in IN_HEAD and stack and stack[-1][0] == "head"):
                 # the end tag of a head may be left out
-                names = [s[0] for s in stack]
-                if "head" in names:
-                    del stack[names.index("head"):]
+                while tags["head"]:
+                    pop()
             if tag in CLOSES:
                 while stack and stack[-1][0] in (*CLOSES[tag], *INLINE):
-                    stack.pop()
+                    pop()
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not page[m.start():m.end()].endswith("/>"):
-                role, label = _kind(tag, m[3], any(s[1] == "main" for s in stack))
+                role, label = _kind(tag, m[3], roles["main"] > 0)
                 # inline elements matter where they hide what they hold
                 if not inline or role:
-                    stack.append((tag, role, label))
+                    push(tag, role, label)
         if not inline:
             where = place()
     settle_block()
@@ -198,8 +222,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages have an empty text. Character references are decoded, white space
     in a block becomes single spaces, and blocks follow each other after one space. A page
-    is its article, and all other blocks that are neither named as boilerplate by their
-    markup nor part of a run that other pages of the host have. Pages without a host form
+    is its article or, if it has none, all blocks that are neither named as boilerplate by
+    their markup nor part of a run that other pages of the host have. Pages without a host form
     one host. Repeated rows get the same result each; pages of any length are read whole;
     other columns are ignored.
     """
@@ -208,12 +232,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     gone = found.groupBy("doc", "t").agg(F.collect_set("i").alias("gone"))
     columns = ["id", "url", "blocks"]
     # pages that markup settles need no verdict
-    asks = F.exists("blocks", lambda b: b["role"] == "open")
+    asks = F.exists("blocks", lambda b: b["role"] == "open") & ~F.exists("blocks", lambda b: b["role"] == "main")
     asked = (placed.where(asks).withColumn("doc", F.xxhash64("host")).join(gone, ["doc", "t"], "left")
              .select(*columns, F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
     both = placed.where(~asks).select(*columns, F.array().cast("array<int>").alias("gone")).union(asked)
-    both = both.withColumn("kept", F.filter("blocks", lambda b, n: (b["role"] == "main") | (
-        (b["role"] == "open") & ~F.array_contains("gone", n))))
+    both = both.withColumn("article", F.exists("blocks", lambda b: b["role"] == "main")).withColumn("kept", F.filter(
+        "blocks", lambda b, n: F.when(F.col("article"), b["role"] == "main").otherwise(
+            (b["role"] == "open") & ~F.array_contains("gone", n))))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), " ")
     return both.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),
