@@ -52,6 +52,21 @@ def wait_pareto_short(spark, sf_dir):
     return wt.wait_pareto_short(fleet(spark, sf_dir))
 
 
+def _named(spark, sf_dir):
+    snap = fleet(spark, sf_dir)
+    return snap.with_tables(wait_stats=snap["named_waits"])
+
+
+@query(_pareto_sql(99, f"WHERE wait_type NOT IN {wt.MORE_IDLE_WAITS}"), ["wait_stats AS named_waits"])
+def wait_pareto_idle_left_out(spark, sf_dir):
+    return wt.wait_pareto(_named(spark, sf_dir))
+
+
+@query(_pareto_sql(95, f"WHERE wait_type NOT IN {wt.IDLE_WAITS}"), ["wait_stats AS named_waits"])
+def wait_pareto_short_idle_left_out(spark, sf_dir):
+    return wt.wait_pareto_short(_named(spark, sf_dir))
+
+
 @query(f"""
     SELECT server_id, wait_type, wait_time_ms // 1000 AS wait_time_s,
         round({pct('wait_time_ms', 'sum(wait_time_ms) OVER (PARTITION BY server_id)')}, 2)
@@ -121,6 +136,23 @@ def costly_by_io(spark, sf_dir):
     return qs.costly_by_io(fleet(spark, sf_dir))
 
 
+@query(_JOINED + f"""
+    SELECT server_id, (total_logical_reads + total_logical_writes) // execution_count AS average_io,
+        total_logical_reads + total_logical_writes AS total_io, total_logical_reads AS total_reads,
+        total_logical_writes AS total_writes, execution_count, {_QUERY}
+    FROM j {top(100, f'total_logical_reads + total_logical_writes DESC, {_ID}')}""", _STATS)
+def costly_by_total_io(spark, sf_dir):
+    return qs.costly_by_io(fleet(spark, sf_dir), order_by="total_io")
+
+
+@query(_JOINED + f"""
+    SELECT server_id, total_worker_time // execution_count AS average_cpu,
+        total_worker_time AS total_cpu, execution_count, {_QUERY}
+    FROM j {top(50, f'total_worker_time // execution_count DESC, {_ID}')}""", _STATS)
+def costly_by_average_cpu(spark, sf_dir):
+    return qs.costly_by_cpu(fleet(spark, sf_dir), order_by="average_cpu")
+
+
 @query(_JOINED + f"""
     SELECT server_id, total_worker_time // execution_count AS average_cpu,
         total_worker_time AS total_cpu, execution_count, {_QUERY}
@@ -246,6 +278,14 @@ def page_query_stats(spark, sf_dir):
     return qs.page_query_stats(fleet(spark, sf_dir))
 
 
+@query(_JOINED + _PAGED.format(per="PARTITION BY server_id", first=11, last=20).replace("total_hits FROM (", f"""total_hits,
+        last_execution_time, total_physical_reads, total_logical_reads, total_logical_writes, execution_count,
+        total_worker_time, total_elapsed_time, total_elapsed_time // execution_count AS avg_elapsed_time,
+        {stmt()} AS statement_text FROM (""", 1), _STATS)
+def page_query_stats_details(spark, sf_dir):
+    return qs.page_query_stats(fleet(spark, sf_dir), details=True)
+
+
 @query(_JOINED + _PAGED.format(per="", first=101, last=150), _STATS)
 def page_query_stats_fleet(spark, sf_dir):
     return qs.page_query_stats(fleet(spark, sf_dir), scope=(), page_number=3, size=50)

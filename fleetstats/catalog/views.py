@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.waits import MORE_IDLE_WAITS
 from ..sources.snapshot import Snapshot, as_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -526,6 +527,15 @@ VIEWS = {
         FROM {customer} WHERE c_nationkey > 3""",
 }
 
+# Wait types under real names, idle ones among them.
+_WAIT_NAMES = ("PAGEIOLATCH_SH", "LCK_M_X", "CXPACKET", "WRITELOG", "ASYNC_NETWORK_IO", "SOS_SCHEDULER_YIELD", *MORE_IDLE_WAITS)
+VIEWS["named_waits"] = f"""
+        SELECT l_returnflag AS server_id,
+            CASE p_partkey % {len(_WAIT_NAMES) + 4} {" ".join(f"WHEN {n} THEN '{w}'" for n, w in enumerate(_WAIT_NAMES))} ELSE p_brand END AS wait_type,
+            CAST(sum(floor(l_quantity)) AS BIGINT) AS wait_time_ms
+        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey GROUP BY 1, 2"""
+
+
 def _at(step: str) -> str:
     return f"TIMESTAMP '2024-01-01 12:00:00' + k * INTERVAL {step}"
 

@@ -21,11 +21,11 @@ from .text import (
     temp_table_name,
     text_bytes,
 )
-from .xmlplan import is_well_formed, plan_exists, plan_values
+from .xmlplan import index_hints, is_well_formed, plan_exists, plan_values
 
 __all__ = [
     "account", "band", "bit_flags", "bits_clear", "clock_text", "dec2", "elapsed_seconds",
-    "idiv", "index_ddl", "int_avg", "is_well_formed", "parse_kb", "percent", "plan_exists",
+    "idiv", "index_ddl", "index_hints", "int_avg", "is_well_formed", "parse_kb", "percent", "plan_exists",
     "plan_values", "row_max", "split_object_name", "statement_text", "temp_table_name",
     "text_bytes", "usage_flag",
 ]

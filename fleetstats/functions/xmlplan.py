@@ -33,3 +33,42 @@ def plan_values(df: DataFrame, xml: str, paths: dict[str, tuple[str, str]]) -> D
         text = F.nullif(F.xpath_string(F.col(xml), F.lit(path)), F.lit(""))
         out = out.withColumn(name, F.when(F.col(flag), text).try_cast(kind))
     return out.drop(flag)
+
+
+# Where a plan document keeps its missing-index hints.
+_PLAN = (
+    "BatchSequence struct<Batch: array<struct<Statements: array<struct<StmtSimple: array<struct<QueryPlan: array<struct<"
+    "MissingIndexes: array<struct<MissingIndexGroup: array<struct<_Impact: string, "
+    "MissingIndex: array<struct<_Database: string, _Table: string>>>>>>>>>>>>>>>, bad string"
+)
+_WAY = ("Statements", "StmtSimple", "QueryPlan", "MissingIndexes", "MissingIndexGroup")
+
+
+def _all_of(items: Column, name: str) -> Column:
+    """The arrays of a field as one array, in document order."""
+    return F.flatten(F.filter(items[name], lambda x: x.isNotNull()))
+
+
+def index_hints(xml) -> Column:
+    """The missing-index hints of a plan document, as an array of (impact, database, table).
+
+    The document is parsed once, into a declared structure; prefixes and namespaces of its
+    elements do not matter. NULL for text that is not well formed; empty without hints. A group
+    without an index gives one hint that has its impact only.
+    """
+    xml = _c(xml)
+    parsed = F.from_xml(xml, _PLAN, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "ignoreNamespace": "true"})
+
+    def hints(plan: Column) -> Column:
+        groups = plan["BatchSequence"]["Batch"]
+        for name in _WAY:
+            groups = _all_of(groups, name)
+        none = F.array(F.struct(F.lit(None).cast("string").alias("_Database"), F.lit(None).cast("string").alias("_Table")))
+        each = F.transform(groups, lambda g: F.transform(F.coalesce(g["MissingIndex"], none), lambda i: F.struct(
+            g["_Impact"].try_cast("decimal(18,4)").alias("impact"), i["_Database"].alias("database"), i["_Table"].alias("table"))))
+        found = F.coalesce(F.flatten(each), F.array().cast("array<struct<impact:decimal(18,4),database:string,table:string>>"))
+        return F.when(plan["bad"].isNull() & (F.trim(xml) != ""), found)
+
+    # a lambda binds the parsed document, so that it is not parsed again for every field
+    return F.get(F.transform(F.array(parsed), hints), F.lit(0))

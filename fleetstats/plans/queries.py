@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import (
-    account, idiv, int_avg, plan_exists, plan_values, statement_text,
+    account, idiv, index_hints, int_avg, statement_text,
 )
 from ..operators import lookup, page, top_n
 from .common import database_name, only_database, pick, report, scope_of
@@ -253,27 +253,21 @@ def procedure_profile(snap, database_id=None, *, scope=None, object_name: str |
     return pick(out, snap, "execution_count", "object_name", *names, "sql_stmt")
 
 
-# Where a plan document keeps its missing-index hints.
-_HINT_GROUP = (
-    "/ShowPlanXML/BatchSequence/Batch/Statements/StmtSimple/QueryPlan"
-    "/MissingIndexes/MissingIndexGroup"
-)
+def _has(name: str):
+    return lambda hint: hint[name].isNotNull()
 
 
 @report
 def missing_index_plans(snap, *, scope=None) -> DataFrame:
     """Statements whose plan asks for an index in a database other than "m", by
     impact times executions. Plans are parsed before the join, not once for each statement."""
-    plans = snap["query_plan"].filter(F.contains(F.col("query_plan"), F.lit("MissingIndex")))
-    plans = plan_values(
-        plans.filter(plan_exists("query_plan", f'{_HINT_GROUP}/MissingIndex[@Database!="m"]')),
-        "query_plan",
-        {
-            "impact": (f"{_HINT_GROUP}/@Impact", "decimal(18,4)"),
-            "database": (f"{_HINT_GROUP}/MissingIndex/@Database", "string"),
-            "table": (f"{_HINT_GROUP}/MissingIndex/@Table", "string"),
-        },
-    )
+    documents = snap["query_plan"].filter(F.contains(F.col("query_plan"), F.lit("MissingIndex")))
+    # a generator keeps what was parsed apart from the filter, which would parse again
+    plans = documents.select(
+        *snap.keys_, "plan_handle", F.explode(F.array(index_hints("query_plan"))).alias("_hints")
+    ).filter(F.exists("_hints", lambda h: h["database"] != "m"))
+    first = {c: F.get(F.filter("_hints", _has(c)), F.lit(0))[c] for c in ("impact", "database", "table")}
+    plans = plans.withColumns(first).drop("_hints")
     stats = snap["query_stats"].select(
         *snap.keys_, "sql_handle", "plan_handle", *_OFFSETS, "execution_count",
         int_avg("total_worker_time", "execution_count").alias("avg_cpu"),
@@ -284,10 +278,13 @@ def missing_index_plans(snap, *, scope=None) -> DataFrame:
     )
     hinted = lookup(
         stats, plans, {"plan_handle": "plan_handle"},
-        {c: c for c in ("query_plan", "impact", "database", "table")}, snap.keys_, "inner",
+        {c: c for c in first}, snap.keys_, "inner",
     )
+    # the documents of the statements that are left come last
+    hinted = lookup(_with_text(hinted, snap), documents, {"plan_handle": "plan_handle"}, {"query_plan": "query_plan"},
+                    snap.keys_, "inner")
     out = (
-        _with_text(hinted, snap)
+        hinted
         .withColumn("statement_text", statement_text("text", *_OFFSETS))
         .withColumn("total_impact", F.col("impact") * F.col("execution_count"))
         .orderBy(*scope_of(snap, scope), F.desc("total_impact"), "sql_handle", "plan_handle", *_OFFSETS)
