@@ -79,6 +79,7 @@ class Codec:
         import sentencepiece
 
         self.pieces = pieces
+        self.decimal = [str(i) for i in range(len(pieces))]
         self._split = regex.compile(pattern).findall
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self._letters = dict(zip(map(chr, range(256)), byte_letters()))
@@ -154,11 +155,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(b):
-        c, decimal = codec(), [str(i) for i in range(len(codec().pieces))]
+        c = codec()
         out = {"id": b["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for ids in c.encode([t or "" for t in b["text"]]):
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
             if with_ids:
                 out["ids"].append(np.array(ids, np.int32))

@@ -11,9 +11,11 @@ from pyspark.sql.types import StructType
 
 from fleetstats.sources.scratch import scratch_dir
 
-__all__ = ["SPACES", "LAST", "words", "lines", "table", "mapped", "settle", "release", "packed", "unpacked", "whole_number",
+__all__ = ["SPACES", "LAST", "ROWS", "words", "lines", "table", "mapped", "settle", "release", "packed", "unpacked", "whole_number",
            "components"]
 
+#: Rows that a task turns into Python objects at once.
+ROWS = 256
 #: Stands for a null document id where ids are compared: it comes last.
 LAST = (1 << 63) - 1
 
@@ -72,13 +74,14 @@ def whole_number(id_: Column) -> Column:
 
 
 def mapped(df: DataFrame, schema: str, fn: Callable[[dict], Iterator[dict] | dict]) -> DataFrame:
-    """Apply ``fn`` to Arrow batches given as lists by column; it returns lists by column."""
+    """Apply ``fn`` to parts of Arrow batches given as lists by column; it returns lists by column."""
     fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)]
 
     def run(batches):
         for batch in batches:
-            out = fn(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in fields], names=[n for n, _ in fields])
+            for at in range(0, batch.num_rows, ROWS):
+                out = fn(batch.slice(at, ROWS).to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in fields], names=[n for n, _ in fields])
 
     return df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SPACES, components, packed, release, settle, unpacked
+from .common import ROWS, SPACES, components, packed, release, settle, unpacked
 
 #: n-grams are counted by this many hash buckets to tell frequent ones.
 SKETCH = 1 << 16
@@ -155,7 +155,7 @@ def signatures(rows: DataFrame, n: int, like: Likeness) -> DataFrame:
              "n": pa.int64(), "band": pa.int32(), "prefix": pa.list_(pa.int64()), "bits": pa.binary()}
     def sign(batches):
         grams, level = Grams(n), np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = {k: [] for k in names}
             for doc_id, text, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "t1", "t2"))):
                 h = grams.of(text)
@@ -298,7 +298,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, lik
 
     def test(batches):
         grams = Grams(n)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             an, bn, at, bt = (batch.column(k).to_pylist() for k in range(4))
             keep = []
             for k in range(len(an)):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import words
+from .common import ROWS, words
 
 _REMEMBERED = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -219,7 +219,7 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 
     def find(batches):
         finder = Runs(least, folds)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             out = {name: [] for name in fields}
             out["id"] = batch.column(0).to_pylist()
             for text in batch.column(1).to_pylist():
