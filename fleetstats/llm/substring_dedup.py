@@ -110,16 +110,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """(doc, t, start, end, n_words, first_doc): characters of each document that are later copies.
 
     ``first_doc`` is the smallest id that has one of the run's chunks. Null and empty texts
-    have no chunks. Documents of equal id count as one; a null id is the largest number.
-    Repeated rows have the same spans once. Other columns are ignored.
+    have no chunks; texts of any length count whole. Rows of equal id and text are one
+    document and have the same spans once; of those with equal id, or null ids, but other
+    texts the one with the smallest hash comes first. A null id is the largest number. Other
+    columns are ignored.
     """
     every = settle(chunks(docs, id_col, text_col, window), "chunks")
-    fresh = every.where("fresh")
+    # a document's place in one number, 63 bits of its id and 60 of its text's hash, which a hash aggregate can hold
+    place = (F.col("doc").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)")
+             + F.shiftrightunsigned("t", 4).cast("decimal(19,0)")).cast("decimal(38,0)")
+    fresh = every.where("fresh").withColumn("place", place)
     # written down, so that the join shuffles both sides and can split a frequent chunk
-    shared = settle(fresh.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last"))
-                    .where("first_doc < last").drop("last"), "chunks-shared")
+    shared = settle(fresh.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.min("place").alias("first"),
+                                                   F.max("place").alias("last"))
+                    .where("first < last").drop("last"), "chunks-shared")
     columns = ["doc", "t", "j", "start", "end", "words"]
-    across = fresh.join(shared, ["d1", "d2"]).where("doc > first_doc").select(*columns, "first_doc")
+    across = fresh.join(shared, ["d1", "d2"]).where("place > first").select(*columns, "first_doc")
     within = every.where("not fresh").select(*columns, F.col("doc").alias("first_doc"))
     later = across.union(within).groupBy(*columns).agg(F.min("first_doc").alias("first_doc"))
     # one document's chunks, no more than its row held

@@ -185,6 +185,17 @@ def test_long_repeats_are_cut_and_short_ones_stay(spark):
     assert texts == sorted(want, key=str)
 
 
+def test_repeats_between_rows_of_one_id_are_found(spark):
+    rng = random.Random(16)
+    passage = words_of(rng, 80)
+    for doc in (7, -7, None):
+        rows = [(doc, " ".join(words_of(rng, 40) + passage + words_of(rng, 40))) for _ in range(3)]
+        docs = spark.createDataFrame(rows + rows[:1], "doc_id bigint, text string")
+        got = substring_dedup.spans(docs).collect()
+        assert len(got) == 2 and len({r.t for r in got}) == 2
+        assert all(r.first_doc == (doc if doc is not None else (1 << 63) - 1) and r.n_words >= 20 for r in got)
+
+
 def test_insertions_do_not_shift_chunks():
     rng = random.Random(6)
     text = words_of(rng, 400)
