@@ -36,7 +36,7 @@ FEW_KEYS = 500_000
 BLOCK = 2048
 #: Cells of bitmap words that are compared at once.
 _CELLS = 1 << 19
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

@@ -21,7 +21,7 @@ from .common import mapped
 BUCKETS = 1 << 18
 #: Labelled rows to learn from at most, taken by hash of the id.
 SAMPLE = 12_000
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 _RUNS = [(re.compile(p), r) for p, r in (
     (r"[a-zß-ÿ]+", "a"), (r"[A-ZÀ-Þ]+", "A"), (r"[0-9]+", "0"), (r"[^\x00-\xff]+", "x"),
     (r"(.)\1+", r"\1+"))]
