@@ -51,11 +51,11 @@ WITH RECURSIVE rules(verdict, host, path) AS (VALUES
 p AS (SELECT page_id, url, html, {_REST.format(u="url")} AS r FROM pages),
 q AS (SELECT *, {_HOST.format(r="r")} AS h, {_PATH.format(r="r")} AS pa FROM p),
 tags AS (
-  SELECT *, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'),
-      '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'),
-      '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)]) AS raw
+  SELECT *, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'),
+      lambda x: regexp_extract(x, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'),
+      lambda x: regexp_extract(x, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)))) AS raw
   FROM q WHERE instr(url, '://') > 0),
 ends AS (
   SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
@@ -166,6 +166,25 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
 
 
+ORACLES["op7_ngram_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+    list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END AS s FROM w),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are later copies of a repeated run."""

@@ -71,11 +71,12 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)),
                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = urls.select("_host").distinct().select("_host", F.explode(endings).alias("ending"))
-    of_host = (hosts.join(rules.withColumnRenamed("host", "ending"), "ending")
+    # written down, so that the join shuffles both sides and can split a large host
+    of_host = settle(hosts.join(rules.withColumnRenamed("host", "ending"), "ending")
                .groupBy("_host").agg(F.collect_set(F.struct(
                    F.length(F.concat("ending", "path")).alias("long"),
                    (F.col("verdict") == "allow").alias("allow"),
-                   F.concat("ending", "path").alias("rule"), "path", "verdict")).alias("_rules")))
+                   F.concat("ending", "path").alias("rule"), "path", "verdict")).alias("_rules")), "url-hosts")
     path = F.coalesce("_path", F.lit(""))
     best = F.array_max(F.filter("_rules", lambda r: path.startswith(r["path"])))
     return (urls.join(of_host, "_host", "left").withColumn("_best", best)
