@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import intervals as iv, locks as lk, queries as qs
-from ..sources import scratch_dir
+from ..sources import Store, land, publish_landed, scratch_dir
 from ..streaming import deltas_stream
 from .registry import query
 from .reports import stmt, top
-from .views import drifting, drifting_sessions, series
+from .views import drifting, drifting_sessions, series, spark_view
 
 _TEXT = "ASOF JOIN text_versions t ON t.server_id = s.server_id AND t.sql_handle = s.sql_handle AND s.snapshot_ts >= t.snapshot_ts"
 _DATABASE = "ASOF LEFT JOIN database_versions d ON d.server_id = s.server_id AND d.database_id = s.{id} AND s.snapshot_ts >= d.snapshot_ts"
@@ -137,3 +137,27 @@ def _waits_per_interval_stream(spark, sf_dir):
     (grown.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state")
      .option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination())
     return _plain_times(spark.read.schema(grown.schema).parquet(f"{out}/rows"), "since")
+
+
+# --- files of differing columns -----------------------------------------------------------
+
+
+@query("""
+    SELECT server_id, count(*) FILTER (wait_type NOT LIKE '%3') AS n_rows,
+        sum(wait_time_ms) FILTER (wait_type NOT LIKE '%3')::BIGINT AS wait_time_ms,
+        count(*) FILTER (wait_type LIKE '%3') AS n_rejects, count(*) FILTER (wait_type LIKE '%1') AS n_extras
+    FROM wait_stats GROUP BY server_id""", ["wait_stats"])
+def landed_waits(spark, sf_dir):
+    """A collector that names columns in its own way, adds one, and cannot tell some times."""
+    waits, base = spark_view(spark, sf_dir, "wait_stats"), scratch_dir(spark, "landing")
+    sent = waits.select(
+        F.col("server_id").alias("Server"), F.lit("2024-01-01 12:00:00").alias("SNAPSHOT_TS"), F.col("wait_type").alias("Wait_Type"),
+        F.when(F.col("wait_type").like("%3"), "n/a").otherwise(F.col("wait_time_ms").cast("string")).alias("wait_time_ms"),
+        F.when(F.col("wait_type").like("%1"), 1).alias("signal_wait_time_ms"))
+    publish_landed(spark, {"wait_stats": land(sent, "wait_stats", {"Server": "server_id"})}, base, "first")
+    rows = Store(spark, base).frame("wait_stats").groupBy("server_id").agg(F.count("*").alias("n_rows"), F.sum("wait_time_ms").alias("wait_time_ms"))
+    aside = f"{base}/aside/first/wait_stats"
+    rejects = (spark.read.schema("reasons array<string>, row string").parquet(f"{aside}/rejects")
+               .groupBy(F.get_json_object("row", "$.Server").alias("server_id")).agg(F.count("*").alias("n_rejects")))
+    extras = spark.read.schema("server_id string, row string").parquet(f"{aside}/extras").groupBy("server_id").agg(F.count("*").alias("n_extras"))
+    return rows.join(rejects, "server_id", "left").join(extras, "server_id", "left").fillna(0, ["n_rejects", "n_extras"])

@@ -133,3 +133,26 @@ def test_statements_beyond_the_basic_plane(spark):
 def test_sizes_over_two_billion(spark):
     row = spark.createDataFrame([("3000000000 KB",)], "s string").select(fn.parse_kb("s"), fn.dec2(F.lit(2e10), digits=20)).first()
     assert row[0] == 3_000_000_000 and row[1] == 20_000_000_000
+
+
+def test_index_hints_come_from_one_parse(spark):
+    def plan(groups, root="ShowPlanXML"):
+        return (f"<{root}><BatchSequence><Batch><Statements><StmtSimple/><StmtSimple><QueryPlan><MissingIndexes>{groups}</MissingIndexes>"
+                f"</QueryPlan></StmtSimple></Statements></Batch></BatchSequence></{root.split()[0]}>")
+
+    group = '<MissingIndexGroup Impact="{}"><MissingIndex Database="{}" Table="{}"/></MissingIndexGroup>'
+    two = group.format("1.5", "m", "t1") + group.format("x", "d", "t2")
+    texts = [plan(two), plan(two, 'ShowPlanXML xmlns="http://x.org/plan" Version="1"'), plan('<MissingIndexGroup Impact="2"/>'), plan(""),
+             "<ShowPlanXML/>", plan(two)[:-9], "", None, "no xml"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, x string")
+    out = df.select("n", fn.index_hints("x").alias("h"))
+    got = {r.n: None if r.h is None else [(h.impact and float(h.impact), h.database, h.table) for h in r.h] for r in out.collect()}
+    both = [(1.5, "m", "t1"), (None, "d", "t2")]
+    assert got == {0: both, 1: both, 2: [(2.0, None, None)], 3: [], 4: [], 5: None, 6: None, 7: None, 8: None}
+
+
+def test_the_plan_report_parses_each_document_once(spark):
+    from fleetstats.catalog import QUERIES
+
+    plan = QUERIES["missing_index_plans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_xml(") + plan.count("XmlToStructs") + plan.count("xmltostructs(") == 1 and "xpath" not in plan.lower()

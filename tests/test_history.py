@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetstats.operators import deltas, last_before, lookup
 from fleetstats.plans.intervals import io_per_interval, waits_per_interval
 from fleetstats.plans.waits import top_waits
-from fleetstats.sources import Store, as_of, open_snapshot, publish, restrict, schema, store, sweep
+from fleetstats.sources import Store, as_of, land, open_snapshot, publish, publish_landed, restrict, schema, store, sweep
 from fleetstats.sources.snapshot import newest
 from fleetstats.streaming import deltas_stream
 
@@ -200,6 +200,29 @@ def test_the_index_prunes_what_newest_and_restrict_read(spark, snap, tmp_path):
     assert sorted(rows(limited, "server_id", "snapshot_ts")) == [("a", at(24)), ("b", at(24))]
 
 
+# files of differing columns
+
+
+def test_files_that_drift_are_landed_whole(spark, tmp_path):
+    sent = spark.createDataFrame(
+        [("a", "2024-05-01 12:00:00", "W", "7", None, None), ("a", "2024-05-01 12:00:00", "V", "many", "x", None),
+         ("a", "yesterday", "U", "1", None, None), (None, "2024-05-01 12:00:00", "T", "1", None, None),
+         ("b", "2024-05-01 12:00:00", "S", None, "kept", None), ("b", "2024-05-01 12:00:00", "R", "3", None, "9")],
+        "Host string, snapshot_TS string, `Wait_Type ` string, WAIT_TIME_MS string, note string, ms string")
+    landed = land(sent, "wait_stats", {"host": "server_id", "ms": "wait_time_ms"})
+    assert landed.rows.schema.fieldNames() == schema("wait_stats").fieldNames()
+    assert sorted(rows(landed.rows, "server_id", "snapshot_ts", "wait_type", "wait_time_ms")) == [("a", TS, "W", 7), ("b", TS, "S", None)]
+    assert sorted(r.reasons for r in landed.rejects.collect()) == [["server_id"], ["snapshot_ts"], ["wait_time_ms"], ["wait_time_ms"]]
+    assert all('"Wait_Type "' in r.row for r in landed.rejects.collect())
+    assert rows(landed.extras, "server_id", "row") == [("b", '{"note":"kept"}')]
+    base = str(tmp_path)
+    assert publish_landed(spark, {"wait_stats": landed}, base, "x") and not publish_landed(spark, {"wait_stats": landed}, base, "x")
+    assert Store(spark, base).frame("wait_stats").count() == 2
+    assert spark.read.parquet(f"{base}/aside/x/wait_stats/rejects").count() == 4
+    plain = land(spark.createDataFrame([("a", TS)], "server_id string, snapshot_ts timestamp"), "wait_stats")
+    assert plain.rows.count() == 1 and plain.rejects.count() == 0 and plain.extras.count() == 0
+
+
 # streams
 
 
