@@ -188,7 +188,7 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are later copies of a repeated run."""
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"), deleted_col="n_deleted", longest_col="longest_run")
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"), deleted_col="n_deleted", longest_col="longest_run", least_run_chars=20)
     return found.select("doc_id", "text", "n_deleted", "longest_run")
 
 
@@ -197,10 +197,19 @@ WITH RECURSIVE raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 seq AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM raw
-  WHERE length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20),
-marked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS later,
-  count(*) OVER (PARTITION BY line) > 1 AS repeated FROM seq),
+  SELECT doc_id, line, line_no, chars, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i
+  FROM (SELECT *, length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS chars FROM raw) AS r
+  WHERE chars > 0),
+-- the shortest stretches of 20 characters or more from each line on (1) and up to each line (-1)
+upto AS (
+  SELECT a.doc_id, a.i, way, k, sum(b.chars) OVER w AS chars, list(b.line) OVER w AS said
+  FROM seq a, (VALUES (1), (-1)) AS ways(way), range(20) AS r(k)
+  JOIN seq b ON b.doc_id = a.doc_id AND b.i = a.i + way * k
+  WINDOW w AS (PARTITION BY a.doc_id, a.i, way ORDER BY k)),
+shortest AS (SELECT * FROM upto WHERE chars >= 20 QUALIFY row_number() OVER (PARTITION BY doc_id, i, way ORDER BY k) = 1),
+later AS (SELECT * FROM shortest QUALIFY row_number() OVER (PARTITION BY way, said ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + way * unnest(range(k + 1)) AS i FROM later),
+marked AS (SELECT seq.*, gone.i IS NOT NULL AS later FROM seq LEFT JOIN gone USING (doc_id, i)),
 run(doc_id, i, odoc, oi, n) AS (
   SELECT a.doc_id, a.i, b.doc_id, b.i, 1 FROM marked a JOIN marked b
   ON a.line = b.line AND (a.doc_id <> b.doc_id OR a.i <> b.i) WHERE a.later
