@@ -71,12 +71,7 @@ _K_TRANS = f""", k_trans AS MATERIALIZED (
 """
 _PAGES = ("user_objects_alloc_page_count - user_objects_dealloc_page_count "
           "+ internal_objects_alloc_page_count - internal_objects_dealloc_page_count")
-_OPTIONS = {
-    "quoted_id": "quoted_identifier", "arithabort": "arithabort",
-    "ansi_null_dflt": "ansi_null_dflt_on", "ansi_defaults": "ansi_defaults",
-    "ansi_warns": "ansi_warnings", "ansi_pad": "ansi_padding", "ansi_nulls": "ansi_nulls",
-    "concat_null": "concat_null_yields_null", "isolation_lvl": "transaction_isolation_level",
-}
+_OPTIONS = [c for c in ls.SETTINGS if c not in ("lock_timeout", "deadlock_priority")]
 _K_PROCS = f""", k_procs AS MATERIALIZED (
     SELECT s.session_id, coalesce(t.task_address, '') AS task_address,
         coalesce(t.exec_context_id, 0) AS exec_context_id, coalesce(r.request_id, 0) AS request_id,
@@ -90,10 +85,10 @@ _K_PROCS = f""", k_procs AS MATERIALIZED (
         s.logical_reads AS session_logreads, r.logical_reads AS request_logreads,
         z.pages AS session_tempdb, q.pages AS request_tempdb,
         nullif(r.percent_complete, 0) AS percent_complete,
-        {', '.join(f'coalesce(r.{c}, s.{c}) AS {n}' for n, c in _OPTIONS.items())},
+        {', '.join(f'coalesce(r.{c}, s.{c}) AS {c}' for c in _OPTIONS)},
         nullif(coalesce(r.lock_timeout, s.lock_timeout), -1) AS lock_timeout,
-        nullif(coalesce(r.deadlock_priority, s.deadlock_priority), 0) AS deadlock_pri,
-        coalesce(r.executing_managed_code, FALSE) AS isclr, r.nest_level, s.login_time,
+        nullif(coalesce(r.deadlock_priority, s.deadlock_priority), 0) AS deadlock_priority,
+        coalesce(r.executing_managed_code, FALSE) AS executing_managed_code, r.nest_level, s.login_time,
         s.last_request_start_time AS last_batch,
         CASE WHEN date_diff('day', s.last_request_start_time, {_NOW}) <= 20
              THEN date_diff('millisecond', s.last_request_start_time, {_NOW}) / 1000.0 END
@@ -122,7 +117,7 @@ _K_SESSIONLESS = """, k_sessionless AS MATERIALIZED (
         coalesce(t.task_address, '') AS task_address,
         CASE WHEN pt.session_id IS NOT NULL THEN -9 ELSE 0 END AS exec_context_id, 0 AS request_id,
         coalesce(t.task_state, 'EXITED') AS task_state, wait_duration_ms / 1000.0 AS wait_time,
-        wait_type, 0 AS trancount, 2 AS isolation_lvl, FALSE AS isclr
+        wait_type, 0 AS trancount, 2 AS transaction_isolation_level, FALSE AS executing_managed_code
     FROM k_waits w LEFT JOIN tasks t ON t.task_address = w.wait_task
     LEFT JOIN tasks pt ON pt.task_address = t.parent_task_address
     WHERE w.wait_session_id < -1000)
@@ -162,7 +157,7 @@ _K_ATTACHED = """, k_all AS MATERIALIZED (
             ON c.wait_session_id = p.session_id AND c.wait_task = p.task_address AND c.n = 1)
 """
 _K_STATEMENTS = f""", k_statements AS MATERIALIZED (
-    SELECT p.*, t.dbid AS curdbid, t.objectid AS curobjid,
+    SELECT p.*, t.dbid AS statement_database_id, t.objectid AS statement_object_id,
         CASE WHEN t.encrypted THEN '-- ENCRYPTED, pos ' || (stmt_start + 2) // 2 || ' - '
                  || (stmt_end + 2) // 2
              WHEN stmt_start >= 0 THEN {stmt('t.text', 'stmt_start', 'stmt_end')} END AS current_stmt
@@ -187,8 +182,8 @@ def _name(obj, schema, entity, db_id, db):
 
 def _ids(with_processes: bool) -> str:
     more = """
-        UNION ALL SELECT 'OBJ', curdbid, curobjid, NULL FROM k_statements
-        WHERE curdbid IS NOT NULL AND curobjid IS NOT NULL""" if with_processes else ""
+        UNION ALL SELECT 'OBJ', statement_database_id, statement_object_id, NULL FROM k_statements
+        WHERE statement_database_id IS NOT NULL AND statement_object_id IS NOT NULL""" if with_processes else ""
     return f""", k_ids AS (
     SELECT idtype, i.database_id, entity_id, min(session_id) AS session_id, any_value(d.name) AS db
     FROM (SELECT CASE WHEN rsc_type = 'OBJECT' THEN 'OBJ'
@@ -298,14 +293,14 @@ _K_NUMBERED = """, k_named AS (
 _KEPT_COLUMNS = (
     "session_id, is_user_process, orig_login, current_login, session_state, endpoint_id, "
     "proc_dbid, host_name, host_process_id, program_name, session_cpu, session_physio, "
-    "session_logreads, quoted_id, arithabort, ansi_null_dflt, ansi_defaults, ansi_warns, "
-    "ansi_pad, ansi_nulls, concat_null, login_time, last_batch, last_since"
+    "session_logreads, quoted_identifier, arithabort, ansi_null_dflt_on, ansi_defaults, ansi_warnings, "
+    "ansi_padding, ansi_nulls, concat_null_yields_null, login_time, last_batch, last_since"
 )
 _K_SUPPLEMENTED = f""", k_supplemented AS MATERIALIZED (
     SELECT * FROM k_statements
     UNION ALL BY NAME
     SELECT {_KEPT_COLUMNS}, '' AS task_address, 0 AS exec_context_id, 0 AS request_id,
-        0 AS trancount, 2 AS isolation_lvl, FALSE AS isclr, FALSE AS same_session_only
+        0 AS trancount, 2 AS transaction_isolation_level, FALSE AS executing_managed_code, FALSE AS same_session_only
     FROM k_statements s
     WHERE session_id NOT IN (SELECT session_id FROM k_statements
                              WHERE exec_context_id = 0 AND request_id = 0)
@@ -337,12 +332,12 @@ def _count(session, request):
 _Z1 = "coalesce(exec_context_id, 0) = 0 AND coalesce(rowno, 1) = 1"
 _M1 = "exec_context_id = 0 AND coalesce(rowno, 1) = 1"
 _F1 = "coalesce(rowno, 1) = 1"
-_OFF = {"quoted_id": "qid ", "ansi_null_dflt": "ando ", "ansi_warns": "awarn ", "ansi_pad": "apad ",
-        "ansi_nulls": "anull ", "concat_null": "cnyn "}
+_OFF = {"quoted_identifier": "qid ", "ansi_null_dflt_on": "ando ", "ansi_warnings": "awarn ", "ansi_padding": "apad ",
+        "ansi_nulls": "anull ", "concat_null_yields_null": "cnyn "}
 _SHOWN_OPTIONS = " || ".join(
     f"CASE WHEN {'' if n in ('arithabort', 'ansi_defaults') else 'NOT '}{n} THEN '{t}' ELSE '' END"
-    for n, t in [("quoted_id", "qid "), ("arithabort", "ARITH "), ("ansi_defaults", "ADEF "),
-                 *[(n, t) for n, t in _OFF.items() if n != "quoted_id"]]
+    for n, t in [("quoted_identifier", "qid "), ("arithabort", "ARITH "), ("ansi_defaults", "ADEF "),
+                 *[(n, t) for n, t in _OFF.items() if n != "quoted_identifier"]]
 )
 
 
@@ -364,12 +359,12 @@ _REPORT_COLUMNS = {
     "dbname": _if(_Z1, "coalesce(d1.name, d2.name)"),
     "prcstatus": _if(_F1, "coalesce(task_state, session_state)"),
     "ansiopts": _if(_F1, _SHOWN_OPTIONS),
-    "trnopts": _if(_F1, "CASE isolation_lvl WHEN 0 THEN 'Unspecified  ' WHEN 1 THEN "
+    "trnopts": _if(_F1, "CASE transaction_isolation_level WHEN 0 THEN 'Unspecified  ' WHEN 1 THEN "
                         "'Read uncommitted  ' WHEN 2 THEN '' WHEN 3 THEN 'Repeatable read  ' WHEN 4 "
                         "THEN 'Serializable  ' WHEN 5 THEN 'Snapshot  ' ELSE 'Isolation level=' || "
-                        "isolation_lvl END || CASE WHEN lock_timeout >= 0 THEN 'LT=' || lock_timeout "
-                        "|| '  ' ELSE '' END || CASE WHEN deadlock_pri <> 0 THEN 'DP=' || "
-                        "deadlock_pri ELSE '' END"),
+                        "transaction_isolation_level END || CASE WHEN lock_timeout >= 0 THEN 'LT=' || lock_timeout "
+                        "|| '  ' ELSE '' END || CASE WHEN deadlock_priority <> 0 THEN 'DP=' || "
+                        "deadlock_priority ELSE '' END"),
     "opntrn": _if("exec_context_id = 0", "coalesce(nullif(trancount, 0)::VARCHAR, '')"),
     "trninfo": _if(f"{_M1} AND is_user_trans IS NOT NULL",
                    "CASE WHEN is_user_trans THEN 'U' ELSE 'S' END || '-' || CASE trans_type WHEN 1 "
@@ -405,7 +400,7 @@ _REPORT_COLUMNS = {
     "trn_start": _if(f"{_M1} AND trans_start IS NOT NULL", _clock("trans_start")),
     "last_since": _if(_M1, _sec("last_since")),
     "trn_since": _if(f"{_M1} AND trans_since IS NOT NULL", _sec("trans_since")),
-    "clr": _if("exec_context_id = 0 AND isclr", "'CLR'"),
+    "clr": _if("exec_context_id = 0 AND executing_managed_code", "'CLR'"),
     "nstlvl": _if(_M1, "coalesce(nest_level::VARCHAR, '')"),
     "inputbuffer": _if(_M1, "coalesce(c.inputbuffer, '')"),
     "current_sp": "coalesce(o.object_name, '')",
@@ -419,8 +414,8 @@ _REPORT = f"""
           FROM k_flagged) p
     FULL JOIN (SELECT * EXCLUDE (session_id), session_id AS l_session_id FROM k_numbered) l
         ON l.l_session_id = p.main
-    LEFT JOIN k_labelled o ON o.idtype = 'OBJ' AND o.database_id = p.curdbid
-        AND o.entity_id = p.curobjid
+    LEFT JOIN k_labelled o ON o.idtype = 'OBJ' AND o.database_id = p.statement_database_id
+        AND o.entity_id = p.statement_object_id
     LEFT JOIN last_command c ON c.session_id = p.session_id
     LEFT JOIN endpoints e ON e.endpoint_id = p.endpoint_id
     LEFT JOIN k_trans t ON t.session_id = p.session_id
@@ -467,7 +462,7 @@ def _flags(names):
     return "REPLACE (" + ", ".join(f"{n}::BIGINT AS {n}" for n in names) + ")"
 
 
-_BOOLS = ["is_user_process", "isclr", *[n for n in _OPTIONS if n != "isolation_lvl"]]
+_BOOLS = ["is_user_process", "executing_managed_code", *[n for n in _OPTIONS if n != "transaction_isolation_level"]]
 
 
 @query(_K_LOCKS + _K_WAITS + _K_PROCS + f"SELECT * {_flags(_BOOLS)} FROM k_procs", _VIEWS)
@@ -475,7 +470,7 @@ def assemble_processes(spark, sf_dir):
     return _bare(_processes(spark, sf_dir)).drop("now")
 
 
-@query(_K_WAITS + _K_SESSIONLESS + "SELECT * REPLACE (isclr::BIGINT AS isclr) FROM k_sessionless",
+@query(_K_WAITS + _K_SESSIONLESS + "SELECT * REPLACE (executing_managed_code::BIGINT AS executing_managed_code) FROM k_sessionless",
        ["waiting_tasks", "tasks"])
 def sessionless_tasks(spark, sf_dir):
     tasks = _snap(spark, sf_dir)["tasks"]
@@ -513,7 +508,7 @@ def drop_idle_locks(spark, sf_dir):
 
 
 @query(f"""
-    SELECT r.session_id, r.request_id, t.dbid AS curdbid, t.objectid AS curobjid,
+    SELECT r.session_id, r.request_id, t.dbid AS statement_database_id, t.objectid AS statement_object_id,
         CASE WHEN t.encrypted THEN '-- ENCRYPTED, pos ' || (statement_start_offset + 2) // 2
                  || ' - ' || (statement_end_offset + 2) // 2
              ELSE {stmt('t.text')} END AS current_stmt
@@ -584,7 +579,7 @@ def number_locks(spark, sf_dir):
 
 @query(_TO_STATEMENTS + _K_SUPPLEMENTED + """
     SELECT session_id, task_address, exec_context_id, request_id, host_name, trancount,
-        session_cpu, request_cpu, isolation_lvl FROM k_supplemented""", _VIEWS)
+        session_cpu, request_cpu, transaction_isolation_level FROM k_supplemented""", _VIEWS)
 def supplement_processes(spark, sf_dir):
     waits, tasks = _waits(spark, sf_dir), _snap(spark, sf_dir)["tasks"]
     rows = _processes(spark, sf_dir).unionByName(
@@ -592,7 +587,7 @@ def supplement_processes(spark, sf_dir):
     )
     return ls.supplement_processes(rows, _KEYS).select(
         "session_id", "task_address", "exec_context_id", "request_id", "host_name", "trancount",
-        "session_cpu", "request_cpu", "isolation_lvl",
+        "session_cpu", "request_cpu", "transaction_isolation_level",
     )
 
 

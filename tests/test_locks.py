@@ -145,7 +145,7 @@ def test_assemble_processes_keeps_the_interesting(server):
     assert sorted(r[0] for r in rows(out, "session_id")) == [51, 52, 53, 54, 56, 57, 58, 60]
     assert processes(server, all_processes=True).count() == 10
     one = out.filter("session_id = 52").first()
-    assert (one.trancount, one.request_tempdb, one.deadlock_pri, one.lock_timeout) == (1, 7, -5, None)
+    assert (one.trancount, one.request_tempdb, one.deadlock_priority, one.lock_timeout) == (1, 7, -5, None)
     assert one.arithabort is True and float(one.last_since) == 2.5
     assert out.filter("session_id = 56").first().last_since is None
 
