@@ -22,7 +22,7 @@ from .common import mapped
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens remembered by a task before it starts anew; bounds memory, not results.
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 _TOGETHER = 200
 
 
