@@ -49,10 +49,16 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Remove settled tables that nothing reads any more: what was made of them is settled itself."""
+    """Remove settled tables that nothing reads any more: what was made of them is settled itself.
+
+    Spark removes the shuffles of queries that are done when the driver collects their garbage,
+    which a small driver heap may put off for long, so that is asked for here.
+    """
     for df in frames:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    for spark in {df.sparkSession for df in frames}:
+        spark._jvm.java.lang.System.gc()
 
 
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
