@@ -110,7 +110,7 @@ def page_orders(spark, sf_dir):
     WHERE row_number BETWEEN 1001 AND 1025""")
 def page_deep(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return page(orders, [F.desc("o_orderdate"), "o_orderkey"], 41, 25, spread=True)
+    return page(orders, ["o_orderdate desc", "o_orderkey"], 41, 25, spread=True)
 
 
 @query("""

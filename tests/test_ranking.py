@@ -1,11 +1,13 @@
+import datetime
 import random
+from decimal import Decimal
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from fleetstats.operators import (
-    conditional_rollup, first_per_group, fit_ratio, latest_or_label, page, pareto, ranking,
+    conditional_rollup, first_per_group, fit_ratio, latest_or_label, leading, page, pareto, ranking,
     running, share_of_total, top_n,
 )
 
@@ -139,3 +141,58 @@ def test_latest_or_label(spark):
     right = spark.createDataFrame([("a", 1), ("a", 3), ("z", 9)], "k string, t int")
     out = latest_or_label(left, right, ["k"], "t", "none").orderBy("k")
     assert rows(out, "k", "t", "label") == [("a", 3, None), ("b", None, "none")]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """6,000 rows of one hot scope and others, with nulls, ties, extremes and equal beginnings."""
+    rnd, data = random.Random(5), []
+    for i in range(6000):
+        scope = rnd.choice(["hot", "hot", "hot", "b", None]) if i else "one"
+        v = rnd.choice([None, 3.0, 3.0, 3.0, rnd.gauss(0, 1) * 10 ** rnd.randint(-6, 9), float("inf"), float("-inf"), float("nan")])
+        text = rnd.choice([None, "", "same", "same", "é" + str(rnd.random()), str(rnd.random())])
+        data.append((scope, i, v, rnd.choice([None, 7, 7, 7, rnd.randint(-2 ** 62, 2 ** 62)]), text,
+                     decimal_of(rnd), datetime.date(2020, 1, 1) + datetime.timedelta(rnd.randint(0, 3)),
+                     datetime.datetime(2020, 1, 1) + datetime.timedelta(seconds=rnd.randint(0, 10 ** 6))))
+    kinds = "scope string, id int, v double, w long, t string, m decimal(12,2), d date, h timestamp"
+    return ranking.settle(spark.createDataFrame(data, kinds), "mixed")
+
+
+@pytest.mark.parametrize("order, scope, n", [
+    (["v", "id"], ["scope"], 20), (["v desc", "id"], [], 50), (["w desc", "id desc"], ["scope"], 20),
+    (["t desc", "v", "id"], ["scope"], 5), (["m desc", "id"], [], 30), (["d", "h", "id"], ["scope"], 5),
+])
+def test_leading_rows_are_few_and_hold_the_first_of_every_scope(mixed, order, scope, n):
+    few = ranking.settle(leading(mixed, order, n, scope), "few")
+    assert few.columns == mixed.columns
+    want = sorted(rows(top_n(mixed, order, n, scope), "id"))
+    assert sorted(rows(top_n(few, order, n, scope), "id")) == want
+    if order[0] != "t desc":
+        assert few.count() <= 5 * n * (4 if scope else 1)
+
+
+def test_spread_top_rows_by_name_are_those_of_the_window(mixed):
+    order = ["v desc", "id"]
+    want = sorted(rows(top_n(mixed, order, 40, ["scope"]), "id"))
+    assert sorted(rows(top_n(mixed, order, 40, ["scope"], spread=True), "id")) == want
+
+
+def decimal_of(rnd):
+    return rnd.choice([None, Decimal("1.25"), Decimal(rnd.randint(-10 ** 6, 10 ** 6)) / 100])
+
+
+def test_leading_of_nothing_of_none_and_of_what_has_no_order_of_numbers(spark):
+    df = spark.createDataFrame([], "s string, v int, a array<int>")
+    for scope in ([], ["s"]):
+        assert leading(df, ["v"], 3, scope).count() == 0
+        assert rows(top_n(df, ["v"], 3, scope, spread=True), "v") == []
+    some = spark.createDataFrame([("x", k, [k]) for k in range(50)], df.schema)
+    assert leading(some, ["v"], 0).count() == 0
+    assert leading(some, ["a"], 1).count() == 50
+    assert {r[0] for r in top_n(some, ["a desc"], 2, ["s"], spread=True).select("v").collect()} == {49, 48}
+
+
+def test_rows_equal_in_every_name_all_stay(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("v"), "id")
+    assert leading(df, ["v"], 5).count() == 500
+    assert leading(df, ["v", "id"], 5).count() <= 25
