@@ -87,8 +87,12 @@ def one_time_queries(snap, *, scope=None, n: int = 100) -> DataFrame:
 
 
 @report
-def cached_queries(snap, *, scope=None) -> DataFrame:
-    """Every cached plan with text and plan, most referenced and largest first."""
+def cached_queries(snap, *, scope=None, ordered: bool = True) -> DataFrame:
+    """Every cached plan with text and plan, most referenced and largest first.
+
+    The sort moves every text and plan; without ``ordered`` the rows come as they lie, which
+    suits a report that is written to a table.
+    """
     plans = snap["cached_plans"].select(
         *snap.keys_, "plan_handle", "refcounts", "size_in_bytes", "cacheobjtype"
     )
@@ -96,8 +100,9 @@ def cached_queries(snap, *, scope=None) -> DataFrame:
     out = lookup(plans, snap["query_text"], on, {"encrypted": "encrypted", "text": "text"},
                  snap.keys_, "inner")
     out = lookup(out, snap["query_plan"], on, {"query_plan": "query_plan"}, snap.keys_, "inner")
-    out = out.orderBy(*scope_of(snap, scope), F.desc("refcounts"), F.desc("size_in_bytes"),
-                      "plan_handle")
+    if ordered:
+        out = out.orderBy(*scope_of(snap, scope), F.desc("refcounts"), F.desc("size_in_bytes"),
+                          "plan_handle")
     return pick(out, snap, "refcounts", "size_in_bytes", "cacheobjtype", "encrypted", "text",
                 "query_plan")
 
@@ -109,15 +114,15 @@ def lowest_plan_reuse(snap, *, scope=None, n: int = 100) -> DataFrame:
     stats = snap["query_stats"].select(
         *snap.keys_, "sql_handle", "plan_handle", "statement_start_offset", "statement_end_offset"
     )
-    held = lookup(stats, snap["cached_plans"], {"plan_handle": "plan_handle"},
+    # that a text exists is learnt per handle, not per statement
+    told = lookup(stats, snap["query_text"], {"sql_handle": "sql_handle"}, {}, snap.keys_, "left_semi")
+    held = lookup(told, snap["cached_plans"], {"plan_handle": "plan_handle"},
                   {"usecounts": "plan_usage", "cacheobjtype": "cacheobjtype"}, snap.keys_, "inner")
-    told = lookup(held, snap["query_text"], {"sql_handle": "sql_handle"}, {"dbid": "dbid"},
-                  snap.keys_, "inner")
     top = top_n(
-        told, [F.asc("plan_usage"), "sql_handle", "plan_handle", "statement_start_offset"], n, scope
+        held, [F.asc("plan_usage"), "sql_handle", "plan_handle", "statement_start_offset"], n, scope
     )
-    out = lookup(top, snap["query_text"], {"sql_handle": "sql_handle"}, {"text": "parent_query"},
-                 snap.keys_, "inner")
+    out = lookup(top, snap["query_text"], {"sql_handle": "sql_handle"},
+                 {"text": "parent_query", "dbid": "dbid"}, snap.keys_, "inner")
     out = database_name(out, snap, "dbid").withColumn(
         "individual_query",
         statement_text("parent_query", "statement_start_offset", "statement_end_offset"),

@@ -60,3 +60,19 @@ def test_pages_are_counted_per_unit_before_the_joins(spark):
 
 def test_registry_is_consistent():
     assert set(ORACLES) == set(QUERIES)
+
+
+def test_texts_and_plans_are_sorted_only_on_demand(spark):
+    from fleetstats.plans import plancache, queries
+
+    snap, fleet = views.plan_cache(spark, SF), views.fleet(spark, SF)
+    for ordered in (True, False):
+        for df in (plancache.cached_queries(snap, ordered=ordered), queries.procedure_profile(fleet, 2, ordered=ordered)):
+            assert ("rangepartitioning" in plan_of(df)) == ordered
+
+
+def test_least_used_plans_learn_from_handles_that_a_text_exists(spark):
+    from fleetstats.plans import plancache
+
+    plan = plan_of(plancache.lowest_plan_reuse(views.plan_cache(spark, SF)))
+    assert "LeftSemi" in plan
