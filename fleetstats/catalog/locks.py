@@ -72,6 +72,15 @@ _K_TRANS = f""", k_trans AS MATERIALIZED (
 _PAGES = ("user_objects_alloc_page_count - user_objects_dealloc_page_count "
           "+ internal_objects_alloc_page_count - internal_objects_dealloc_page_count")
 _OPTIONS = [c for c in ls.SETTINGS if c not in ("lock_timeout", "deadlock_priority")]
+#: Which processes and locks the report leaves out unless asked for all.
+_LISTED = f"""WHERE (t.exec_context_id IS NOT NULL AND s.is_user_process AND s.session_id <> {_OWN})
+        OR (p.open_tran > 0 AND s.session_id <> {_OWN})
+        OR (s.session_id IN (SELECT session_id FROM k_locks WHERE activelock)
+            AND s.session_id <> {_OWN})
+        OR s.session_id IN (SELECT block_session_id FROM k_waits WHERE block_session_id IS NOT NULL)
+        OR z.pages > 1000"""
+_LOCKED = f"""WHERE (activelock AND session_id <> {_OWN})
+        OR session_id IN (SELECT session_id FROM k_statements)"""
 _K_PROCS = f""", k_procs AS MATERIALIZED (
     SELECT s.session_id, coalesce(t.task_address, '') AS task_address,
         coalesce(t.exec_context_id, 0) AS exec_context_id, coalesce(r.request_id, 0) AS request_id,
@@ -105,12 +114,7 @@ _K_PROCS = f""", k_procs AS MATERIALIZED (
     LEFT JOIN (SELECT session_id, request_id, sum({_PAGES})::BIGINT AS pages FROM task_space
                WHERE database_id = 2 GROUP BY session_id, request_id) q
         ON q.session_id = r.session_id AND q.request_id = r.request_id
-    WHERE (t.exec_context_id IS NOT NULL AND s.is_user_process AND s.session_id <> {_OWN})
-        OR (p.open_tran > 0 AND s.session_id <> {_OWN})
-        OR (s.session_id IN (SELECT session_id FROM k_locks WHERE activelock)
-            AND s.session_id <> {_OWN})
-        OR s.session_id IN (SELECT block_session_id FROM k_waits WHERE block_session_id IS NOT NULL)
-        OR z.pages > 1000)
+    {_LISTED})
 """
 _K_SESSIONLESS = """, k_sessionless AS MATERIALIZED (
     SELECT coalesce(pt.session_id, w.wait_session_id) AS session_id,
@@ -165,8 +169,7 @@ _K_STATEMENTS = f""", k_statements AS MATERIALIZED (
 """
 _K_KEPT = f""", k_kept AS MATERIALIZED (
     SELECT * FROM k_locks l
-    WHERE (activelock AND session_id <> {_OWN})
-        OR session_id IN (SELECT session_id FROM k_statements))
+    {_LOCKED})
 """
 
 
@@ -278,16 +281,17 @@ def _consolidated(locks: str) -> str:
 
 
 _K_MERGED = _consolidated("k_kept")
-_K_NUMBERED = """, k_named AS (
+_NUMBER = """row_number() OVER (PARTITION BY session_id ORDER BY
+            CASE WHEN req_status = 'GRANT' THEN 'ZZZZ' ELSE req_status END,
+            object_name NULLS FIRST, rsc_type, rsc_description NULLS FIRST, database_id, entity_id,
+            req_mode, rsc_subtype, req_status, req_owner_type)"""
+_K_NUMBERED = f""", k_named AS (
     SELECT l.*, o.object_name FROM k_merged l LEFT JOIN (
         SELECT database_id, entity_id, min(object_name) AS object_name FROM k_labelled
         GROUP BY database_id, entity_id) o
         ON o.database_id = l.database_id AND o.entity_id = l.entity_id),
     k_numbered AS MATERIALIZED (
-        SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY
-            CASE WHEN req_status = 'GRANT' THEN 'ZZZZ' ELSE req_status END,
-            object_name NULLS FIRST, rsc_type, rsc_description NULLS FIRST, database_id, entity_id,
-            req_mode, rsc_subtype, req_status, req_owner_type) AS rowno
+        SELECT *, {_NUMBER} AS rowno
         FROM k_named)
 """
 _KEPT_COLUMNS = (
@@ -660,6 +664,18 @@ def lock_overview(spark, sf_dir):
     return _bare(lk.lock_overview(_snap(spark, sf_dir), own_session=_OWN))
 
 
+@query(_OVERVIEW.replace(_LISTED, "").replace(_LOCKED, ""), _VIEWS)
+def lock_overview_all(spark, sf_dir):
+    """Idle sessions and their locks too."""
+    return _bare(lk.lock_overview(_snap(spark, sf_dir), own_session=_OWN, all_processes=True))
+
+
+@query(_OVERVIEW.replace(_NUMBER, "NULL::BIGINT"), _VIEWS)
+def lock_overview_every_row(spark, sf_dir):
+    """The columns about a process in every row of it."""
+    return _bare(lk.lock_overview(_snap(spark, sf_dir), own_session=_OWN, first_row_only=False))
+
+
 @query(_OVERVIEW.removesuffix(_REPORT) + f""", k_report AS MATERIALIZED ({_REPORT})
     SELECT * FROM k_report UNION ALL SELECT * FROM k_report""", _VIEWS, "lock_overview_stream")
 def _lock_overview_stream(spark, sf_dir):
