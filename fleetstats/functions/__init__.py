@@ -21,10 +21,10 @@ from .text import (
     temp_table_name,
     text_bytes,
 )
-from .xmlplan import index_hints, is_well_formed, plan_exists, plan_values
+from .xmlplan import dealt, index_hints, is_well_formed, plan_exists, plan_values
 
 __all__ = [
-    "account", "band", "bit_flags", "bits_clear", "clock_text", "dec2", "elapsed_seconds",
+    "account", "band", "bit_flags", "bits_clear", "clock_text", "dealt", "dec2", "elapsed_seconds",
     "idiv", "index_ddl", "index_hints", "int_avg", "is_well_formed", "parse_kb", "percent", "plan_exists",
     "plan_values", "row_max", "split_object_name", "statement_text", "temp_table_name",
     "text_bytes", "usage_flag",

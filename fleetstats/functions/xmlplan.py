@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .numbers import _c
 
+#: Between the values of several paths: no character, so that no document can hold it.
+_APART = "\uffff"
+_BETWEEN = f", '{_APART}', "
+
 
 def is_well_formed(xml) -> Column:
     """True for text that parses as XML. The permissive reader puts what it cannot
@@ -22,17 +26,28 @@ def plan_exists(xml, path: str) -> Column:
     return F.when(is_well_formed(xml), F.xpath_boolean(_c(xml), F.lit(path))).otherwise(False)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many tasks as a shuffle has.
+
+    A table of documents is small beside the work of parsing it, so it is read by few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def plan_values(df: DataFrame, xml: str, paths: dict[str, tuple[str, str]]) -> DataFrame:
     """Add one typed column per path: the first match, NULL without one.
 
-    ``paths`` maps a column name to (xpath, Spark type).
+    ``paths`` maps a column name to (xpath, Spark type). A document is searched once for all.
     """
-    flag = "_well_formed"
-    out = df.withColumn(flag, is_well_formed(xml))
-    for name, (path, kind) in paths.items():
-        text = F.nullif(F.xpath_string(F.col(xml), F.lit(path)), F.lit(""))
-        out = out.withColumn(name, F.when(F.col(flag), text).try_cast(kind))
-    return out.drop(flag)
+    flag, texts, found = "_well_formed", "_texts", [path for path, _ in paths.values()]
+    if not found:
+        return df
+    every = found[0] if len(found) == 1 else f"concat({_BETWEEN.join(found)})"
+    out = df.withColumn(flag, is_well_formed(xml)).withColumn(
+        texts, F.when(F.col(flag), F.split(F.xpath_string(F.col(xml), F.lit(every)), _APART)))
+    for n, (name, (_, kind)) in enumerate(paths.items()):
+        out = out.withColumn(name, F.nullif(F.get(F.col(texts), F.lit(n)), F.lit("")).try_cast(kind))
+    return out.drop(flag, texts)
 
 
 # Where a plan document keeps its missing-index hints.

@@ -156,3 +156,14 @@ def test_the_plan_report_parses_each_document_once(spark):
 
     plan = QUERIES["missing_index_plans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("from_xml(") + plan.count("XmlToStructs") + plan.count("xmltostructs(") == 1 and "xpath" not in plan.lower()
+
+
+def test_documents_are_dealt_over_tasks_and_searched_once(spark):
+    from fleetstats.catalog import QUERIES
+
+    plan = QUERIES["plan_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("XPathStringEvaluator") == 1 and "Repartition 8, true" in plan
+    xml = "<a><b i='1'/><b i='2'>x</b><c>y,z</c></a>"
+    df = spark.createDataFrame([(0, xml), (1, "<a/>"), (2, "<a>"), (3, None), (4, "")], "n int, x string")
+    out = fn.plan_values(df, "x", {"i": ("//b/@i", "int"), "b": ("//b[2]", "string"), "c": ("//c|//d", "string")})
+    assert sorted(rows(out, "n", "i", "b", "c")) == [(0, 1, "x", "y,z"), *[(n, None, None, None) for n in (1, 2, 3, 4)]]
