@@ -240,3 +240,10 @@ def test_counters_of_a_stream_equal_the_batch(spark, tmp_path):
     got = rows(spark.read.parquet(f"{tmp_path}/out"), *cols)
     want = rows(deltas(spark.createDataFrame(values, ddl), ["s", "w"], "t", ["n"]), *cols)
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 28
+
+
+def test_names_as_of_a_time_do_not_move_the_rows_that_ask(spark):
+    from fleetstats.catalog import QUERIES
+
+    plan = QUERIES["examine_locks_as_of"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
