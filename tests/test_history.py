@@ -247,3 +247,14 @@ def test_names_as_of_a_time_do_not_move_the_rows_that_ask(spark):
 
     plan = QUERIES["examine_locks_as_of"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_texts_as_of_a_time_are_found_for_requests_and_not_for_locks(spark, monkeypatch):
+    from fleetstats.catalog import QUERIES
+    from fleetstats.operators import asof
+
+    asked, settle = [], asof.settle
+    monkeypatch.setattr(asof, "settle", lambda df, purpose: asked.append((purpose, set(df.columns))) or settle(df, purpose))
+    QUERIES["current_locks_as_of"](spark, "/root/testdata/sf0.001")
+    asked = [columns for purpose, columns in asked if purpose == "asked"]
+    assert len(asked) == 3 and not any("lock_owner_address" in c and ("sql_handle" in c or "_sql" in c or len(c) > 14) for c in asked)
