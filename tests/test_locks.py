@@ -269,3 +269,10 @@ def test_running_queries(snap):
     )
     got = rows(running_queries(s, exclude_session=53), "session_id", "user", "sql_text")
     assert got == [(52, "D\\x", "one"), (51, "D\\x", "one")]
+
+
+def test_the_report_is_written_before_it_is_sorted(spark):
+    from fleetstats.catalog import QUERIES
+
+    plan = QUERIES["lock_overview"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Join" not in plan and "Window" not in plan

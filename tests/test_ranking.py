@@ -196,3 +196,18 @@ def test_rows_equal_in_every_name_all_stay(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("v"), "id")
     assert leading(df, ["v"], 5).count() == 500
     assert leading(df, ["v", "id"], 5).count() <= 25
+
+
+def test_running_slices_large_scopes_only(skewed, spark, monkeypatch):
+    from fleetstats.operators import ranking as r
+
+    data, df = skewed
+    want = brute_running(data, lambda p: (-p[1], p[0]))
+    monkeypatch.setattr(r, "_WHOLE", 1000)
+    sliced, original = [], r._sliced
+    monkeypatch.setattr(r, "_sliced", lambda part, *more: sliced.append(set(rows(part.select("scope").distinct(), "scope"))) or original(part, *more))
+    got = running(df, [F.desc("v"), F.asc("id")], ["scope"], "v")
+    assert {x.id: (x.row_number, x.running, x.total) for x in got.collect()} == want and sliced == [{("hot",)}]
+    monkeypatch.setattr(r, "_WHOLE", 100_000)
+    running(df, [F.desc("v"), F.asc("id")], ["scope"], "v")
+    assert len(sliced) == 1
