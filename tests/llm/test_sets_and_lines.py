@@ -179,3 +179,33 @@ def test_suffixes_are_in_order(spark):
         x, y = texts[a[0]][a[1]:], texts[b[0]][b[1]:]
         assert b[2] == next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
     assert got.agg(F.min("idx"), F.max("idx")).first()[:] == (0, len(want) - 1)
+
+
+@pytest.mark.parametrize("depth", [None, 3, 8, 11])
+def test_suffixes_longer_than_a_head_are_in_order(spark, depth):
+    rng = random.Random(depth)
+    texts = {1: "ab" * 13, 2: "".join(rng.choice("ab") for _ in range(40)), 3: "abcdefghijklm" * 2, 4: "cdefghijklmabcdefghij", 5: "ij"}
+    texts[6] = texts[2][5:37] + "a"
+    rows = [(d, 0, i, ord(c), 0, i) for d, x in texts.items() for i, c in enumerate(x) if (d, i) != (4, 15)]
+    got = line_dedup.suffix_array(spark.createDataFrame(rows, "doc bigint, t bigint, i int, h1 bigint, h2 int, own int"), depth).orderBy("idx").collect()
+    # a missing line ends the suffixes before it
+    ends = {d: texts[d] for d in texts}
+
+    def said(d, i):
+        return ends[d][i:15 if d == 4 and i < 15 else None][:depth]
+
+    assert [r.idx for r in got] == list(range(len(rows))) and all(r.own == r.i for r in got)
+    order = [said(r.doc, r.i) for r in got]
+    assert order == sorted(order) and sorted((r.doc, r.i) for r in got) == [r[:1] + r[2:3] for r in rows]
+    for x, y, r in zip(order, order[1:], got[1:]):
+        assert r.lcp == next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def test_one_sort_settles_short_suffixes(spark, monkeypatch):
+    sorts = []
+    order = line_dedup._order
+    monkeypatch.setattr(line_dedup, "_order", lambda df, *keys: sorts.append(keys) or order(df, *keys))
+    rows = [(d, 0, i, (d % 3) * i, 0) for d in range(9) for i in range(7)]
+    line_dedup.suffix_array(spark.createDataFrame(rows, "doc bigint, t bigint, i int, h1 bigint, h2 int"))
+    # the lines, then the suffixes
+    assert len(sorts) == 2
