@@ -183,25 +183,31 @@ def boilerplate(placed: DataFrame) -> DataFrame:
     each = settle(each, "html-blocks")
     # written down, so that the join shuffles both sides and can split a frequent block
     several = settle(each.groupBy("h1", "h2").agg(F.count_distinct("t").alias("pages")).where(F.col("pages") >= PAGES)
-                     .select("h1", "h2"), "html-several")
-    repeated = settle(each.join(several, ["h1", "h2"]), "html-repeated")
+                     .select("h1", "h2", F.monotonically_increasing_id().alias("sym")), "html-several")
+    repeated = settle(each.join(several, ["h1", "h2"]).drop("h1", "h2"), "html-repeated")
     release(each, several)
     # every block has a word: a run of more blocks than LONG_WORDS is covered by its stretches of so many
-    array = suffix_array(repeated.select("doc", "t", "i", "h1", "h2"), LONG_WORDS)
+    array = suffix_array(repeated, LONG_WORDS)
+    release(repeated)
 
     # neighbours in the array may be of one page, so look on to the nearest suffix of another, both ways
-    before = array.select((F.col("idx") + 1).alias("idx"), F.col("doc").alias("pdoc"), F.col("t").alias("pt"))
-    after = array.select((F.col("idx") - 1).alias("idx"), F.col("lcp").alias("after"))
-    sided = settle(array.join(before, "idx", "left").join(after, "idx", "left").withColumn(
-        "turn", F.when((F.col("doc") == F.col("pdoc")) & (F.col("t") == F.col("pt")), 0).otherwise(1).cast("long"))
-        .select("doc", "t", "i", "part", "idx", "lcp", F.coalesce("after", F.lit(0)).alias("after"), "turn"), "html-sides")
+    slice_, every = Window.partitionBy("part").orderBy("idx"), Window.orderBy("part")
+    edges = array.groupBy("part").agg(
+        F.max_by(F.struct("doc", "t"), "idx").alias("last"), F.min_by("lcp", "idx").alias("first")).select(
+        "part", F.lag("last").over(every).alias("last"), F.lead("first").over(every).alias("first"))
+    sided = settle(
+        array.withColumn("prev", F.lag(F.struct("doc", "t")).over(slice_)).withColumn("after", F.lead("lcp").over(slice_))
+        .join(edges, "part").withColumn("prev", F.coalesce("prev", "last")).withColumn("turn", F.when(
+            (F.col("doc") == F.col("prev.doc")) & (F.col("t") == F.col("prev.t")), 0).otherwise(1).cast("long"))
+        .select("doc", "t", "i", "part", "idx", "lcp", F.coalesce("after", "first", F.lit(0)).alias("after"), "turn",
+                "words", "open"), "html-sides")
     release(array)
     turns = sided.groupBy("part").agg(F.sum("turn").alias("n"))
     earlier = turns.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
     stretch = F.sum("turn").over(Window.partitionBy("part").orderBy("idx")) + F.col("earlier")
     same = Window.partitionBy("stretch").orderBy("idx")
     runs = (sided.join(earlier, "part").withColumn("stretch", stretch)
-            .select("doc", "t", "i", F.greatest(
+            .select("doc", "t", "i", "words", "open", F.greatest(
                 F.min("lcp").over(same.rowsBetween(Window.unboundedPreceding, 0)),
                 F.min("after").over(same.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0))).alias("run"))
             .where("run > 0"))
@@ -209,11 +215,11 @@ def boilerplate(placed: DataFrame) -> DataFrame:
     page = Window.partitionBy("doc", "t").orderBy("i")
     length = sum((F.when(F.col("run") > k, F.lead("words", k).over(page)).otherwise(0) for k in range(1, LONG_WORDS)),
                  F.col("words"))
-    seen = runs.join(repeated.select("doc", "t", "i", "words", "open"), ["doc", "t", "i"]).withColumn("length", length)
+    seen = runs.withColumn("length", length)
     reach = F.max(F.when(F.col("length") >= LONG_WORDS, F.col("i") + F.col("run"))).over(
         page.rowsBetween(Window.unboundedPreceding, 0))
     found = settle(seen.withColumn("reach", reach).where("reach > i and open").select("doc", "t", "i"), "html-boilerplate")
-    release(sided, repeated)
+    release(sided)
     return found
 
 
