@@ -4,7 +4,8 @@ Each text is a sequence of line ids. Lines that occur once in all texts end a se
 no repeated run can hold them, and lines that are too short to tell anything take no part.
 A suffix array comes from prefix doubling that begins at HEAD lines: one sort by so many lines
 settles most suffixes; where they tie and go on, round k sorts the distinct pairs of a suffix's
-rank and the rank HEAD * 2^k lines on, until no rank splits any more. Neighbours' longest common
+rank and the rank HEAD * 2^k lines on, until no rank splits any more. A suffix that is told from
+all others, or equals its copies up to the end, takes no part in later rounds. Neighbours' longest common
 prefixes come from their heads and the ranks of all rounds, longest step first. Where these stay at
 or above the least length, suffixes form one interval: the copies of one run. Its first
 position, by document id and line, keeps its lines.
@@ -63,11 +64,17 @@ def _heads(repeated: DataFrame, width: int) -> DataFrame:
 
 
 def _ranks(tied: DataFrame, width: int, depth: int | None) -> list[DataFrame]:
-    """Rank tables (doc, t, i, rank) by ``width``, 2 ``width``, 4 ``width``, ... lines, until ranks split no more or tell ``depth`` lines."""
+    """Rank tables (doc, t, i, left, rank, open) by ``width``, 2 ``width``, 4 ``width``, ... lines, until ranks split no more or tell ``depth`` lines.
+
+    A rank is how many suffixes come before those that share it, so it stays comparable when others split.
+    Only suffixes that share their rank and did not end are ``open``: a round pairs and sorts these, and
+    the ranks of all others stand as they are.
+    """
     first = [f"s{k}" for k in range(width)]
-    ids = _order(tied.select(*first).distinct(), *first)
-    levels = [settle(tied.join(ids, first).select(*_KEY, "i", F.col("at").alias("rank")), "lines-rank")]
-    distinct = ids.count()
+    ids = _order(tied.groupBy(*first).agg(F.count("*").alias("n")), *first)
+    levels = [settle(tied.join(_before(ids), first).select(
+        *_KEY, "i", "left", F.col("before").alias("rank"), ((F.col("n") > 1) & (F.col("left") >= width)).alias("open")),
+        "lines-rank")]
     release(ids)
     while True:
         step = width << (len(levels) - 1)
@@ -75,20 +82,37 @@ def _ranks(tied: DataFrame, width: int, depth: int | None) -> list[DataFrame]:
             break
         now = levels[-1]
         ahead = now.select(*_KEY, (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
-        pairs = now.join(ahead, [*_KEY, "i"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
+        # an open suffix has so many lines at least; one that ends there comes before those that go on
+        pairs = (now.where("open").drop("open").join(ahead, [*_KEY, "i"], "left")
+                 .withColumn("next", F.coalesce("next", F.lit(-1))))
         pairs = settle(pairs, "lines-pairs")
-        keys = _order(pairs.select("rank", "next").distinct(), "rank", "next")
-        split = keys.count()
-        if split != distinct:
-            levels.append(settle(pairs.join(keys, ["rank", "next"]).select(*_KEY, "i", F.col("at").alias("rank")),
-                                 "lines-rank"))
+        keys = _order(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), "rank", "next")
+        settled = keys.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+        if not settled:
+            placed = _before(keys)
+            start = placed.groupBy("rank").agg(F.min("before").alias("start"))
+            split = placed.join(start, "rank").select(
+                "rank", "next", "n", (F.col("rank") + F.col("before") - F.col("start")).alias("to"))
+            moved = pairs.join(split, ["rank", "next"]).select(
+                *_KEY, "i", "left", F.col("to").alias("rank"), ((F.col("n") > 1) & (F.col("left") >= 2 * step)).alias("open"))
+            levels.append(settle(now.where("not open").union(moved), "lines-rank"))
         release(pairs, keys)
-        if split == distinct:
+        if settled:
             break
-        distinct = split
     return levels
 
 
+def _before(sorted_: DataFrame) -> DataFrame:
+    """Rows of ``_order`` with ``before``: the sum of ``n`` over all rows before, whichever task sorted them."""
+    cut = sorted_.withColumn("part", F.expr("shiftright(at, 33)"))
+    # one row for each task of the sort
+    shift = cut.groupBy("part").agg(F.sum("n").alias("all")).select(
+        "part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("shift"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return (cut.withColumn("upto", upto).join(shift, "part")
+            .withColumn("before", F.col("shift") + F.col("upto") - F.col("n")).drop("at", "part", "upto", "shift"))
+
+
 def _shared(mine: list[Column], other: list[Column]) -> Column:
     """How many lines two heads share from their first on."""
     n = F.lit(len(mine))
@@ -127,13 +151,13 @@ def suffix_array(repeated: DataFrame, depth: int | None = None) -> DataFrame:
         if not equal.isEmpty():
             long = heads.where(F.col("whole") > width).select(*_KEY, "i", "stretch", "left", "asks", *head)
             theirs = settle(long.where(deeper).join(equal, head).select(*_KEY, "stretch").distinct(), "lines-stretches")
-            tied = settle(long.join(theirs, [*_KEY, "stretch"], "left_semi").select(*_KEY, "i", *head), "lines-tied")
+            tied = settle(long.join(theirs, [*_KEY, "stretch"], "left_semi").select(*_KEY, "i", "left", *head), "lines-tied")
             release(theirs)
             levels = _ranks(tied, width, depth)
         release(equal)
     suffixes = heads.where("asks").select(*_KEY, "i", "left", *head, *rest, F.lit(-1).cast("long").alias("deep"))
     if levels:
-        beyond = (heads.where(deeper).join(levels[-1], [*_KEY, "i"], "left")
+        beyond = (heads.where(deeper).join(levels[-1].select(*_KEY, "i", "rank"), [*_KEY, "i"], "left")
                   .select(*_KEY, "i", "left", *head, *rest, F.coalesce("rank", F.lit(-1)).alias("deep")))
         suffixes = suffixes.where(F.col("left") <= width).unionByName(beyond)
     sorted_ = _order(suffixes, *head, "deep", *_KEY, "i")

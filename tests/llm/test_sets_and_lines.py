@@ -209,3 +209,28 @@ def test_one_sort_settles_short_suffixes(spark, monkeypatch):
     line_dedup.suffix_array(spark.createDataFrame(rows, "doc bigint, t bigint, i int, h1 bigint, h2 int"))
     # the lines, then the suffixes
     assert len(sorts) == 2
+
+
+def test_settled_suffixes_take_no_part_in_later_rounds(spark, monkeypatch):
+    paired = []
+    settle = line_dedup.settle
+
+    def watched(df, purpose):
+        out = settle(df, purpose)
+        if purpose == "lines-pairs":
+            paired.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", watched)
+    # two copies of 40 lines; many of 12 lines that tie on a head and split, or end, in the first round
+    texts = [[*range(40)], [*range(40), 99], *[[*range(50, 61), 70 + k % 10] for k in range(60)]]
+    rows = [(d, 0, i, h, h) for d, text in enumerate(texts) for i, h in enumerate(text)]
+    got = line_dedup.suffix_array(spark.createDataFrame(rows, "doc bigint, t bigint, i int, h1 bigint, h2 int")).orderBy("idx").collect()
+    suffix = {(r.doc, r.i): texts[r.doc][r.i:] for r in got}
+    assert [suffix[r.doc, r.i] for r in got] == sorted(suffix.values())
+    for a, b in zip(got, got[1:]):
+        x, y = suffix[a.doc, a.i], suffix[b.doc, b.i]
+        assert b.lcp == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert len(paired) > 2 and paired[0] >= 60 * 4
+    # of the first two texts only, and fewer each time
+    assert all(n <= 2 * 40 for n in paired[1:]) and paired[-1] < paired[1]
