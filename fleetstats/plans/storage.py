@@ -32,18 +32,28 @@ def disk_usage_by_table(snap, *, scope=None, database_id=None) -> DataFrame:
     return out.orderBy(*scope_of(snap, scope), F.desc("total_kb"), "table_name")
 
 
-def _user_indexes(snap, exclude_db) -> DataFrame:
-    """Indexes of available user databases, statistics left out, with db_name and table_name."""
+def _user_tables(snap, exclude_db) -> DataFrame:
+    """(database_id, id, table_name, db_name) of available user databases, beside the snapshot keys."""
     keys, db = snap.keys_, "database_id"
     dbs = snap["sys_databases"].filter(
         ~F.col("name").isin(*exclude_db)
         & (F.col("dbid") > _LAST_SYSTEM_DB)
         & bits_clear("status", UNAVAILABLE)
     )
-    indexes = snap["sys_indexes"].filter(~F.col("name").like(_STATISTICS))
-    named = lookup(indexes, dbs, {db: "dbid"}, {"name": "db_name"}, keys, "inner")
-    tables = snap["sys_objects_legacy"].filter(F.col("xtype") != "S")
-    return lookup(named, tables, {db: db, "id": "id"}, {"name": "table_name"}, keys, "inner")
+    tables = snap["sys_objects_legacy"].filter(F.col("xtype") != "S").select(
+        *keys, db, "id", F.col("name").alias("table_name"))
+    return lookup(tables, dbs, {db: "dbid"}, {"name": "db_name"}, keys, "inner")
+
+
+def _indexes(snap) -> DataFrame:
+    """Indexes, statistics left out."""
+    return snap["sys_indexes"].filter(~F.col("name").like(_STATISTICS))
+
+
+def _user_indexes(snap, exclude_db) -> DataFrame:
+    """Indexes of available user databases, statistics left out, with db_name and table_name."""
+    return lookup(_indexes(snap), _user_tables(snap, exclude_db), {"database_id": "database_id", "id": "id"},
+                  {"db_name": "db_name", "table_name": "table_name"}, snap.keys_, "inner")
 
 
 def index_columns(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
@@ -69,21 +79,23 @@ def index_details(snap, *, exclude_db=SAMPLE_DATABASES) -> DataFrame:
     """Indexes that have key columns, of available user databases, with their
     status flags, estimated rows and pages in kilobytes.
 
-    The key, column and type tables only decide whether an index is listed, so they
-    are semi-joined: there is no row per key column to fold away again.
+    The key, column and type tables only decide whether an index is listed: what they say of
+    a table is one row for it, so all joins but the two on databases are on the same key, by which each
+    input is shuffled once. The sets in such a row are as long as a table has columns and key columns.
     """
     keys, db = snap.keys_, "database_id"
+    table = {db: db, "id": "id"}
     columns = lookup(
         snap["sys_columns"], snap["sys_types"], {db: db, "xtype": "xtype"}, {}, keys, "left_semi"
-    )
-    keyed = lookup(
-        snap["sys_index_keys"], columns, {db: db, "id": "id", "colid": "colid"}, {}, keys,
-        "left_semi",
-    )
-    out = lookup(
-        _user_indexes(snap, exclude_db), keyed, {db: db, "id": "id", "indid": "indid"}, {}, keys,
-        "left_semi",
-    )
+    ).groupBy(*keys, db, "id").agg(F.collect_set("colid").alias("_columns"))
+    parts = snap["sys_index_keys"].groupBy(*keys, db, "id").agg(
+        F.collect_set(F.struct("indid", "colid")).alias("_parts"))
+    keyed = lookup(parts, columns, table, {"_columns": "_columns"}, keys, "inner")
+    there = F.filter("_parts", lambda k: F.array_contains("_columns", k["colid"]))
+    keyed = keyed.select(*keys, db, "id", F.transform(there, lambda k: k["indid"]).alias("_keyed"))
+    tables = lookup(_user_tables(snap, exclude_db), keyed, table, {"_keyed": "_keyed"}, keys, "inner")
+    out = lookup(_indexes(snap), tables, table, {c: c for c in ("db_name", "table_name", "_keyed")}, keys, "inner")
+    out = out.filter(F.array_contains("_keyed", F.col("indid")))
     return out.select(
         *keys, "db_name", "table_name", F.col("name").alias("index_name"), "indid",
         *bit_flags("status", INDEX_STATUS),

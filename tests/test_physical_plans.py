@@ -76,3 +76,14 @@ def test_least_used_plans_learn_from_handles_that_a_text_exists(spark):
 
     plan = plan_of(plancache.lowest_plan_reuse(views.plan_cache(spark, SF)))
     assert "LeftSemi" in plan
+
+
+def test_index_details_shuffles_its_indexes_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["index_details"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # key columns twice, for their types and for their table; tables twice, for their database and for the rest
+    assert plan.count("Exchange hashpartitioning") <= 8
