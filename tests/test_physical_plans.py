@@ -87,3 +87,14 @@ def test_index_details_shuffles_its_indexes_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # key columns twice, for their types and for their table; tables twice, for their database and for the rest
     assert plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_disk_usage_by_index_shuffles_its_indexes_once_before_they_are_told_apart(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["disk_usage_by_index"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # as index_details, and once to tell equal rows
+    assert plan.count("Exchange hashpartitioning") <= 9
