@@ -34,6 +34,8 @@ LEAST_BITS = 64
 FEW_KEYS = 500_000
 #: Classes in a block of a tile.
 BLOCK = 2048
+#: Classes of a tile whose pairs are all made by its smallest and its largest class.
+SMALL = 3
 #: Cells of bitmap words that are compared at once.
 _CELLS = 1 << 19
 _REMEMBERED = 150_000
@@ -250,12 +252,10 @@ def _blocks(tiles: DataFrame, classes: DataFrame, like: Likeness, nearest: bool)
 
     A tile is cut into blocks by hash; every two blocks of it are one piece of work. With
     ``nearest`` an active class brings up the likeliest partner of each piece, else all.
-    Of a tile of up to three classes all pairs were compared when it was held against its
-    smallest and its largest, so larger tiles are left.
     """
     several = settle(tiles.groupBy("h", "band").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("active").alias("any"), F.count("*").alias("m")
-    ).where("lo <> hi and any and m > 3").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "grams-several")
+    ).where("lo <> hi and any").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "grams-several")
     mine = tiles.join(several, ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("d1"), "blocks").cast("int"))
     mine = mine.join(classes.select("d1", F.col("n").cast("int").alias("n"), "bits", F.col("band").alias("true_band")), "d1")
     columns = ["own", "d1", "comp", "active", "n", "true_band", "bits"]
@@ -339,12 +339,14 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         members.join(shared, "h").distinct().select("h", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "d1"),
         "grams-tiles")
     release(shared)
-    ends = settle(tiles.groupBy("h", "band").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
-                  .where("lo <> hi"), "grams-ends")
-    stars = (tiles.join(ends, ["h", "band"]).select(F.col("d1").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-             .where("a <> b").distinct())
+    ends = settle(tiles.groupBy("h", "band").agg(
+        F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("m")).where("lo <> hi"), "grams-ends")
+    held = settle(tiles.join(ends, ["h", "band"]), "grams-held")
+    release(tiles, ends)
+    stars = held.select(F.col("d1").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
+    # in tiles of up to three classes that is all pairs: most tiles are so small, and end here
+    large = held.where(f"m > {SMALL}").select("h", "band", "d1")
     likely = settle(_likely(stars, classes, like), "grams-likely")
-    release(ends)
     near = settle(likely.groupBy("a").agg(F.min("b").alias("b")), "grams-near")
 
     links = settle(_verified(near, classes, rows, n, like), "grams-links")
@@ -357,7 +359,7 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             "d1", F.xxhash64(F.coalesce("component", "name")).alias("comp"))
         # classes whose d1 agrees by chance keep one of their components here; pairs only multiply
         of_class = settle(of_class.groupBy("d1").agg(F.min("comp").alias("comp")), "grams-of-class")
-        known = tiles.join(of_class, "d1")
+        known = large.join(of_class, "d1")
         if active is None:
             known = known.withColumn("active", F.lit(True))
         else:

@@ -234,3 +234,20 @@ def test_settled_suffixes_take_no_part_in_later_rounds(spark, monkeypatch):
     assert len(paired) > 2 and paired[0] >= 60 * 4
     # of the first two texts only, and fewer each time
     assert all(n <= 2 * 40 for n in paired[1:]) and paired[-1] < paired[1]
+
+
+def test_tiles_of_up_to_three_classes_end_with_the_first_comparison(spark, monkeypatch):
+    rng, rows, seen, blocks = random.Random(5), [], [], ngram_join._blocks
+    for size in (2, 3, 6):
+        base = [f"word{rng.randrange(5000)}" for _ in range(100)]
+        for k in range(size):
+            rows.append((len(rows), " ".join(base[:k] + [f"own{size}{k}"] + base[k + 1:])))
+
+    def spy(tiles, *rest):
+        seen.extend(r["count"] for r in tiles.groupBy("h", "band").count().collect())
+        return blocks(tiles, *rest)
+
+    monkeypatch.setattr(ngram_join, "_blocks", spy)
+    got = ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_grams, r.component_id) for r in got} == brute_groups(rows, 3, 90, 100)
+    assert seen and min(seen) > 3
