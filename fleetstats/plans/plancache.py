@@ -114,13 +114,20 @@ def lowest_plan_reuse(snap, *, scope=None, n: int = 100) -> DataFrame:
     stats = snap["query_stats"].select(
         *snap.keys_, "sql_handle", "plan_handle", "statement_start_offset", "statement_end_offset"
     )
+    # the first n statements are among those of the first n plans, told by their earliest statement:
+    # plans are joined and ranked, and only those that are left ask for their statements
+    handles = stats.groupBy(*snap.keys_, "sql_handle", "plan_handle").agg(
+        F.max(F.col("statement_start_offset").isNull()).alias("_none"), F.min("statement_start_offset").alias("_first"))
     # that a text exists is learnt per handle, not per statement
-    told = lookup(stats, snap["query_text"], {"sql_handle": "sql_handle"}, {}, snap.keys_, "left_semi")
+    told = lookup(handles, snap["query_text"], {"sql_handle": "sql_handle"}, {}, snap.keys_, "left_semi")
     held = lookup(told, snap["cached_plans"], {"plan_handle": "plan_handle"},
                   {"usecounts": "plan_usage", "cacheobjtype": "cacheobjtype"}, snap.keys_, "inner")
-    top = top_n(
-        held, [F.asc("plan_usage"), "sql_handle", "plan_handle", "statement_start_offset"], n, scope
-    )
+    order = [F.asc("plan_usage"), "sql_handle", "plan_handle"]
+    least = top_n(held, [*order, F.desc("_none"), "_first"], n, scope).drop("_none", "_first")
+    offsets = ("statement_start_offset", "statement_end_offset")
+    said = lookup(least, stats, {"sql_handle": "sql_handle", "plan_handle": "plan_handle"},
+                  {c: c for c in offsets}, snap.keys_, "inner")
+    top = top_n(said, [*order, "statement_start_offset"], n, scope)
     out = lookup(top, snap["query_text"], {"sql_handle": "sql_handle"},
                  {"text": "parent_query", "dbid": "dbid"}, snap.keys_, "inner")
     out = database_name(out, snap, "dbid").withColumn(

@@ -98,3 +98,10 @@ def test_disk_usage_by_index_shuffles_its_indexes_once_before_they_are_told_apar
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # as index_details, and once to tell equal rows
     assert plan.count("Exchange hashpartitioning") <= 9
+
+
+def test_least_used_plans_are_joined_and_ranked_before_their_statements(spark):
+    from fleetstats.plans import plancache
+
+    plan = plan_of(plancache.lowest_plan_reuse(views.plan_cache(spark, SF)))
+    assert "min(statement_start_offset" in plan
