@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+
+from .common import text_function
 
 #: Edits allowed, in thousandths of an item's characters.
 EDITS_PER_MILLE = 50
@@ -145,12 +145,12 @@ def finders(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 def _look(sent, per_mille: int):
     made: list[Finder] = []
 
-    def look(texts: pd.Series) -> pd.Series:
+    def look(text: str | None) -> list[dict]:
         if not made:
             made.append(Finder(sent.value, per_mille))
-        return pd.Series([made[0].matches(t) for t in texts], dtype=object)
+        return made[0].matches(text)
 
-    return pandas_udf(look, MATCHES).asNondeterministic()
+    return text_function(look, MATCHES)
 
 
 def matches(text: Column, items: DataFrame, **options) -> Column:

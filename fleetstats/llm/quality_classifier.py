@@ -12,11 +12,9 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import mapped
+from .common import mapped, text_function
 
 BUCKETS = 1 << 18
 #: Labelled rows to learn from at most, taken by hash of the id.
@@ -219,9 +217,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def scorer(spark, model: Model):
     """The score as a function of a text column, for filters that keep all columns."""
-    score_of = _score_of(spark, model)
-
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_of(t) for t in texts], dtype=float)
-
-    return pandas_udf(run, "double").asNondeterministic()
+    return text_function(_score_of(spark, model), "double")

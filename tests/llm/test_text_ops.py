@@ -204,3 +204,14 @@ def test_insertions_do_not_shift_chunks():
     assert sum(bytes(d) not in before for d in after) <= 6
     borders, chars, words, _ = substring_dedup.chunk("é " + " ".join(text))
     assert words.sum() == 401 and max(words) <= substring_dedup.WINDOW and chars[-1] == len("é " + " ".join(text))
+
+
+def test_text_function_takes_texts_in_parts_and_keeps_nulls(spark):
+    from fleetstats.llm.common import ROWS, text_function
+
+    rows = [(i, None if i % 5 == 0 else "x" * (i % 7)) for i in range(3 * ROWS + 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    size = text_function(lambda t: [] if t is None else [{"n": len(t)}], "array<struct<n: int>>")
+    got = docs.select("doc_id", size(docs["text"]).alias("s")).collect()
+    assert {r.doc_id: [x.n for x in r.s] for r in got} == {i: [] if t is None else [len(t)] for i, t in rows}
+    assert docs.where("false").select(size(docs["text"])).count() == 0
