@@ -5,6 +5,7 @@ from decimal import Decimal as D
 
 import pytest
 from conftest import DATABASES, TS, rows
+from pyspark.sql import functions as F
 
 from fleetstats.plans import lock_steps as ls, locks as lk
 
@@ -276,3 +277,49 @@ def test_the_report_is_written_before_it_is_sorted(spark):
 
     plan = QUERIES["lock_overview"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_locks_are_written_before_they_are_named_and_once_with_their_process(server, report, monkeypatch):
+    from fleetstats.operators import ranking
+
+    written, write = [], lk.settle
+    for module in (lk, ls, ranking):
+        monkeypatch.setattr(module, "settle", lambda df, purpose: written.append(purpose) or write(df, purpose))
+    assert lk.lock_overview(server, own_session=50).collect() == report
+    assert written.count("report") == 1 and written.count("kept") == 1
+    assert not {"rows", "numbered", "named"} & set(written)
+
+
+def test_sessions_with_very_many_locks_are_shown_like_others(server, report, monkeypatch):
+    from fleetstats.operators import ranking
+
+    sliced, original = [], ranking._sliced
+    monkeypatch.setattr(ranking, "_WHOLE", 3)
+    monkeypatch.setattr(ranking, "_sliced", lambda *a: sliced.append(1) or original(*a))
+    assert lk.lock_overview(server, own_session=50).collect() == report and sliced
+
+
+def test_several_plans_of_a_handle_are_shown_in_first_rows_only(server, report):
+    plans = server["query_plan"]
+    none = plans.withColumn("query_plan", F.lit(None).cast("string"))
+    lost = plans.withColumn("plan_handle", F.lit(None).cast("string"))
+    twice = server.with_tables(query_plan=plans.unionByName(plans).unionByName(none).unionByName(lost))
+    full = lk.lock_overview(twice, own_session=50).collect()
+    shown = sum(r.current_plan is not None for r in report)
+    assert shown and len(full) == len(report) + 2 * shown
+    assert sorted(str(r.current_plan) for r in of(full, "52") if r.login) == ["<plan/>", "<plan/>", "None"]
+    assert [r.current_plan for r in of(full, "52") if not r.login] == [None] * 7
+    every = lk.lock_overview(twice, own_session=50, first_row_only=False).collect()
+    assert len(of(every, "52")) == 3 * len(of(report, "52"))
+
+
+def test_the_report_as_of_finds_plans_of_their_time(server):
+    from fleetstats.sources import as_of
+
+    plans = server["query_plan"]
+    older = plans.withColumns({"snapshot_ts": F.lit(TS - dt.timedelta(days=1)), "query_plan": F.lit("<older/>")})
+    later = plans.withColumns({"snapshot_ts": F.lit(TS + dt.timedelta(days=1)), "query_plan": F.lit("<later/>")})
+    earlier = plans.withColumn("snapshot_ts", F.lit(TS - dt.timedelta(hours=1)))
+    snap = as_of(server.with_tables(query_plan=older.unionByName(earlier).unionByName(later)), ["query_plan"])
+    full = lk.lock_overview(snap, own_session=50).collect()
+    assert {r.current_plan for r in full} == {None, "<plan/>"}

@@ -211,3 +211,18 @@ def test_running_slices_large_scopes_only(skewed, spark, monkeypatch):
     monkeypatch.setattr(r, "_WHOLE", 100_000)
     running(df, [F.desc("v"), F.asc("id")], ["scope"], "v")
     assert len(sliced) == 1
+
+
+def test_running_counts_sizes_and_writes_large_scopes_only(skewed, monkeypatch):
+    from fleetstats.operators import ranking as r
+
+    data, df = skewed
+    want = brute_running(data, lambda p: (-p[1], p[0]))
+    written, write = [], r.settle
+    monkeypatch.setattr(r, "settle", lambda df, purpose: written.append(purpose) or write(df, purpose))
+    for whole, purposes in ((100_000, ["large"]), (1000, ["large", "rows", "slices"])):
+        monkeypatch.setattr(r, "_WHOLE", whole)
+        got = running(df, [F.desc("v"), F.asc("id")], ["scope"], "v", sizes=df.select("scope"))
+        assert {x.id: (x.row_number, x.running, x.total) for x in got.collect()} == want
+        assert written == purposes
+        written.clear()

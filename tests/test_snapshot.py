@@ -1,11 +1,14 @@
 import datetime as dt
 import glob
+import threading
 
 import pytest
 from conftest import TS, rows
 from pyspark.sql import functions as F
 
-from fleetstats.sources import append, latest, open_snapshot, read, schema, scratch, settle, tables
+from fleetstats.sources import (
+    Store, append, latest, open_snapshot, publish, read, restrict, schema, scratch, settle, store, tables, together,
+)
 
 
 def test_every_table_has_a_declared_schema(spark):
@@ -122,3 +125,32 @@ def test_scratch_is_under_the_session_folder():
 def test_scratch_refuses_a_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         scratch.scratch_dir(FakeSession(), "x")
+
+
+def test_steps_run_at_the_same_time_and_a_failure_is_raised(spark):
+    meet = threading.Barrier(2, timeout=60)
+    assert together(spark, lambda: meet.wait() >= 0, lambda: meet.wait() >= 0, lambda: spark.range(3).count()) == [True, True, 3]
+    assert together(spark) == []
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1, lambda: 1 // 0)
+
+
+def test_tables_of_a_collection_are_written_at_the_same_time(spark, snap, tmp_path, monkeypatch):
+    made = snap(wait_stats=[{"wait_type": "W", "wait_time_ms": 1}], databases=[{"database_id": 1, "name": "master"}])
+    meet, typed = threading.Barrier(2, timeout=60), store.typed
+    monkeypatch.setattr(store, "typed", lambda df, table: meet.wait() >= 0 and typed(df, table))
+    assert publish(spark, made, str(tmp_path), "one")
+    again = open_snapshot(spark, str(tmp_path))
+    assert rows(again["wait_stats"], "wait_type") == [("W",)] and rows(again["databases"], "name") == [("master",)]
+
+
+def test_the_index_is_asked_once_for_all_tables(spark, snap, tmp_path, monkeypatch):
+    made = snap(wait_stats=[{"server_id": s, "wait_type": s, "wait_time_ms": 1} for s in "ab"],
+                databases=[{"server_id": s, "database_id": 1, "name": s} for s in "ab"])
+    publish(spark, made, str(tmp_path), "one")
+    asked, index = [], Store.index
+    monkeypatch.setattr(Store, "index", lambda self, *names: asked.append(names) or index(self, *names))
+    some = restrict(open_snapshot(spark, str(tmp_path)), made["databases"].filter("server_id = 'b'"))
+    assert rows(some["wait_stats"], "wait_type") == [("b",)] and rows(some["databases"], "name") == [("b",)]
+    assert some["sessions"].count() == 0 and some["sessions"].schema.fieldNames() == schema("sessions").fieldNames()
+    assert len(asked) == 1
